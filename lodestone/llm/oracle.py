@@ -1,3 +1,32 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["p2_found"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM index_vectors
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS q, b.vec_id AS n, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT q, n, c, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS r FROM pairs)
+SELECT DISTINCT least(q, n) AS vec_id_a, greatest(q, n) AS vec_id_b FROM ranked WHERE r <= 5 AND c >= 0.95
+"""
+
+SQL["p5_found"] = r"""
+WITH t AS (
+  SELECT DISTINCT answer_id, lower(trim(regexp_replace(coalesce(raw_text, text), '[\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}\p{Zs}]+', ' ', 'g'))) AS s FROM answers),
+long AS (SELECT answer_id, s, length(s) AS n FROM t WHERE length(s) >= 80),
+grams AS (SELECT answer_id, n, i, substr(s, i::BIGINT, 24) AS g FROM long, unnest(range(1, n - 22)) AS u(i)),
+again AS (
+  SELECT answer_id, n, i FROM (SELECT *, min(i) OVER (PARTITION BY answer_id, g) AS f FROM grams) WHERE i > f),
+gaps AS (
+  SELECT answer_id, n, least(24, coalesce(lead(i) OVER (PARTITION BY answer_id ORDER BY i) - i, 24)) AS covered FROM again)
+SELECT answer_id FROM gaps GROUP BY answer_id, n HAVING sum(covered) >= 0.5 * n
+"""
+
+SQL["p6_found"] = """
+SELECT DISTINCT 'chunk' AS item_kind, chunk_no AS item_id FROM chunks WHERE length(source) > 2000
+UNION ALL
+SELECT DISTINCT 'part' AS item_kind, part_id AS item_id FROM embedding_parts WHERE length(text) > 2000
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import neighbours
+from . import functions_docs, neighbours, repetition, splitting
 
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
 
@@ -26,4 +26,55 @@ def p2_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("vec_id", "neighbour_rank", "neighbour_id", F.round("cosine", 3).alias("cosine"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_top5": p2_top5}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = load(spark, sf_dir, "source_files", "file_id", "lang", "source")
+    return functions_docs.documented_functions(files, "file_id", "lang", "source", with_text=False).select("file_id", "start_line")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = load(spark, sf_dir, "source_files", "file_id", "lang", "source")
+    return functions_docs.documented_functions(files, "file_id", "lang", "source")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = load(spark, sf_dir, "answers", "answer_id", "text", "raw_text")
+    return repetition.repetition(answers, "answer_id", F.coalesce("raw_text", "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replies(spark, sf_dir).where(F.col("repeated_share") >= 0.5).select(F.col("item_id").alias("answer_id"))
+
+
+def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every reply beside the flag of its latest row."""
+    flags = load(spark, sf_dir, "answers", "answer_id", "stopped_for_repetition", "logged_at")
+    flag = flags.groupBy("answer_id").agg(F.max_by("stopped_for_repetition", "logged_at").alias("stopped_for_repetition"))
+    return _replies(spark, sf_dir).withColumnRenamed("item_id", "answer_id").join(flag, "answer_id")
+
+
+def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    chunks = load(spark, sf_dir, "chunks", "chunk_no", "source")
+    parts = load(spark, sf_dir, "embedding_parts", "part_id", "text")
+    return splitting.split_oversized(chunks, "chunk", "chunk_no", "source", with_text=with_text).unionByName(
+        splitting.split_oversized(parts, "part", "part_id", "text", with_text=with_text)
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir, False).where("piece_no = 0").select("item_kind", "item_id")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _oversized(spark, sf_dir, True)
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_top5": p2_top5,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p5_found": p5_found,
+    "p5_repetition": p5_repetition,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+}
