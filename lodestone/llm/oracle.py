@@ -30,3 +30,13 @@ SELECT DISTINCT 'chunk' AS item_kind, chunk_no AS item_id FROM chunks WHERE leng
 UNION ALL
 SELECT DISTINCT 'part' AS item_kind, part_id AS item_id FROM embedding_parts WHERE length(text) > 2000
 """
+
+SQL["p8_found"] = r"""
+WITH w AS (
+  SELECT DISTINCT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+  UNION ALL
+  SELECT DISTINCT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items WHERE lower(trim(split)) = 'heldout'),
+grams AS (
+  SELECT side, id, array_to_string(ws[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(ws) - 11)) AS u(i))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i USING (g) WHERE d.side = 'd' AND i.side = 'i'
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import functions_docs, neighbours, repetition, splitting
+from . import functions_docs, leakage, neighbours, repetition, splitting
 
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
 
@@ -68,6 +68,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, True)
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of held-out items in documents, to be removed."""
+    items = load(spark, sf_dir, "eval_items", "item_id", "split", "text").where(F.lower(F.trim("split")) == "heldout")
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return leakage.leaked_spans(docs, "doc_id", "text", items, "item_id", F.col("text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_top5": p2_top5,
@@ -77,4 +88,6 @@ QUERIES = {
     "p5_repetition": p5_repetition,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
