@@ -40,3 +40,16 @@ grams AS (
   SELECT side, id, array_to_string(ws[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(ws) - 11)) AS u(i))
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i USING (g) WHERE d.side = 'd' AND i.side = 'i'
 """
+
+SQL["p4_found"] = r"""
+WITH c AS (
+  SELECT DISTINCT chunk_no, regexp_extract_all(lower(source), '[a-z0-9_]+') AS ws FROM chunks
+  WHERE coalesce(lower(trim(kind)), '') NOT IN ('class', 'module')),
+t AS (
+  SELECT DISTINCT chunk_no, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM c, unnest(range(1, len(ws) - 1)) AS u(i) WHERE len(ws) >= 40),
+n AS (SELECT chunk_no, count(*) AS k FROM t GROUP BY chunk_no),
+shared AS (
+  SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY 1, 2)
+SELECT x AS chunk_no_a, y AS chunk_no_b FROM shared JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y
+WHERE shared.k >= 0.6 * (p.k + q.k - shared.k)
+"""

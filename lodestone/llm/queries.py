@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
 from ..sources.tables import load
-from . import functions_docs, leakage, neighbours, repetition, splitting
+from . import functions_docs, leakage, near_duplicates, neighbours, repetition, splitting
 
+NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
 
 
@@ -68,6 +70,23 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, True)
 
 
+def _routines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = load(spark, sf_dir, "chunks", "chunk_no", "kind", "source")
+    return chunks.where(~F.coalesce(F.lower(F.trim("kind")), F.lit("")).isin("class", "module"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = near_duplicates.similar(_routines(spark, sf_dir), "chunk_no", "source", NEAR_CODE)
+    pairs = near_duplicates.expanded_pairs(links, members, NEAR_CODE.expand)
+    return pairs.select(F.col("a").alias("chunk_no_a"), F.col("b").alias("chunk_no_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every chunk that has a near-duplicate."""
+    links, members = near_duplicates.similar(_routines(spark, sf_dir), "chunk_no", "source", NEAR_CODE)
+    return near_duplicates.groups(durable(links), members).withColumnRenamed("id", "chunk_no")
+
+
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of held-out items in documents, to be removed."""
     items = load(spark, sf_dir, "eval_items", "item_id", "split", "text").where(F.lower(F.trim("split")) == "heldout")
@@ -84,6 +103,8 @@ QUERIES = {
     "p2_top5": p2_top5,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_repetition": p5_repetition,
     "p6_found": p6_found,
