@@ -53,3 +53,24 @@ shared AS (
 SELECT x AS chunk_no_a, y AS chunk_no_b FROM shared JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y
 WHERE shared.k >= 0.6 * (p.k + q.k - shared.k)
 """
+
+_CROSSING = r"""
+WITH q AS (
+  SELECT DISTINCT question_id AS id, corpus,
+    CASE WHEN regexp_replace(lower(split), '[^\p{L}]', '', 'g') = 'heldout' THEN 'heldout' ELSE 'tune' END AS part,
+    regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') AS ws, relevant FROM questions),
+d AS (SELECT id, corpus, part, ws, list_distinct(ws) AS dw, list_filter(relevant, lambda r: r <> '') AS rel FROM q WHERE len(ws) > 0),
+pairs AS (
+  SELECT h.id AS id, t.id AS other, h.ws = t.ws AS same FROM d h JOIN d t ON h.part = 'heldout' AND t.part = 'tune'
+  WHERE h.ws = t.ws OR (len(list_intersect(h.rel, t.rel)) > 0
+    AND len(list_intersect(h.dw, t.dw)) >= 0.6 * (len(h.dw) + len(t.dw) - len(list_intersect(h.dw, t.dw)))))
+"""
+
+SQL["p7_found"] = _CROSSING + "SELECT least(id, other) AS question_id_a, greatest(id, other) AS question_id_b FROM pairs"
+
+SQL["p7_counts"] = _CROSSING + """, hit AS (
+  SELECT id, max(same) AS same, count(*) AS pairs FROM (
+    SELECT id, same FROM pairs UNION ALL SELECT other, same FROM pairs) GROUP BY id)
+SELECT part AS split, corpus, count(*) AS questions, count(pairs) AS overlapping, count(*) FILTER (WHERE same) AS same,
+  coalesce(sum(pairs), 0)::BIGINT AS pairs FROM (SELECT DISTINCT id, corpus, part FROM q) LEFT JOIN hit USING (id) GROUP BY ALL
+"""

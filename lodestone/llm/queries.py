@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import load
-from . import functions_docs, leakage, near_duplicates, neighbours, repetition, splitting
+from . import cross_split, functions_docs, leakage, near_duplicates, neighbours, repetition, splitting
 
 NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
@@ -87,6 +87,27 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(durable(links), members).withColumnRenamed("id", "chunk_no")
 
 
+def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = load(spark, sf_dir, "questions", "question_id", "question", "relevant", "split")
+    return cross_split.overlaps(questions, "question_id", "question", "relevant", "split")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crossing(spark, sf_dir).select(F.least("id", "other").alias("question_id_a"), F.greatest("id", "other").alias("question_id_b"))
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that stand in the other split too, and all, per split and corpus."""
+    questions = load(spark, sf_dir, "questions", "question_id", "corpus", "split").dropDuplicates(["question_id"])
+    pairs = durable(_crossing(spark, sf_dir))
+    hit = pairs.select(F.col("id").alias("question_id"), "kind").unionByName(pairs.select(F.col("other").alias("question_id"), "kind"))
+    hit = hit.groupBy("question_id").agg(F.max(F.col("kind") == "same").alias("same"), F.count("*").alias("pairs"))
+    rows = questions.withColumn("split", cross_split.reduced_split(F.col("split"))).join(hit, "question_id", "left")
+    return rows.groupBy("split", "corpus").agg(
+        F.count("*").alias("questions"), F.count("pairs").alias("overlapping"), F.count_if("same").alias("same"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
+
+
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of held-out items in documents, to be removed."""
     items = load(spark, sf_dir, "eval_items", "item_id", "split", "text").where(F.lower(F.trim("split")) == "heldout")
@@ -109,6 +130,8 @@ QUERIES = {
     "p5_repetition": p5_repetition,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_counts": p7_counts,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
 }
