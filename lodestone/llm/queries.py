@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import load
-from . import cross_split, functions_docs, leakage, near_duplicates, neighbours, repetition, splitting
+from . import cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, splitting
 
 NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
@@ -119,6 +119,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mixture(docs, "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_top5": p2_top5,
@@ -134,4 +147,6 @@ QUERIES = {
     "p7_counts": p7_counts,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
