@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import load
-from . import cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, splitting
+from . import cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, sentences, splitting
 
 NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
@@ -132,6 +132,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "layout")
+    return sentences.split_sentences(docs.where(F.lower(F.trim("layout")) == "prose"), "doc_id", "text", "layout")
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of documents of every layout."""
+    return sentences.split_sentences(load(spark, sf_dir, "documents", "doc_id", "text", "layout"), "doc_id", "text", "layout")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_top5": p2_top5,
@@ -149,4 +159,6 @@ QUERIES = {
     "p8_spans": p8_spans,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
