@@ -7,12 +7,29 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ..sources.tables import load
-from . import cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, sentences, splitting
+from . import broken_pairs, cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, sentences, splitting
 
 NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
 
 
+def _defective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = load(spark, sf_dir, "answers", "answer_id", "question_id", "text", "logged_at")
+    questions = load(spark, sf_dir, "questions", "question_id", "question", "expect_abstain", "created_at")
+    return broken_pairs.broken_pairs(
+        answers, "answer_id", "question_id", "text", "logged_at", questions, "question", "expect_abstain", "created_at"
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _defective(spark, sf_dir).select("answer_id", F.col("defects")[0].alias("defect"))
+
+
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect that triggers, with its place in the order of the rules' results."""
+    return _defective(spark, sf_dir).select("answer_id", F.posexplode("defects").alias("place", "defect"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = neighbours.nearest(load(spark, sf_dir, "index_vectors", "vec_id", "embedding"), "vec_id", "embedding", NEAR_VECTORS)
     return lists.select(
@@ -143,6 +160,8 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_defects": p1_defects,
     "p2_found": p2_found,
     "p2_top5": p2_top5,
     "p3_found": p3_found,
