@@ -29,22 +29,26 @@ def identifier_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def identifier_parts(word: Column) -> Column:
-    """The lower-cased snake and camel parts of an identifier."""
-    marked = F.regexp_replace(word, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
-    return F.filter(F.split(F.lower(marked), "_"), lambda p: p != "")
+def _marked(text: Column) -> Column:
+    """``text`` with an underscore at each camel boundary; its words stay as many and in order."""
+    return F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
+
+
+def _word_tokens(word: Column, marked: Column) -> Column:
+    # without an underscore the word is its only part; each expression is named once, as lambdas share none
+    parts = F.filter(F.split(F.lower(marked), "_"), lambda p: p != "")
+    return F.when(F.contains(marked, F.lit("_")), F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
 
 
 def identifier_tokens(word: Column) -> Column:
-    """The lower-cased word, followed by its parts if it has several or its only part differs from it."""
-    parts, low = identifier_parts(word), F.lower(word)
-    several = (F.size(parts) > 1) | ((F.size(parts) == 1) & (F.element_at(parts, 1) != low))
-    return F.when(several, F.concat(F.array(low), parts)).otherwise(F.array(low))
+    """The lower-cased word, followed by its snake and camel parts if it has several or its only part
+    differs from it."""
+    return _word_tokens(word, _marked(word))
 
 
 def code_tokens(text: Column) -> Column:
     """The tokens of all words of ``text``, in order."""
-    return F.flatten(F.transform(identifier_words(text), identifier_tokens))
+    return F.flatten(F.zip_with(identifier_words(text), identifier_words(_marked(text)), _word_tokens))
 
 
 def looks_like_identifier(word: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOPWORDS, identifier_tokens, idf, looks_like_identifier, query_words
+from ..session import durable
 
 K1, B = 1.5, 0.75
 
@@ -35,11 +36,12 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """``part, qid, doc, score, bm25_rank``: the ``n`` best documents (part, doc, tokens) of each query
     (part, qid, token, qtf), of those with a common token. Scores are rounded to 6 digits before they are
     ranked; ties go to the smaller ``doc``."""
-    sized = documents.withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)))
+    # tokens are made once and read three times
+    sized = durable(documents.withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))))
     stats = sized.groupBy("part").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     wanted = queries.select("part", "token").distinct()
     tf = sized.select("part", "doc", "dl", F.explode("tokens").alias("token")).join(wanted, ["part", "token"], "left_semi")
-    tf = tf.groupBy("part", "token", "doc", "dl").agg(F.count("*").alias("tf"))
+    tf = durable(tf.groupBy("part", "token", "doc", "dl").agg(F.count("*").alias("tf")))
     df = tf.groupBy("part", "token").agg(F.count("*").alias("df"))
     weighted = queries.join(df, ["part", "token"]).join(stats, "part")
     weighted = weighted.select("part", "token", "qid", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("w"), "avgdl")

@@ -524,10 +524,11 @@ def decision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def median_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.when(F.col("prompt_tokens").isNotNull(), F.col("answer_id"))
     rows = base.answers(spark, sf_dir, "question_id", "ttft_s", "prompt_tokens", "generated_tokens").where("question_id is not null").join(base.questions(spark, sf_dir, "corpus"), "question_id")
     return rows.groupBy("corpus").agg(
         F.count("*").alias("n"), F.round(F.median("ttft_s"), 6).alias("median_ttft"), F.median("prompt_tokens").alias("median_prompt"), F.max("generated_tokens").cast("double").alias("max_generated"),
-        (F.max_by("prompt_tokens", "answer_id") - F.min_by("prompt_tokens", "answer_id")).cast("double").alias("last_minus_first"),
+        (F.max_by("prompt_tokens", known) - F.min_by("prompt_tokens", known)).cast("double").alias("last_minus_first"),
     )
 
 
