@@ -325,7 +325,7 @@ def scan_braced(source: str) -> Iterator[Found]:
                 doc = "\n".join(src[a:b] for a, b in comments)
                 kind = "method" if open_ and open_[-1][1] == "class" else "function"
                 begin = since + len(head) - len(head.lstrip())
-                open_.append((begin, kind, m.group(1), cleandoc(_COMMENT_MARK.sub("", doc)) or None))
+                open_.append((begin, kind, m.group(1), cleandoc(_COMMENT_MARK.sub("", doc)).strip() or None))
             else:
                 open_.append((since, "class" if _TYPE.search(head) else "block", "", None))
             since, comments = t.end(), []
