@@ -243,6 +243,24 @@ def _meet(s: JoinSettings):
     return run
 
 
+def _bound(s: JoinSettings):
+    """Pairs whose signatures allow the overlap: bits of one that the other lacks stand for shingles that
+    aren't common."""
+    t = s.similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            na, nb = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            sa, sb = (matrix(b.column(i), np.uint64, SIGNATURE // 64) for i in (4, 5))
+            lack_a, lack_b = (np.bitwise_count(x & ~y).sum(1).astype(np.int64) for x, y in ((sa, sb), (sb, sa)))
+            keep = pa.array(np.minimum(na - lack_a, nb - lack_b) >= np.ceil(t / (1 + t) * (na + nb) - 1e-9))
+            yield batch(("a", "b"), (b.column(0).filter(keep), b.column(1).filter(keep)))
+
+    return run
+
+
 def _check(s: JoinSettings):
     t = s.similarity
 
@@ -251,13 +269,10 @@ def _check(s: JoinSettings):
             if not b.num_rows:
                 continue
             one, two = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sa, sb = (matrix(b.column(i), np.uint64, SIGNATURE // 64) for i in (2, 3))
-            (na, ma), (nb, mb) = _flat(b.column(4)), _flat(b.column(5))
-            lack_a, lack_b = (np.bitwise_count(x & ~y).sum(1).astype(np.int64) for x, y in ((sa, sb), (sb, sa)))
-            need = np.ceil(t / (1 + t) * (na + nb) - 1e-9)
+            (na, ma), (nb, mb) = _flat(b.column(2)), _flat(b.column(3))
             fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
             keep = []
-            for i in np.nonzero(np.minimum(na - lack_a, nb - lack_b) >= need)[0]:
+            for i in range(b.num_rows):
                 x, y = ma[fa[i] : fa[i] + na[i]], mb[fb[i] : fb[i] + nb[i]]
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
@@ -285,7 +300,7 @@ def similar(df: DataFrame, id_col: str, text_col: str, s: JoinSettings) -> tuple
     classes = sets.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("same", "rep")
     members = durable(sets.select("same", "id").join(classes, "same").select("id", "rep").distinct())
     others = _few(members.where("id <> rep").select("id"))
-    reps = sets.join(others, "id", "left_anti").select("id", "signature", "marks")
+    reps = sets.join(others, "id", "left_anti").select("id", "size", "signature", "marks")
 
     every = max(1, records // s.sample)
     sample = sets.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0).select("marks").limit(2 * s.sample).toArrow().combine_chunks()
@@ -293,13 +308,15 @@ def similar(df: DataFrame, id_col: str, text_col: str, s: JoinSettings) -> tuple
     order = _Order(sizes, marks, records, s)
     postings = reps.select("id", "marks").mapInArrow(_postings(order, s), "key long, id long, meta long")
     met = postings.repartition(max(shuffle_width(spark), math.ceil(records / 20_000)), "key").sortWithinPartitions("key")
-    pairs = durable(met.mapInArrow(_meet(s), "a long, b long").distinct())
-
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    mine = reps.join(_few(durable(named)), "id", "left_semi").dropDuplicates(["id"])
-    left = mine.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("marks").alias("ma"))
-    right = mine.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("marks").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ma", "mb")
+    pairs = met.mapInArrow(_meet(s), "a long, b long").distinct()
+    signed = reps.select("id", "size", "signature").dropDuplicates(["id"])
+    both = pairs.join(signed.toDF("a", "na", "sa"), "a").join(signed.toDF("b", "nb", "sb"), "b")
+    able = durable(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bound(s), "a long, b long"))
+
+    # the arrays of just those records that are still in a pair
+    named = able.select(F.col("a").alias("id")).unionByName(able.select(F.col("b").alias("id"))).distinct()
+    mine = reps.select("id", "marks").join(_few(durable(named)), "id", "left_semi").dropDuplicates(["id"])
+    both = able.join(mine.toDF("a", "ma"), "a").join(mine.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
     return both.mapInArrow(_check(s), "a long, b long, similarity double"), members
 
 
