@@ -37,7 +37,9 @@ def _marked(text: Column) -> Column:
 def _word_tokens(word: Column, marked: Column) -> Column:
     # without an underscore the word is its only part; each expression is named once, as lambdas share none
     parts = F.filter(F.split(F.lower(marked), "_"), lambda p: p != "")
-    return F.when(F.contains(marked, F.lit("_")), F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
+    # a mark before the word's first letter only parts it from digits
+    several = F.contains(word, F.lit("_")) | (F.locate("_", marked, 2) > 0)
+    return F.when(several, F.concat(F.array(F.lower(word)), parts)).otherwise(F.array(F.lower(word)))
 
 
 def identifier_tokens(word: Column) -> Column:
