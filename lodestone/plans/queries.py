@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, evaluation, fusion, graph, lexical, packing, ranges
+from ..operators import callgraph, dense, evaluation, extract, fusion, graph, lexical, packing, ranges
+from ..operators.latest import latest
 from ..session import durable
 from ..sources.tables import load
 from . import base
@@ -306,6 +307,30 @@ def scope_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("corpus", "symbol").agg(F.when(agree, F.min("kind")).alias("kind"), F.count("*").alias("n"))
 
 
+@query
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol of every source file, as the parser finds it now."""
+    return extract.symbols(_files(spark, sf_dir)).drop("source")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = load(spark, sf_dir, "source_files", "file_id", "corpus", "path", "source", "indexed_at")
+    return latest(files, ["file_id"], "indexed_at").select("corpus", "path", "source")
+
+
+@query
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed edges between the symbols of each corpus, by full name resolution."""
+    return callgraph.call_graph(extract.facts(_files(spark, sf_dir)))[0]
+
+
+@query
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every reference: resolved, or the reason why not."""
+    outcomes = callgraph.call_graph(extract.facts(_files(spark, sf_dir)))[1]
+    return outcomes.groupBy("corpus", F.col("target").alias("use"), F.coalesce("reason", F.lit("resolved")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 # Symbols and lines
 
 
