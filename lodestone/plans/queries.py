@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.embed import hash_embedding
+from ..functions.stem import stems
 from ..operators import callgraph, dense, evaluation, extract, fusion, graph, lexical, packing, ranges
 from ..operators.latest import latest
+from ..operators.replies import loop_cut
 from ..session import durable
 from ..sources.tables import load
 from . import base
@@ -649,3 +652,38 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     unsupported = F.size(F.array_except(F.coalesce("cited", F.array().cast("array<string>")), "supported"))
     status = F.when(F.col("told") == "abstained", "abstained").when(F.col("ok") == 0, "unverified").when((F.col("ok") == F.col("quotes")) & (unsupported == 0), "verified").otherwise("partial")
     return rows.join(marks, "answer_id").select("answer_id", status.alias("status"), "quotes", F.col("ok").alias("verified_quotes"))
+
+
+# Queries without SQL: their folds and models are tested on small inputs
+
+
+@query
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every distinct token of the chunks, where it differs."""
+    tokens = base.token_table(spark, sf_dir).select(F.explode("tokens").alias("token")).distinct()
+    return tokens.withColumn("stem", stems(F.col("token"))).where("stem <> token")
+
+
+@query
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash embedding of every question."""
+    rows = base.questions(spark, sf_dir, "question")
+    vector = F.posexplode(hash_embedding(F.col("question"))).alias("axis", "value")
+    return rows.select("question_id", vector).where("value <> 0").select("question_id", "axis", F.round("value", 9).alias("value"))
+
+
+@query
+def part_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ranges of each chunk filled greedily up to 200 words less those of its header."""
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    rows = base.embedding_texts(spark, sf_dir).withColumn("lines", F.split("source", "\n"))
+    budget = F.greatest(F.lit(200) - words(F.col("header")), F.lit(50))
+    return rows.select("chunk_no", F.posexplode(packing.greedy_parts(F.transform("lines", words), budget)).alias("part_no", "p")).select("chunk_no", "part_no", F.col("p.first").alias("first_line"), F.col("p.last").alias("last_line"))
+
+
+@query
+def reply_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the guard cuts each reply that loops, beside the logged flag."""
+    rows = base.answers(spark, sf_dir, "text", "raw_text", "stopped_for_repetition")
+    cut = loop_cut(F.coalesce("raw_text", "text"))
+    return rows.select("answer_id", cut.alias("keep"), "stopped_for_repetition").where("keep is not null")
