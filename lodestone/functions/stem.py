@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,7 +42,6 @@ def _ends_short(w: str) -> bool:
     return bool(re.search(f"(?:[^{_VOWEL}][{_VOWEL}][^{_VOWEL}wxY]|^[{_VOWEL}][^{_VOWEL}])$", w))
 
 
-@lru_cache(maxsize=100_000)
 def stem_word(word: str) -> str:
     """The stem of a lower-case word; words of up to two letters stay."""
     if len(word) < 3:

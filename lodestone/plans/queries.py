@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.embed import hash_embedding
 from ..functions.stem import stems
-from ..operators import callgraph, dense, evaluation, extract, fusion, graph, lexical, packing, ranges
+from ..operators import callgraph, context, dense, evaluation, extract, fusion, graph, lexical, packing, ranges
 from ..operators.latest import latest
 from ..operators.replies import loop_cut
 from ..session import durable
@@ -687,3 +687,14 @@ def reply_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.answers(spark, sf_dir, "text", "raw_text", "stopped_for_repetition")
     cut = loop_cut(F.coalesce("raw_text", "text"))
     return rows.select("answer_id", cut.alias("keep"), "stopped_for_repetition").where("keep is not null")
+
+
+@query
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks that fit into 1,500 tokens, of each question's ranked chunks."""
+    rows = base.chunks(spark, sf_dir, "chunk_id", "kind", "start_line", "end_line", "spans", "source")
+    rows = rows.withColumn("numbers", ranges.line_numbers(F.col("spans"), F.col("start_line"), F.col("end_line"))).drop("spans").where("source is not null")
+    asked = base.questions(spark, sf_dir, "question")
+    hits = base.hits(spark, sf_dir, "first_line", "last_line").withColumnsRenamed({"first_line": "from_line", "last_line": "to_line"})
+    found = context.contexts(hits.join(asked, "question_id").join(rows, "chunk_no"), 1500)
+    return found.select("question_id", "tag", "chunk_no", "cut", "first_shown", "last_shown", "n_tokens")
