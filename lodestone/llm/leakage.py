@@ -136,7 +136,7 @@ def _search(p: Phrases, shard_words: int):
 
 def leaked_spans(
     docs: DataFrame, doc_col: str, text_col: str, items: DataFrame, item_col: str, item_text: Column,
-    run: int = 13, shard_words: int = 600_000, block: int = 20_000,
+    run: int = 13, shard_words: int = 600_000, block: int = 2_000,
 ) -> DataFrame:
     """``doc_id, item_id, start_pos, end_pos, n_words``: the maximal unions of phrases of ``run`` words that
     a document shares with an item, as code-point positions to remove."""

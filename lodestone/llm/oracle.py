@@ -13,6 +13,17 @@ ranked AS (SELECT q, n, c, row_number() OVER (PARTITION BY q ORDER BY c DESC, n)
 SELECT DISTINCT least(q, n) AS vec_id_a, greatest(q, n) AS vec_id_b FROM ranked WHERE r <= 5 AND c >= 0.95
 """
 
+SQL["p2_top5"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM index_vectors
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour_id) AS r FROM pairs)
+SELECT vec_id, neighbour_id FROM ranked WHERE r <= 5
+"""
+
 SQL["p5_found"] = r"""
 WITH t AS (
   SELECT DISTINCT answer_id, lower(trim(regexp_replace(coalesce(raw_text, text), '[\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}\p{Zs}]+', ' ', 'g'))) AS s FROM answers),
