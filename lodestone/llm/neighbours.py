@@ -5,6 +5,11 @@ on a Hilbert curve. The rows of every curve are range-partitioned by curve posit
 each block is compared with itself and the block before it, and every row keeps its best neighbours of
 each window. The lists of all curves merge into one.
 
+Windows of a fixed length can't hold a dense group of similar but unequal vectors, whatever the curve. A row
+whose ``k`` best on the curves all reach ``crowd`` stands in such a group: its list is made again by
+comparing it with every row, in blocks of ``block`` such rows. Only rows in sparser places keep the
+curves' lists.
+
 Defined cases: vectors that are null, of another length, all zero or that hold nulls, NaN or infinite
 values take no part. An empty table gives an empty result. Ties of cosine go to the smaller id. Rows that
 repeat an id with the same vector count once. Vectors with equal codes (below) are one point of the curve
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import batch, fixed_binary, matrix
 from ..functions.hilbert import hilbert_key
 from ..session import durable
+from .near_duplicates import BROADCAST_IDS
 
 SCALE = 32767.0
 NEAR = 3e-5
@@ -38,7 +44,9 @@ SALT_BITS = 22
 @dataclass(frozen=True)
 class CurveSettings:
     """``sample`` bounds the rows that the projections' spread and the range bounds are fitted on; every
-    row is indexed. ``window`` is the block length; ``rows_per_range`` the rows of one range of a curve."""
+    row is indexed. ``window`` is the block length; ``rows_per_range`` the rows of one range of a curve.
+    ``crowd`` is the cosine that all neighbours of a crowded row reach, ``block`` how many of those are
+    compared with all rows at once."""
 
     dim: int = 64
     k: int = 5
@@ -50,6 +58,8 @@ class CurveSettings:
     rows_per_range: int = 60_000
     sample: int = 16_384
     seed: int = 5
+    crowd: float = 0.85
+    block: int = 16_384
 
 
 def unit_vectors(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +156,7 @@ def _best(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndar
 
 def _windows(s: CurveSettings):
     """Neighbours within the windows of each range. Reads rows sorted by range and key."""
-    least, members = s.min_cosine - NEAR, s.k + 1
+    least, members = min(s.min_cosine, s.crowd) - NEAR, s.k + 1
     weights = np.random.default_rng(7).integers(1, 2**63 - 1, s.dim, dtype=np.int64)
 
     def block(state: dict, ids: np.ndarray, code: np.ndarray, out: list[tuple[int, int, float]]) -> None:
@@ -258,18 +268,28 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, s: CurveSettings = CurveSettings()) -> DataFrame:
-    """``vec_id, neighbour_id, cosine, neighbour_rank``: up to ``s.k`` neighbours of each vector that the
-    curves find, of at least ``s.min_cosine``. See the module for the defined cases."""
+    """``vec_id, neighbour_id, cosine, neighbour_rank``: up to ``s.k`` neighbours of each vector, of at least
+    ``s.min_cosine``: the true ones of crowded rows, those that the curves find of others. See the module
+    for the defined cases."""
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     curves = _fit(vectors, s)
     ranges = sum(c.ranges for c in curves)
     placed = vectors.mapInArrow(_place(curves, s.dim), "part int, key long, vec_id long, code binary")
     ordered = placed.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key")
     found = ordered.select("part", "vec_id", "code").mapInArrow(_windows(s), "vec_id long, neighbour_id long, cosine double")
-    if s.min_cosine <= -1:
-        return _ranked(found, s.k)
     pairs = durable(found.groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine")))
-    return _ranked(_decided(pairs, vectors, s), s.k)
+    # k equal codes leave nothing nearer to be found
+    counts = pairs.groupBy("vec_id").agg(F.count_if(F.col("cosine") >= s.crowd - NEAR).alias("near"), F.count_if(F.col("cosine") >= 1).alias("equal"))
+    crowded = durable(counts.where((F.col("near") >= s.k) & (F.col("equal") < s.k)).select("vec_id"))
+    n = crowded.count()
+    if n:
+        asked = durable(vectors.join(F.broadcast(crowded) if n <= BROADCAST_IDS else crowded, "vec_id", "left_semi"))
+        pairs = pairs.join(crowded, "vec_id", "left_anti")
+        for hits in _compared(vectors, asked, n, s.block, s, s.min_cosine - NEAR):
+            pairs = pairs.unionByName(durable(hits))
+    if s.min_cosine <= -1:
+        return _ranked(pairs, s.k)
+    return _ranked(_decided(pairs.where(F.col("cosine") >= s.min_cosine - 2 * NEAR), vectors, s), s.k)
 
 
 def _decided(pairs: DataFrame, vectors: DataFrame, s: CurveSettings) -> DataFrame:
@@ -292,51 +312,70 @@ def _decided(pairs: DataFrame, vectors: DataFrame, s: CurveSettings) -> DataFram
     return sure.unionByName(exact.where(F.col("cosine") >= s.min_cosine))
 
 
-def _scan(ids: np.ndarray, queries: np.ndarray, dim: int, k: int):
+def _scan(ids: np.ndarray, queries: np.ndarray, dim: int, k: int, least: float = -1.5):
+    """The ``k`` nearest rows of at least ``least`` for each of ``queries``, of the rows that a task reads."""
+
+    def merge(top: np.ndarray, who: np.ndarray, at: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
+        both = np.concatenate([top[at], scores[at]], 1)
+        names = np.concatenate([who[at], np.broadcast_to(own, (len(at), len(own)))], 1)
+        r, c = np.nonzero(both >= np.partition(both, -k, axis=1)[:, -k][:, None])
+        order = np.lexsort((names[r, c], -both[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, place = r[place < k], c[place < k], place[place < k]
+        top[at[r], place], who[at[r], place] = both[r, c], names[r, c]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.full((len(ids), k), -2.0, np.float32)
         who = np.full((len(ids), k), -1, np.int64)
+        seen = np.zeros(0, np.int64)
         for b in batches:
             own, unit = unit_vectors(b.column(0), b.column(1), dim)
+            own, first = np.unique(own, return_index=True)
+            fresh = ~np.isin(own, seen)
+            own, unit = own[fresh], unit[first[fresh]]
+            seen = np.concatenate([seen, own])
             for lo in range(0, len(own), 2048):
-                scores = queries @ unit[lo : lo + 2048].T
-                scores[ids[:, None] == own[None, lo : lo + 2048]] = -2
-                at = np.nonzero(scores.max(1, initial=-2) > top[:, -1])[0]
-                if not len(at):
-                    continue
-                both = np.concatenate([top[at], scores[at]], 1)
-                names = np.concatenate([who[at], np.broadcast_to(own[lo : lo + 2048], (len(at), scores.shape[1]))], 1)
-                best = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, 1), axis=1, kind="stable"), 1)
-                top[at], who[at] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+                part = own[lo : lo + 2048]
+                for q in range(0, len(ids), 2048):
+                    mine = slice(q, q + 2048)
+                    scores = queries[mine] @ unit[lo : lo + 2048].T
+                    self_at = np.minimum(np.searchsorted(part, ids[mine]), len(part) - 1)
+                    self_in = np.nonzero(part[self_at] == ids[mine])[0]
+                    scores[self_in, self_at[self_in]] = -2
+                    at = np.nonzero(scores.max(1) >= np.maximum(top[mine, -1], least))[0]
+                    if len(at):
+                        merge(top[mine], who[mine], at, scores, part)
         q, n, c = np.repeat(ids, k), who.ravel(), top.ravel().astype(np.float64)
-        real = n >= 0
+        real = (n >= 0) & (c >= least)
         yield batch(("vec_id", "neighbour_id", "cosine"), (pa.array(q[real]), pa.array(n[real]), pa.array(c[real])))
 
     return run
 
 
-def nearest_of(
-    df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, s: CurveSettings, block: int = 4096
-) -> DataFrame:
-    """The ``s.k`` nearest rows of all of ``df`` for each of a stated set of ``queries`` (same columns).
-
-    A query whose ``k`` neighbours on the curves all reach ``s.min_cosine`` has its final list; the
-    others are compared with every row, ``block`` queries at a time. Ids are taken as unique.
-    """
-    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    listed = durable(nearest(df, id_col, vector_col, s).join(asked.select("vec_id").distinct(), "vec_id", "left_semi"))
-    done = listed.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") >= s.k).select("vec_id")
-    still = durable(asked.join(done, "vec_id", "left_anti"))
-    result = listed.join(done, "vec_id", "left_semi")
-    blocks = math.ceil(still.count() / block)
+def _compared(vectors: DataFrame, asked: DataFrame, n: int, block: int, s: CurveSettings, least: float) -> Iterator[DataFrame]:
+    """``vec_id, neighbour_id, cosine``, a table for each block of about ``block`` of the ``n`` rows ``asked``:
+    the best that every task finds."""
+    blocks = math.ceil(n / block)
     for i in range(blocks):
-        part = still.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not part.num_rows:
             continue
         ids, unit = unit_vectors(part.column(0).chunk(0), part.column(1).chunk(0), s.dim)
         ids, first = np.unique(ids, return_index=True)
-        hits = vectors.mapInArrow(_scan(ids, unit[first], s.dim, s.k), "vec_id long, neighbour_id long, cosine double")
+        yield vectors.mapInArrow(_scan(ids, unit[first], s.dim, s.k, least), "vec_id long, neighbour_id long, cosine double")
+
+
+def nearest_of(
+    df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, s: CurveSettings, block: int = 4096
+) -> DataFrame:
+    """The ``s.k`` nearest rows of all of ``df`` for each of a stated set of ``queries`` (same columns): each
+    is compared with every row, ``block`` queries at a time. Ids are taken as unique.
+    """
+    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    asked = durable(queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")))
+    none = df.sparkSession.createDataFrame([], "vec_id long, neighbour_id long, cosine double")
+    result = _ranked(none, s.k)
+    for hits in _compared(vectors, asked, asked.count(), block, s, -1.5):
         result = result.unionByName(_ranked(hits, s.k))
     return result

@@ -104,6 +104,24 @@ def test_many_copies_keep_five_neighbours(spark):
     assert rows(count.groupBy("count").agg(F.count("*").alias("n")), "count", "n") == [(5, 600)]
 
 
+def test_dense_group_keeps_its_true_neighbours(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(64)
+    v = rng.standard_normal((3000, 64))
+    v[:1000] = centre / np.linalg.norm(centre) + 0.176 / 8 * v[:1000]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(i, v[i].tolist()) for i in range(3)], "vec_id long, embedding array<float>")
+    s = neighbours.CurveSettings(min_cosine=0.95, window=32, rows_per_range=500, block=300)
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    want = {(i, int(j)) for i in range(len(v)) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.95}
+    got = {(r.vec_id, r.neighbour_id) for r in neighbours.nearest(df, "vec_id", "embedding", s).collect()}
+    assert len(want) == 5000 and len(want & got) >= 4995 and len(got) == 5000
+    asked = neighbours.nearest_of(df, "vec_id", "embedding", df.where("vec_id % 50 = 0").dropDuplicates(["vec_id"]), s).collect()
+    mine = {(r.vec_id, r.neighbour_id) for r in asked if r.vec_id < 1000}
+    assert len(mine) == 100 and len(mine & want) >= 99
+
+
 def test_stated_queries_get_the_exact_five(spark):
     v = vectors(400)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
