@@ -126,3 +126,25 @@ def stems(word: Column) -> Column:
         return words.map(stem_word, na_action="ignore")
 
     return run(word)
+
+
+def added_stems(parts: Column) -> Column:
+    """The stems of an array's words where they differ from the word; each distinct word is stemmed once a batch."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def one(words):
+            out = []
+            for w in words:
+                s = known.get(w)
+                if s is None:
+                    s = known[w] = stem_word(w)
+                if s != w:
+                    out.append(s)
+            return out
+
+        return lists.map(one, na_action="ignore")
+
+    return run(parts)

@@ -48,6 +48,21 @@ def identifier_tokens(word: Column) -> Column:
     return _word_tokens(word, _marked(word))
 
 
+def _word_parts(word: Column, marked: Column) -> Column:
+    several = F.contains(word, F.lit("_")) | (F.locate("_", marked, 2) > 0)
+    return F.when(several, F.filter(F.split(F.lower(marked), "_"), lambda p: p != "")).otherwise(F.array(F.lower(word)))
+
+
+def identifier_parts(word: Column) -> Column:
+    """The lower-cased snake and camel parts of a word; a word of one part is its own part."""
+    return _word_parts(word, _marked(word))
+
+
+def code_parts(text: Column) -> Column:
+    """The parts of all words of ``text``, in order."""
+    return F.flatten(F.zip_with(identifier_words(text), identifier_words(_marked(text)), _word_parts))
+
+
 def code_tokens(text: Column) -> Column:
     """The tokens of all words of ``text``, in order."""
     return F.flatten(F.zip_with(identifier_words(text), identifier_words(_marked(text)), _word_tokens))

@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_STOPWORDS, identifier_tokens, idf, looks_like_identifier, query_words
+from ..functions.stem import added_stems
+from ..functions.text import QUERY_STOPWORDS, identifier_parts, identifier_tokens, idf, looks_like_identifier, query_words
 from ..session import durable
 
 K1, B = 1.5, 0.75
 
 
-def query_tokens(queries: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+def query_tokens(queries: DataFrame, symbols: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """``part, qid, token, qtf`` of ``queries`` (part, qid, query): code tokens without common words, except
     those between backticks, that look like identifiers or that name a symbol (``part, name``, lower case)
-    of the part. A token that comes several times counts as often."""
+    of the part, and the stems of their parts with ``stem``. A token that comes several times counts as often."""
     words = queries.select("part", "qid", F.explode(query_words(F.col("query"))).alias("w")).select("part", "qid", "w.word", "w.quoted")
     words = words.withColumn("low", F.lower("word"))
     common = F.col("low").isin(*QUERY_STOPWORDS) & ~F.col("quoted") & ~looks_like_identifier(F.col("word"))
@@ -28,7 +29,10 @@ def query_tokens(queries: DataFrame, symbols: DataFrame | None = None) -> DataFr
         words = words.join(named, ["part", "low"], "left")
         common = common & F.col("named").isNull()
     kept = words.where(~common)
-    tokens = kept.select("part", "qid", F.explode(identifier_tokens(F.col("word"))).alias("token"))
+    every = identifier_tokens(F.col("word"))
+    if stem:
+        every = F.concat(every, added_stems(identifier_parts(F.col("word"))))
+    tokens = kept.select("part", "qid", F.explode(every).alias("token"))
     return tokens.groupBy("part", "qid", "token").agg(F.count("*").alias("qtf"))
 
 

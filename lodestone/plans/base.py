@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, embedding_header
+from ..functions.stem import added_stems
+from ..functions.text import code_parts, code_tokens, embedding_header
 from ..operators.latest import latest
 from ..sources.tables import load
 
@@ -59,11 +60,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.distinct().join(ids, ["corpus", "chunk_id"]).select("question_id", "item").distinct()
 
 
-def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part, doc, tokens of every chunk: path, qualified name and source."""
+def token_table(spark: SparkSession, sf_dir: str, stem: bool = True) -> DataFrame:
+    """part, doc, tokens of every chunk: path, qualified name and source, with the stems of their parts."""
     rows = chunks(spark, sf_dir, "corpus", "path", "parent", "symbol", "source")
     text = F.concat_ws(" ", "path", "qualname", F.coalesce("source", F.lit("")))
-    return rows.select(F.col("corpus").alias("part"), F.col("chunk_no").alias("doc"), code_tokens(text).alias("tokens"))
+    return rows.select(F.col("corpus").alias("part"), F.col("chunk_no").alias("doc"), (F.concat(code_tokens(text), added_stems(code_parts(text))) if stem else code_tokens(text)).alias("tokens"))
 
 
 def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,15 +38,19 @@ def tokenize_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("symbol", F.array_join(T.identifier_tokens(F.col("symbol")), " ").alias("tokens"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str, stem: bool = True) -> DataFrame:
     rows = base.questions(spark, sf_dir, "corpus", "question").where("question is not null")
     asked = rows.select(F.col("corpus").alias("part"), F.col("question_id").alias("qid"), F.col("question").alias("query"))
-    return lexical.query_tokens(asked, base.symbol_names(spark, sf_dir))
+    return lexical.query_tokens(asked, base.symbol_names(spark, sf_dir), stem)
 
 
 @query
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir).select(F.col("qid").alias("question_id"), "token", "qtf")
+    return _query_tokens(spark, sf_dir, False)
+
+
+def _query_tokens(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    return _asked(spark, sf_dir, stem).select(F.col("qid").alias("question_id"), "token", "qtf")
 
 
 @query
@@ -89,12 +93,20 @@ def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.token_table(spark, sf_dir).select(F.col("doc").alias("chunk_no"), F.size("tokens").alias("n_tokens"))
+    return _doc_lengths(spark, sf_dir, False)
+
+
+def _doc_lengths(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    return base.token_table(spark, sf_dir, stem).select(F.col("doc").alias("chunk_no"), F.size("tokens").alias("n_tokens"))
 
 
 @query
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = base.token_table(spark, sf_dir)
+    return _term_df_idf(spark, sf_dir, False)
+
+
+def _term_df_idf(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    table = base.token_table(spark, sf_dir, stem)
     docs = table.groupBy("part").agg(F.count("*").alias("docs"))
     df = table.select("part", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("part", "token").agg(F.count("*").alias("df"))
     return df.join(docs, "part").select(F.col("part").alias("corpus"), "token", "df", F.round(T.idf(F.col("docs"), F.col("df")), 6).alias("idf"))
@@ -103,7 +115,11 @@ def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each question in its corpus."""
-    found = lexical.bm25(base.token_table(spark, sf_dir), _asked(spark, sf_dir), 10)
+    return _bm25_topk(spark, sf_dir, False)
+
+
+def _bm25_topk(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    found = lexical.bm25(base.token_table(spark, sf_dir, stem), _asked(spark, sf_dir, stem), 10)
     return found.select(F.col("qid").alias("question_id"), "bm25_rank", F.col("doc").alias("chunk_no"), "score")
 
 
@@ -147,8 +163,8 @@ def dense_part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fusion
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = lexical.bm25(base.token_table(spark, sf_dir), _asked(spark, sf_dir), 50)
+def _fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    lex = lexical.bm25(base.token_table(spark, sf_dir, stem), _asked(spark, sf_dir, stem), 50)
     sem = _dense(spark, sf_dir, 50)
     lists = lex.select("qid", F.lit("bm25").alias("source"), F.col("doc").alias("item"), F.col("bm25_rank").alias("item_rank")).unionByName(
         sem.select("qid", F.lit("dense").alias("source"), F.col("doc").alias("item"), F.col("dense_rank").alias("item_rank"))
@@ -159,7 +175,11 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rrf_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both retrievers' 50 best chunks of each question fused; the first ten."""
-    top = _fused(spark, sf_dir).where("fused_rank <= 10")
+    return _rrf_fused(spark, sf_dir, False)
+
+
+def _rrf_fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
+    top = _fused(spark, sf_dir, stem).where("fused_rank <= 10")
     return top.select(F.col("qid").alias("question_id"), "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
@@ -660,10 +680,36 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stem of every distinct token of the chunks, where it differs."""
-    tokens = base.token_table(spark, sf_dir).select(F.explode("tokens").alias("token")).distinct()
+    tokens = base.token_table(spark, sf_dir, False).select(F.explode("tokens").alias("token")).distinct()
     return tokens.withColumn("stem", stems(F.col("token"))).where("stem <> token")
 
 
+@query
+def query_tokens_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_tokens`` with stems, as retrieval asks them; the four below likewise. SQL can't stem."""
+    return _query_tokens(spark, sf_dir, True)
+
+
+@query
+def doc_lengths_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_lengths(spark, sf_dir, True)
+
+
+@query
+def term_df_idf_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _term_df_idf(spark, sf_dir, True)
+
+
+@query
+def bm25_topk_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25_topk(spark, sf_dir, True)
+
+
+@query
+def rrf_fused_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rrf_fused(spark, sf_dir, True)
+
+
 @query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash embedding of every question."""

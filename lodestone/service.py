@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.embed import hash_embedding
-from .functions.text import code_tokens
+from .functions.stem import added_stems
+from .functions.text import code_parts, code_tokens
 from .operators import dense, fusion, graph, lexical
 from .sources.store import IndexStore
 
@@ -64,9 +65,11 @@ class Service:
         asked = queries.where(F.trim("query") != "").select(F.lit("all").alias("part"), F.col("qid").cast("long").alias("qid"), "query")
         lists = None
         if settings.mode != "dense":
-            docs = self.chunks.join(self.numbers, "chunk_id").select(F.lit("all").alias("part"), "doc", code_tokens(F.concat_ws(" ", "path", "qualname", "source")).alias("tokens"))
+            text = F.concat_ws(" ", "path", "qualname", "source")
+            tokens = F.concat(code_tokens(text), added_stems(code_parts(text))).alias("tokens")
+            docs = self.chunks.join(self.numbers, "chunk_id").select(F.lit("all").alias("part"), "doc", tokens)
             names = self.chunks.where("kind <> 'module'").select(F.lit("all").alias("part"), F.lower("symbol").alias("name"))
-            found = lexical.bm25(docs, lexical.query_tokens(asked, names), n)
+            found = lexical.bm25(docs, lexical.query_tokens(asked, names, stem=True), n)
             lists = found.select("qid", F.lit("bm25").alias("source"), F.col("doc").alias("item"), F.col("bm25_rank").alias("item_rank"), F.lit(1.0).alias("weight"))
         relevance = None
         if settings.mode != "bm25":

@@ -227,3 +227,32 @@ def test_running_total_over_a_hot_group(spark):
 def test_latest(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", None), (2, None, None)], "k int, x string, by int")
     assert sorted((r.k, r.x) for r in latest(df, ["k"], "by").collect()) == [(1, "b"), (2, None)]
+
+
+def test_retrieval_takes_stems_beside_tokens(spark, tmp_path):
+    from lodestone.functions.stem import stem_word
+    from lodestone.plans.queries import QUERIES
+
+    sources = {1: "close all", 2: "closing_handles runningJobs", 3: "opens a b c d e f", 4: "x y z"}
+    chunks = [(n, "c", "p.py", None, f"f{n}", "function", text, 1) for n, text in sources.items()]
+    spark.createDataFrame(chunks, "chunk_no long, corpus string, path string, parent string, symbol string, kind string, source string, indexed_at long").write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = [(1, "c", "Who closes the `running_jobs`?", "tune", [], 1)]
+    spark.createDataFrame(asked, "question_id long, corpus string, question string, split string, relevant array<string>, created_at long").write.parquet(f"{tmp_path}/questions.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r.token, r.qtf) for r in run("query_tokens_stemmed")} == {("closes", 1), ("close", 1), ("running_jobs", 1), ("running", 1), ("jobs", 1), ("run", 1), ("job", 1)}
+    # by hand: p py, the name, then the source's words, parts and their stems
+    two = "p py f2 closing_handles closing handles close handl runningjobs running jobs run job".split()
+    assert [stem_word(w) for w in ("closing", "handles", "running", "jobs")] == ["close", "handl", "run", "job"]
+    lengths = {r.chunk_no: r.n_tokens for r in run("doc_lengths_stemmed")}
+    assert lengths == {1: 5, 2: len(two), 3: 11, 4: 6}
+    df = {r.token: r.df for r in run("term_df_idf_stemmed")}
+    assert df["close"] == 2 and df["closing"] == 1 and df["open"] == 1
+    import math
+
+    idf = lambda n: math.log(1 + (4 - n + 0.5) / (n + 0.5))
+    norm = lambda n: 1.5 * (0.25 + 0.75 * n / (sum(lengths.values()) / 4))
+    part = lambda n, dl: idf(n) * 2.5 / (1 + norm(dl))
+    got = {(r.chunk_no, r.bm25_rank): r.score for r in run("bm25_topk_stemmed")}
+    want = {(2, 1): part(2, len(two)) + 4 * part(1, len(two)), (1, 2): part(2, 5)}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert {r.chunk_no for r in run("bm25_topk")} == {2}
