@@ -13,8 +13,8 @@ No pair of different sets at or above the similarity is lost: each bound is a tr
 only decides how much work is done.
 
 Defined cases: null texts and texts below ``least`` tokens take no part. Rows that repeat an id count
-once. Classes of up to ``expand`` records come out as all their pairs, larger ones as pairs with their
-smallest id.
+once. Classes and links come out as all their pairs of records, except that more than ``expand`` records
+of exactly equal text are tied to their smallest id, which alone takes part in further pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 SIGNATURE = 256
 #: Ids that may be broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
+#: Records of a class that meet others in one block.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -114,8 +116,8 @@ def _prepare(s: JoinSettings):
                     m = marks.view(np.uint64)
                     same = np.stack([np.add.reduceat(_mixed(m ^ np.uint64(k)), first) for k in (0x1234567, 0x89ABCDE)], 1)
                 yield batch(
-                    ("id", "size", "same", "signature", "marks"),
-                    (pa.array(ids[lo + part]), pa.array(sizes.astype(np.int32)), fixed_binary(same), fixed_binary(signatures(sizes, marks)), _var_binary(marks, sizes)),
+                    ("id", "text_mark", "size", "same", "signature", "marks"),
+                    (pa.array(ids[lo + part]), b.column(2).take(pa.array(lo + part)), pa.array(sizes.astype(np.int32)), fixed_binary(same), fixed_binary(signatures(sizes, marks)), _var_binary(marks, sizes)),
                 )
 
     return run
@@ -292,13 +294,16 @@ def _few(ids: DataFrame) -> DataFrame:
 
 def similar(df: DataFrame, id_col: str, text_col: str, s: JoinSettings) -> tuple[DataFrame, DataFrame]:
     """Links ``a, b, similarity`` between classes of equal sets (each named by its smallest id, a < b), and
-    the ``members`` ``id, rep`` of all classes of two and more."""
+    the ``members`` ``id, rep, copy`` of all classes of two and more; ``copy`` is the smallest id with the same text."""
     spark = df.sparkSession
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
-    sets = durable(source.mapInArrow(_prepare(s), "id long, size int, same binary, signature binary, marks binary"))
+    source = source.withColumn("text_mark", F.unhex(F.md5("text")))
+    sets = durable(source.mapInArrow(_prepare(s), "id long, text_mark binary, size int, same binary, signature binary, marks binary"))
     records = sets.count()
     classes = sets.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("same", "rep")
-    members = durable(sets.select("same", "id").join(classes, "same").select("id", "rep").distinct())
+    marked = durable(sets.select("same", "id", "text_mark").join(classes, "same").groupBy("id", "rep").agg(F.min("text_mark").alias("text_mark")))
+    copies = marked.groupBy("rep", "text_mark").agg(F.min("id").alias("copy"))
+    members = durable(marked.join(copies, ["rep", "text_mark"]).select("id", "rep", "copy"))
     others = _few(members.where("id <> rep").select("id"))
     reps = sets.join(others, "id", "left_anti").select("id", "size", "signature", "marks")
 
@@ -321,15 +326,22 @@ def similar(df: DataFrame, id_col: str, text_col: str, s: JoinSettings) -> tuple
 
 
 def expanded_pairs(links: DataFrame, members: DataFrame, expand: int = 16) -> DataFrame:
-    """Pairs ``a, b`` of records: all pairs of linked classes and within classes of up to ``expand``
-    records; a larger class takes part by its smallest id, to which its members are tied."""
-    small = members.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") <= expand).select("rep")
-    shown = members.join(small, "rep", "left_semi")
-    one = links.join(shown.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a", "left")
-    two = one.join(shown.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b", "left")
+    """Pairs ``a, b`` of records: all pairs within classes and of linked classes, in blocks of about
+    ``BLOCK`` records a class. More than ``expand`` records of equal text take part by their smallest id, to
+    which the others are tied."""
+    large = durable(members.groupBy("rep", "copy").agg(F.count("*").alias("n")).where(F.col("n") > expand).select("rep", "copy"))
+    shown = members.join(large, ["rep", "copy"], "left_anti").select("rep", "id").unionByName(large.select("rep", F.col("copy").alias("id")))
+    blocks = durable(shown.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    shown = durable(shown.join(blocks, "rep").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    one = links.select("a", "b").join(blocks.toDF("a", "na"), "a", "left").join(blocks.toDF("b", "nb"), "b", "left")
+    slots = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    one = one.withColumn("sa", slots(F.col("na"))).withColumn("sb", slots(F.col("nb"))).select("a", "b", "sa", "sb")
+    two = one.join(shown.select(F.col("rep").alias("a"), F.col("slot").alias("sa"), F.col("id").alias("ia")), ["a", "sa"], "left")
+    two = two.join(shown.select(F.col("rep").alias("b"), F.col("slot").alias("sb"), F.col("id").alias("ib")), ["b", "sb"], "left")
     across = two.select(F.coalesce("ia", "a").alias("x"), F.coalesce("ib", "b").alias("y"))
-    inside = shown.select("rep", F.col("id").alias("x")).join(shown.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    tied = members.join(small, "rep", "left_anti").where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    every = shown.withColumn("slot", slots(F.col("blocks"))).select("rep", "slot", F.col("id").alias("y"))
+    inside = shown.select("rep", "slot", F.col("id").alias("x")).join(every, ["rep", "slot"]).where("x < y").select("x", "y")
+    tied = members.join(large, ["rep", "copy"], "left_semi").where("id <> copy").select(F.col("copy").alias("x"), F.col("id").alias("y"))
     rows = across.unionByName(inside).unionByName(tied)
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 

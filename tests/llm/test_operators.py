@@ -259,6 +259,20 @@ def test_many_copies_are_tied_to_one(spark):
     assert near_duplicates.expanded_pairs(empty, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_classes_of_different_texts_come_out_as_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [(i, ("." * i + " ").join(words)) for i in range(20)]
+    copies = [(i, "-".join(words)) for i in range(100, 120)]
+    texts += [(60, " ".join(words) + " more"), (61, ", ".join(words) + " more")]
+    df = spark.createDataFrame(texts + copies, "id long, text string")
+    links, members = near_duplicates.similar(df, "id", "text", near_duplicates.JoinSettings(similarity=0.6, shingle=3))
+    shown = sorted([i for i, _ in texts] + [100])
+    want = set(combinations(shown, 2)) | {(100, i) for i in range(101, 120)}
+    assert set(rows(near_duplicates.expanded_pairs(links, members), "a", "b")) == want
+
+
 # p5
 
 
