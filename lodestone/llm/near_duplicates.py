@@ -156,10 +156,12 @@ class _Order:
         return np.minimum((place * bands).astype(np.int64), bands - 1)
 
     def band_sizes(self, bands: int) -> tuple[np.ndarray, np.ndarray]:
-        """The smallest and largest size of each band."""
+        """Bounds of the sizes of each band. A size that the sample lacks is placed at the next larger one, so
+        a band may hold sizes from the sampled one before its cut, exclusive, on."""
         n = len(self.sizes)
         cut = np.arange(bands + 1) * n / bands
-        low = self.sizes[np.minimum(np.floor(cut[:-1]).astype(int), n - 1)]
+        at = np.minimum(np.floor(cut[:-1]).astype(int), n - 1)
+        low = np.minimum(self.sizes[at], np.where(at > 0, self.sizes[at - 1].astype(np.int64) + 1, 0))
         high = self.sizes[np.minimum(np.ceil(cut[1:]).astype(int), n - 1)].astype(np.int64)
         low, high = low.astype(np.int64), high
         low[0], high[-1] = 0, 2**40

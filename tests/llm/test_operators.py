@@ -259,6 +259,18 @@ def test_many_copies_are_tied_to_one(spark):
     assert near_duplicates.expanded_pairs(empty, none).count() == 0
 
 
+def test_band_bounds_hold_sizes_that_the_sample_lacks():
+    s = near_duplicates.JoinSettings()
+    rng = np.random.default_rng(4)
+    for sizes in (np.array([10] * 50 + [100] * 50), np.array([7] * 90 + [8, 30, 31]), rng.integers(1, 300, 101)):
+        order = near_duplicates._Order(sizes, np.zeros(0, np.int64), 100_000, s)
+        for bands in (2, 3, 7, 90):
+            low, high = order.band_sizes(bands)
+            for size in range(1, 320):
+                band = order.band_of(np.full(200, size), np.arange(200), bands)
+                assert (low[band] <= size).all() and (size <= high[band]).all()
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_classes_of_different_texts_come_out_as_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
