@@ -12,9 +12,9 @@ trigger are listed in that order, so the first is the main one:
 - ``truncated``: a delimiter of code, citation or list stays open, or the last sentence has no end.
 - ``other_language``: the prose (no code, identifiers, quotations) is in another script or language.
 
-An abstention is in no language: a reply that only abstains has no other defect than a refusal. Replies
-found empty, copied or refusing are not read as truncated or foreign, since they hold no answer that could
-be.
+An empty reply has no other defect. An abstention is in no language, unless the question should be answered.
+A copied question or a reply that only refuses breaks off where a delimiter stays open or the text ends in
+the middle of a phrase; a missing full stop alone is no sign there, as both are often given without one.
 
 Defined cases: replies without a question id, or whose question doesn't exist, are no pairs and give no
 row. A re-logged reply counts once, as its latest row says, likewise a question. ``expect_abstain`` null is
@@ -162,7 +162,8 @@ def refuses(text: str) -> bool:
     return found
 
 
-def is_truncated(text: str) -> bool:
+def is_truncated(text: str, needs_end: bool = True) -> bool:
+    """Whether ``text`` breaks off; without ``needs_end``, a missing end of the last sentence is no sign."""
     body = _INVISIBLE.sub("", text).rstrip()
     if len(re.findall(r"^[ \t]*(?:```|~~~)", body, re.M)) % 2:
         return True
@@ -184,7 +185,7 @@ def is_truncated(text: str) -> bool:
     # a reply of one phrase needs no end
     if len(lines) == 1 and not re.search(r"[.!?。！？]\s", body) and len(body.split()) <= 6 and (body.isascii() or not _ja(body)):
         return _last_word(body) in DANGLING
-    return True
+    return needs_end or _last_word(body) in DANGLING
 
 
 def _ja(text: str) -> bool:
@@ -238,12 +239,14 @@ def is_foreign(text: str, question: str) -> bool:
 def defects(text: str | None, question: str | None, expect_abstain: bool | None) -> list[str]:
     if is_empty(text):
         return ["empty"]
-    if question and is_copied(text, question):
-        return ["copied_question"]
-    if refuses(text):
-        return ["refusal"] if expect_abstain is False else []
-    out = ["truncated"] if is_truncated(text) else []
-    if question and is_foreign(text, question):
+    copied, refusing = bool(question) and is_copied(text, question), refuses(text)
+    abstains = refusing and expect_abstain is not False
+    out = ["copied_question"] if copied else []
+    if refusing and not abstains:
+        out.append("refusal")
+    if is_truncated(text, needs_end=not (copied or refusing)):
+        out.append("truncated")
+    if question and not abstains and is_foreign(text, question):
         out.append("other_language")
     return out
 

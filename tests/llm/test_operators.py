@@ -53,6 +53,24 @@ def test_defects(text, question, abstain, want):
     assert bp.defects(text, question, abstain) == want
 
 
+@pytest.mark.parametrize(
+    "text, question, abstain, want",
+    [
+        ("Sorry, I can't answer that from the given chunks [C1", "Who closes it?", False, ["refusal", "truncated"]),
+        ("Sorry, I can't answer that from the given chunks [C1", "Who closes it?", True, ["truncated"]),
+        ("Sorry, I can't answer that from the given chunks [C1", "Who closes it?", None, ["truncated"]),
+        ("Sorry, I can't answer that from the given chunks", "Who closes it?", True, []),
+        ("None of the retrieved code answers this question", "Who closes it?", True, []),
+        ("Who closes the file that open_it opened", "Who closes the file that `open_it` opened?", False, ["copied_question"]),
+        ("Who closes the file that `open_it opened?", "Who closes the file that `open_it` opened?", False, ["copied_question", "truncated"]),
+        ("Lo siento, no puedo responder a esa pregunta con el código que se ha recuperado.", "What does the function return when it is empty?", False, ["refusal", "other_language"]),
+        ("Lo siento, no puedo responder a esa pregunta con el código que se ha recuperado.", "What does the function return when it is empty?", True, []),
+    ],
+)
+def test_every_defect_is_listed(text, question, abstain, want):
+    assert bp.defects(text, question, abstain) == want
+
+
 def test_broken_pairs_table(spark):
     a = spark.createDataFrame(
         [(1, 1, "", "2026-01-01", 9), (1, 1, "The pool closes it.", "2026-01-02", 9), (2, None, "", None, 9), (3, 7, "", None, 9), (4, 1, None, None, 9), (4, 1, None, None, 9)],
