@@ -13,6 +13,8 @@ trigger are listed in that order, so the first is the main one:
 - ``other_language``: the prose (no code, identifiers, quotations) is in another script or language.
 
 An empty reply has no other defect. An abstention is in no language, unless the question should be answered.
+The prose's language is told by its script, else by its frequent words; where neither tells it, the pair is not
+judged by ``other_language`` and the language column is null.
 A copied question or a reply that only refuses breaks off where a delimiter stays open or the text ends in
 the middle of a phrase; a missing full stop alone is no sign there, as both are often given without one.
 
@@ -62,8 +64,22 @@ REFUSALS = {
     "fr": (r"\bje ne (?:peux|puis|sais|suis) pas\b", r"\bne (?:dit|disent|mentionnent?|contiennent|contient|permet(?:tent)?) (?:rien|pas)\b", r"\bimpossible de répondre\b", r"\baucun\w*\b.{0,40}\bne répond"),
     "ja": (r"(?:お答え|回答|お手伝い|お応え|説明|判断)(?:は|が|を|すること(?:は|が))?(?:いた)?(?:でき(?:ません|ない|かね)|しかね)", r"情報が(?:見つから|足り|不足|あり(?:ません))", r"分かりません|わかりません|許可されていません"),
     "zh": (r"无法(?:回答|提供|确定|帮助)", r"不能(?:回答|提供|讨论)", r"没有(?:足够|相关)", r"不足以回答"),
+    "ko": (r"(?:답변|도움|말씀|판단)(?:을|를|은|는)?\s?(?:드리기|드릴|할|하기|줄)?\s?(?:수\s?)?(?:없|어렵)", r"정보가 (?:없|부족|충분하지)"),
+    "ar": (r"لا (?:أستطيع|يمكنني|يمكننا|أقدر)", r"لا (?:تحتوي|تذكر|توجد|يوجد)", r"معلومات غير كافية"),
+    "hi": (r"(?:उत्तर|जवाब|मदद) नहीं (?:दे|कर)", r"जानकारी (?:नहीं|पर्याप्त नहीं)"),
+    "th": (r"ไม่สามารถ(?:ตอบ|ช่วย|ให้)", r"ข้อมูลไม่(?:เพียงพอ|มี)"),
+    "pt": (r"\bnão (?:posso|podemos|consigo|é possível|tenho|há)\b.{0,40}\b(?:responder|ajudar|dizer|informaç|suficiente|determinar)",),
+    "it": (r"\bnon (?:posso|possiamo|riesco|è possibile|ho|ci sono)\b.{0,40}\b(?:rispondere|aiutare|dire|informazioni|sufficient|determinare)",),
     "ru": (r"не (?:могу|можем) (?:ответить|помочь|сказать|обсуждать)", r"недостаточно (?:информации|контекста|данных)", r"не (?:содержит|содержат|говорит|говорят) (?:ничего|информации)"),
 }
+# Each phrase above holds one of these, lower-cased; replies without any aren't searched for phrases.
+ANCHORS = (
+    "can't", "can’t", "cant", "cannot", "can not", "could not", "couldn", "won't", "won’t", "will not", "unable", "not able", "not allowed", "not permitted", "decline", "outside",
+    "enough", "sufficient", "no answer", "nothing in the", "do not", "don't", "don’t", "does not", "doesn't", "doesn’t", "short of", "rather not", "guideline", "none of the",
+    "nicht", "keine", "no puedo", "no podemos", "no es posible", "no me es", "no tengo", "no tenemos", "no dispongo", "no dice", "no mencion", "no contien", "no cubre", "no explica", "no hay", "ningun",
+    "je ne ", "ne dit", "ne disent", "ne mention", "ne contien", "ne permet", "impossible de", "aucun", "ません", "ない", "かね", "无法", "不能", "没有", "不足以", "не ", "недостаточно",
+    "없", "어렵", "부족", "충분하지", "لا ", "غير كافية", "नहीं", "ไม่", "não ", "non ",
+)
 # Sentences that send the reader elsewhere or apologise, and say nothing themselves.
 REDIRECTS = re.compile(
     r"^(?:please|try|you (?:may|might|could)|perhaps|maybe|consider|ask|contact|bitte|versuche?n?|frage?n? sie|consulte|consulta|pruebe|intente|por favor|pregunte|veuillez|essayez|sorry|i(?:['’]m| am) sorry|i apologi[sz]e|unfortunately|leider|tut mir leid|lo siento|por desgracia|申し訳|すみません|別の|担当|抱歉|对不起|пожалуйста|к сожалению|попробуйте)",
@@ -76,10 +92,13 @@ FREQUENT = {
     "es": "el la de que y en los una un por con para del se las al lo como cuando qué dónde cómo quién su es no más cada este esta entre porque después según sobre vez veces véase devuelve dos",
     "fr": "le les des une du est dans pour pas sur ne et au aux ce cette qui que avec par plus ou où jamais pourquoi chaque ligne voir après avant deux fois la de un il elle en relu demande",
 }
+# Letters that speak for a language.
+_LETTERS = {"es": "¿¡ñ", "de": "ßüä", "fr": "çèêà", "pt": "ãõ", "it": "ìò"}
 # Words that can't stand last.
 DANGLING = frozenset("the a an of and to in is that for with as on which from by be are was but when if or since because than then its this such der die das und ist mit von den zu ein eine auf im für weil wenn dass el los una un por con para del que y en porque cuando le les des une du et dans pour sur qui avec".split())
 
 _INVISIBLE = re.compile("[​-‏ -‮⁠-⁤﻿­᠎\u0000-\u0008\u000e-\u001f]")
+_CONTROL = re.compile("[\u0000-\u0008\u000e-\u001f]")
 _CITATION = re.compile(r"\[\s*C\d+(?:\s*[,;]\s*C\d+)*\s*\]")
 _OPEN_CITATION = re.compile(r"\[\s*(?:C(?:\d+(?:\s*[,;]\s*(?:C\d*)?)*)?)?\s*$")
 _TAG = re.compile(r"</?[A-Za-z][\w-]*(?:\s[^<>]*)?/?>")
@@ -95,15 +114,30 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])(?:\s+|(?=[^\s\W]))|\n+")
 _REFUSES = re.compile("|".join(f"(?:{p})" for ps in REFUSALS.values() for p in ps), re.I)
 _LEAD = re.compile(rf"^(?:{'|'.join(sorted(map(re.escape, LEAD_INS), key=len, reverse=True))})(?=[\s:：.,!，、。-])[\s:：.,!，、。-]*", re.I)
 _SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("th", re.compile("[฀-๿]")), ("ko", re.compile("[가-힣]")), ("zh", re.compile("[一-鿿]")))
-_VOTES: dict[str, list[str]] = {}
+_HOLDERS: dict[str, set[str]] = {}
 for _lang, _words in FREQUENT.items():
     for _w in _words.split():
-        _VOTES.setdefault(_w, []).append(_lang)
+        _HOLDERS.setdefault(_w, set()).add(_lang)
+#: A word counts for each of its languages by an equal part.
+_VOTES = {w: [(g, 1 / len(gs)) for g in sorted(gs)] for w, gs in _HOLDERS.items()}
+#: What is no prose, with marks without which it isn't there.
+_NOT_PROSE = ((("```", "~~~"), _FENCED), ("[", _CITATION), ("`", _INLINE), ('"“„«「『', _QUOTED), ("<", _TAG), (("",), _IDENTIFIER))
+
+
+def visible(text: str) -> str:
+    """``text`` without invisible characters."""
+    return text if text.isascii() and not _CONTROL.search(text) else _INVISIBLE.sub("", text)
 
 
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    head = text[:120]
+    if head.isascii() and "<" not in head and "[" not in head and not _INVISIBLE.search(head):
+        # words that nothing removes, too many and too long for a label or a missing value
+        words = _WORD.findall(head)
+        if len(words) > 3 and sum(map(len, words)) > 16:
+            return False
     bare = _TAG.sub(" ", _CITATION.sub(" ", _INVISIBLE.sub("", text)))
     if re.sub(r"[\s.]+", "", bare.lower()).strip("*_`#>\"'()[]") in MISSING:
         return True
@@ -116,36 +150,57 @@ def is_empty(text: str | None) -> bool:
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"[\W_]+", "", text.lower())
+    return "".join(filter(str.isalnum, text.lower()))
 
 
 def _trigrams(text: str) -> Counter[str]:
-    return Counter(text[i : i + 3] for i in range(len(text) - 2)) if len(text) > 2 else Counter([text] if text else [])
+    return Counter(map("".join, zip(text, text[1:], text[2:]))) if len(text) > 2 else Counter([text] if text else [])
+
+
+class Asked:
+    """What the rules need to know of a question, made once for all its replies: its language, and its
+    trigrams with and without its lead-in, each with their number."""
+
+    def __init__(self, question: str | None):
+        self.language = language(question or "")
+        whole = _plain(question or "")
+        own = dict.fromkeys((whole, _plain(_without_lead(question.strip())))) if whole else ()
+        self.forms = [(sum(t.values()), t) for t in map(_trigrams, own)]
 
 
-def is_copied(text: str, question: str, least: float = 0.8) -> bool:
-    q = _plain(question)
-    if not q or len(text) > 2 * len(question) + 80:
+def _without_lead(text: str) -> str:
+    m = _LEAD.match(text)
+    return text[m.end() :] if m else text
+
+
+def is_copied(text: str, asked: Asked, least: float = 0.8) -> bool:
+    """Whether the Dice similarity of the character trigrams reaches ``least``."""
+    if not asked.forms:
         return False
-    reply = _CITATION.sub("", _INVISIBLE.sub("", text)).strip()
+    reply = visible(text)
+    reply = (_CITATION.sub("", reply) if "[" in reply else reply).strip()
     for _ in range(3):
-        cut = _LEAD.sub("", reply.strip(" \t\n*_>#\"'“”„«»「」`")).strip()
+        cut = _without_lead(reply.strip(" \t\n*_>#\"'“”„«»「」`")).strip()
         if cut == reply:
             break
         reply = cut
-    asked = _LEAD.sub("", question.strip())
-    best = 0.0
-    for own in (q, _plain(asked)):
-        a, b = _trigrams(_plain(reply)), _trigrams(own)
-        total = sum(a.values()) + sum(b.values())
-        best = max(best, 2 * sum((a & b).values()) / total if total else 0.0)
-    return best >= least
+    plain = _plain(reply)
+    n = max(len(plain) - 2, 1 if plain else 0)
+    # the smaller number of trigrams bounds what both have
+    able = [(m, b) for m, b in asked.forms if 2 * min(n, m) >= least * (n + m)]
+    if not able:
+        return False
+    a = _trigrams(plain)
+    return any(2 * sum(min(c, b[g]) for g, c in a.items() if g in b) >= least * (n + m) for m, b in able if n + m)
 
 
 def refuses(text: str) -> bool:
     """Whether a sentence refuses and no other says anything."""
+    low = text.lower()
+    if not any(a in low for a in ANCHORS):
+        return False
     found = False
-    for s in _SENTENCE.split(_INVISIBLE.sub("", text).strip()):
+    for s in _SENTENCE.split(visible(text).strip()):
         s = s.strip(" \t*_>\"'“”„«»「」")
         if not s:
             continue
@@ -164,19 +219,19 @@ def refuses(text: str) -> bool:
 
 def is_truncated(text: str, needs_end: bool = True) -> bool:
     """Whether ``text`` breaks off; without ``needs_end``, a missing end of the last sentence is no sign."""
-    body = _INVISIBLE.sub("", text).rstrip()
-    if len(re.findall(r"^[ \t]*(?:```|~~~)", body, re.M)) % 2:
+    body = visible(text).rstrip()
+    if ("```" in body or "~~~" in body) and len(re.findall(r"^[ \t]*(?:```|~~~)", body, re.M)) % 2:
         return True
     lines = body.split("\n")
     last = lines[-1]
     if last.strip().startswith(("```", "~~~")):
         return False
-    outside = _FENCED.sub("\n", body)
-    if outside.count("`") % 2 or _OPEN_CITATION.search(body):
+    outside = _FENCED.sub("\n", body) if "```" in body or "~~~" in body else body
+    if outside.count("`") % 2 or "[" in last and _OPEN_CITATION.search(last):
         return True
     if _BARE_MARK.match(last) and len(lines) > 1:
         return True
-    if _ENDED.search(body) or _CITATION.search(body[-40:]) and _CITATION.sub("", last).strip() != last.strip() and re.search(r"\]\s*[*_)\"”]*$", body):
+    if _ENDED.search(body, max(0, len(body) - 40)) or _CITATION.search(body[-40:]) and _CITATION.sub("", last).strip() != last.strip() and re.search(r"\]\s*[*_)\"”]*$", body):
         return last.count("(") > last.count(")") and last.rstrip().endswith(("...", "…"))
     if _LIST_LINE.match(last):
         return bool(re.search(r"[,;:(\[]$", last)) or _last_word(last) in DANGLING and "`" not in last[-3:]
@@ -198,71 +253,87 @@ def _last_word(text: str) -> str:
 
 
 def prose(text: str) -> str:
-    for pattern in (_FENCED, _CITATION, _INLINE, _QUOTED, _TAG, _IDENTIFIER):
-        text = pattern.sub(" ", text)
+    for marks, pattern in _NOT_PROSE:
+        if any(m in text for m in marks):
+            text = pattern.sub(" ", text)
     return text
 
 
 def language(text: str) -> str | None:
     """The language of the prose in ``text``; None if it can't be told."""
     p = prose(text)
-    letters = sum(map(len, _WORD.findall(p)))
-    if not letters:
-        return None
-    for name, pattern in _SCRIPTS:
-        if name == "zh":
-            han = len(pattern.findall(p))
-            if han >= 4 and han * 4 >= letters:
-                return "zh"
-        elif len(pattern.findall(p)) >= 4 and len(pattern.findall(p)) * 5 >= letters:
-            return name
     words = _WORD.findall(p.lower())
-    votes: Counter[str] = Counter()
+    if not words:
+        return None
+    if not p.isascii():
+        letters = sum(map(len, words))
+        for name, pattern in _SCRIPTS:
+            own = len(pattern.findall(p))
+            if own >= 4 and own * (4 if name == "zh" else 5) >= letters:
+                return name
+    votes: dict[str, float] = {}
     for w in words:
-        for g in _VOTES.get(w, ()):
-            votes[g] += 1 / len(_VOTES[w])
-    marks = {"es": "¿¡ñ", "de": "ßüä", "fr": "çèêà"}
-    for g, cs in marks.items():
-        votes[g] += 0.5 * min(2, sum(p.lower().count(c) for c in cs))
+        for g, part in _VOTES.get(w, ()):
+            votes[g] = votes.get(g, 0.0) + part
+    if not p.isascii():
+        low = p.lower()
+        for g, cs in _LETTERS.items():
+            n = sum(map(low.count, cs))
+            if n:
+                votes[g] = votes.get(g, 0.0) + 0.5 * min(2, n)
     if not votes:
         return None
-    (first, n), *rest = votes.most_common(2)
-    return first if n >= 1.5 and n > 1.3 * (rest[0][1] if rest else 0) else None
+    first = max(sorted(votes), key=votes.__getitem__)
+    rest = max((n for g, n in votes.items() if g != first), default=0.0)
+    return first if votes[first] >= 1.5 and votes[first] > 1.3 * rest else None
 
 
-def is_foreign(text: str, question: str) -> bool:
-    asked = language(question)
-    told = language(text)
-    return asked is not None and told is not None and asked != told
+def defects(text: str | None, question: str | None, expect_abstain: bool | None, asked: Asked | None = None) -> list[str]:
+    return _defects(text, asked or Asked(question), expect_abstain)[0]
 
 
-def defects(text: str | None, question: str | None, expect_abstain: bool | None) -> list[str]:
+def _defects(text: str | None, asked: Asked, expect_abstain: bool | None) -> tuple[list[str], str | None]:
+    """The defects, and the language of the reply's prose as far as it was judged."""
     if is_empty(text):
-        return ["empty"]
-    copied, refusing = bool(question) and is_copied(text, question), refuses(text)
+        return ["empty"], None
+    copied, refusing = is_copied(text, asked), refuses(text)
     abstains = refusing and expect_abstain is not False
     out = ["copied_question"] if copied else []
     if refusing and not abstains:
         out.append("refusal")
     if is_truncated(text, needs_end=not (copied or refusing)):
         out.append("truncated")
-    if question and not abstains and is_foreign(text, question):
+    told = language(text) if asked.language and not abstains else None
+    if told and told != asked.language:
         out.append("other_language")
-    return out
+    return out, told
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str | None, Asked] = {}
     for b in batches:
-        rows = [(i, d) for i, text, question, abstain in zip(*(c.to_pylist() for c in b.columns)) if (d := defects(text, question, abstain))]
-        ids, found = zip(*rows) if rows else ((), ())
-        yield batch(("answer_id", "defects"), (pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string()))))
+        rows = []
+        for i, text, question, abstain in zip(*(c.to_pylist() for c in b.columns)):
+            asked = known.get(question)
+            if asked is None:
+                if len(known) >= 20_000:
+                    known.clear()
+                asked = known[question] = Asked(question)
+            found, told = _defects(text, asked, abstain)
+            if found:
+                rows.append((i, found, asked.language, told))
+        ids, found, langs, told = zip(*rows) if rows else ((), (), (), ())
+        yield batch(
+            ("answer_id", "defects", "question_lang", "reply_lang"),
+            (pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(langs, pa.string()), pa.array(told, pa.string())),
+        )
 
 
 def broken_pairs(
     answers: DataFrame, answer_id: str, question_id: str, text: str, logged: str,
     questions: DataFrame, question: str, abstain: str, created: str, salts: int = 8,
 ) -> DataFrame:
-    """``answer_id, defects`` of each pair that has any. Questions are repeated ``salts`` times so that the
+    """``answer_id, defects, question_lang, reply_lang`` of each pair that has any defect. Questions are repeated ``salts`` times so that the
     replies to one question spread over as many tasks."""
     newest = lambda by, *cols: F.max_by(F.struct(*cols), F.coalesce(F.col(by).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
     reply = answers.where(F.col(answer_id).isNotNull()).groupBy(F.col(answer_id).cast("long").alias("answer_id"))
@@ -272,4 +343,4 @@ def broken_pairs(
     salt: Column = F.pmod(F.xxhash64("answer_id"), F.lit(salts)).cast("int")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pairs = reply.where("qid is not null").withColumn("salt", salt).join(asked, ["qid", "salt"])
-    return pairs.select("answer_id", "text", "question", "abstain").mapInArrow(_judge, "answer_id long, defects array<string>")
+    return pairs.select("answer_id", "text", "question", "abstain").mapInArrow(_judge, "answer_id long, defects array<string>, question_lang string, reply_lang string")

@@ -3,18 +3,24 @@
 Each vector is projected several times onto a few random directions; the shifted projections are laid
 on a Hilbert curve. The rows of every curve are range-partitioned by curve position and read in order:
 each block is compared with itself and the block before it, and every row keeps its best neighbours of
-each window. The lists of all curves merge into one.
+each window. The lists of all curves merge into one and are ranked again.
 
-Windows of a fixed length can't hold a dense group of similar but unequal vectors, whatever the curve. A row
-whose ``k`` best on the curves all reach ``crowd`` stands in such a group: its list is made again by
-comparing it with every row, in blocks of ``block`` such rows. Only rows in sparser places keep the
-curves' lists.
+Windows of a fixed length can't hold everything, so two kinds of rows are compared with all rows, in
+blocks of ``block`` such rows, and get their true list:
+
+- crowded rows, whose ``k`` best on the curves all reach ``crowd``: they stand in a group of similar but
+  unequal vectors that may be longer than any window;
+- with ``settle``, rows that the curves don't agree about: one of the ``k`` best came up on fewer than
+  ``agree`` curves, or there are fewer than ``k``. What several independent curves find again and again is
+  near to complete; what just one finds tells that others were missed.
+
+The lists of all other rows are those of the curves.
 
 Defined cases: vectors that are null, of another length, all zero or that hold nulls, NaN or infinite
 values take no part. An empty table gives an empty result. Ties of cosine go to the smaller id. Rows that
-repeat an id with the same vector count once. Vectors with equal codes (below) are one point of the curve
-which names up to ``k + 1`` of its ids; further ids take those as their neighbours, at cosine 1. The input
-may have any further columns; only the two named ones are read.
+repeat an id with the same vector count once. Vectors of equal codes (below) have cosine 1 to each other
+and the same cosine to others: of any number of them the smallest ids are named. The input may have any
+further columns; only the two named ones are read.
 
 Precision: curves carry unit vectors as 16-bit integers (cosine error below 3e-5). Pairs that near to
 ``min_cosine`` are decided again from the stored values.
@@ -34,10 +40,11 @@ from pyspark.sql import functions as F
 from ..functions.arrow import batch, fixed_binary, matrix
 from ..functions.hilbert import hilbert_key
 from ..session import durable
-from .near_duplicates import BROADCAST_IDS
 
 SCALE = 32767.0
 NEAR = 3e-5
+#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 SALT_BITS = 22
 
 
@@ -45,8 +52,9 @@ SALT_BITS = 22
 class CurveSettings:
     """``sample`` bounds the rows that the projections' spread and the range bounds are fitted on; every
     row is indexed. ``window`` is the block length; ``rows_per_range`` the rows of one range of a curve.
-    ``crowd`` is the cosine that all neighbours of a crowded row reach, ``block`` how many of those are
-    compared with all rows at once."""
+    ``crowd`` is the cosine that all neighbours of a crowded row reach, ``agree`` the number of curves that
+    must know each neighbour of a row that counts as settled, ``block`` how many rows are compared with all
+    rows at once."""
 
     dim: int = 64
     k: int = 5
@@ -59,6 +67,8 @@ class CurveSettings:
     sample: int = 16_384
     seed: int = 5
     crowd: float = 0.85
+    settle: bool = False
+    agree: int = 2
     block: int = 16_384
 
 
@@ -154,97 +164,68 @@ def _best(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndar
     return np.nonzero(hits)
 
 
-def _windows(s: CurveSettings):
-    """Neighbours within the windows of each range. Reads rows sorted by range and key."""
-    least, members = min(s.min_cosine, s.crowd) - NEAR, s.k + 1
-    weights = np.random.default_rng(7).integers(1, 2**63 - 1, s.dim, dtype=np.int64)
-
-    def block(state: dict, ids: np.ndarray, code: np.ndarray, out: list[tuple[int, int, float]]) -> None:
-        with np.errstate(over="ignore"):
-            marks = code.astype(np.int64) @ weights
-        old = {m: i for i, m in enumerate(state["marks"])}
-        names, vectors, marked = [list(x) for x in state["names"]], [state["unit"]], list(state["marks"])
-        fresh: list[list[int]] = [[] for _ in names]
-        new_rows: list[int] = []
-        for r, (i, m) in enumerate(zip(ids.tolist(), marks.tolist())):
-            at = old.get(m)
-            if at is None:
-                old[m] = at = len(names)
-                names.append([])
-                fresh.append([])
-                marked.append(m)
-                new_rows.append(r)
-            if i in names[at]:
-                continue
-            if len(names[at]) >= members:
-                out.extend((i, n, 1.0) for n in names[at][: s.k])
-                continue
-            for n in names[at]:
-                out.append((i, n, 1.0))
-                out.append((n, i, 1.0))
-            names[at].append(i)
-            fresh[at].append(i)
-        new_unit = code[new_rows].astype(np.float32)
-        new_unit /= np.maximum(np.linalg.norm(new_unit, axis=1, keepdims=True), 1e-9)
-        vectors.append(new_unit)
-        unit = np.concatenate(vectors)
-        carried = len(state["marks"])
-        touched = np.array([i for i, f in enumerate(fresh) if f], np.int64)
-        if len(touched):
-            scores = unit[touched] @ unit.T
-            scores[np.arange(len(touched)), touched] = -2
-            for a, b in zip(*_best(scores, s.k, least)):
-                c = float(scores[a, b])
-                out.extend((q, n, c) for q in fresh[touched[a]] for n in names[b])
-            # what stood in the window before also gets the rows that came now
-            back = scores[:, :carried].T
-            for b, a in zip(*_best(back, s.k, least)):
-                c = float(back[b, a])
-                out.extend((q, n, c) for q in names[b] for n in fresh[touched[a]])
-        keep = slice(max(0, len(names) - s.window), None)
-        state |= {"names": names[keep], "unit": unit[keep], "marks": marked[keep]}
-
-    def rows_out(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        q, n, c = zip(*out) if out else ((), (), ())
-        return batch(("vec_id", "neighbour_id", "cosine"), (pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.float64())))
+def _windows(s: CurveSettings, curve_of: np.ndarray):
+    """Neighbours within the windows of each range, with the bit of the range's curve. Reads rows sorted by
+    range and key."""
+    least = (-1.0 if s.settle else min(s.min_cosine, s.crowd)) - NEAR
+
+    def block(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, code: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list]:
+        new = code.astype(np.float32)
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        names, unit = np.concatenate([held[0], ids]), np.concatenate([held[1], new])
+        scores = new @ unit.T
+        scores[ids[:, None] == names[None, :]] = -2
+        r, c = _best(scores, s.k, least)
+        back = scores[:, : len(held[0])].T
+        u, v = _best(back, s.k, least)
+        out = [(ids[r], names[c], scores[r, c]), (held[0][u], ids[v], back[u, v])]
+        return (ids, new), out
+
+    def rows_out(out: list, curve: int) -> pa.RecordBatch:
+        q, n, c = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float32)))
+        one = np.full(len(q), 1 << curve, np.int32)
+        return batch(("vec_id", "neighbour_id", "cosine", "curves"), (pa.array(q), pa.array(n), pa.array(np.minimum(c.astype(np.float64), 1.0)), pa.array(one)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = {"names": [], "unit": np.zeros((0, s.dim), np.float32), "marks": []}
-        part_now, state = None, dict(empty)
-        wait_ids: list[np.ndarray] = []
-        wait_code: list[np.ndarray] = []
-        waiting = 0
-        out: list[tuple[int, int, float]] = []
-
-        def flush(final: bool) -> None:
-            nonlocal waiting, wait_ids, wait_code
-            if not waiting:
-                return
-            ids, code = np.concatenate(wait_ids), np.concatenate(wait_code)
+        empty = (np.zeros(0, np.int64), np.zeros((0, s.dim), np.float32))
+        part_now, held = None, empty
+        ids, code = np.zeros(0, np.int64), np.zeros((0, s.dim), np.int16)
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal ids, code, held
             end = len(ids) if final else len(ids) // s.window * s.window
             for i in range(0, end, s.window):
-                block(state, ids[i : min(i + s.window, end)], code[i : min(i + s.window, end)], out)
-            wait_ids, wait_code, waiting = [ids[end:]], [code[end:]], len(ids) - end
+                held, out = block(held, ids[i : min(i + s.window, end)], code[i : min(i + s.window, end)])
+                yield rows_out(out, int(curve_of[part_now]))
+            ids, code = ids[end:], code[end:]
 
         for b in batches:
             parts = b.column(0).to_numpy()
-            ids, code = b.column(1).to_numpy(), matrix(b.column(2), np.int16, s.dim)
+            own, codes = b.column(1).to_numpy(), matrix(b.column(2), np.int16, s.dim)
             edges = [0, *(np.nonzero(np.diff(parts))[0] + 1), len(parts)]
             for lo, hi in zip(edges, edges[1:]):
                 if hi == lo:
                     continue
                 if parts[lo] != part_now:
-                    flush(True)
-                    part_now, state = parts[lo], dict(empty)
-                wait_ids.append(ids[lo:hi])
-                wait_code.append(code[lo:hi])
-                waiting += hi - lo
-                flush(False)
-            if len(out) > 20_000:
-                yield rows_out(out)
-                out.clear()
-        flush(True)
-        yield rows_out(out)
+                    yield from flush(True)
+                    part_now, held = parts[lo], empty
+                ids, code = np.concatenate([ids, own[lo:hi]]), np.concatenate([code, codes[lo:hi]])
+                yield from flush(False)
+        yield from flush(True)
+
+    return run
+
+
+def _marks(dim: int):
+    """Two hashes of each row's code: equal codes are one point of every curve."""
+    weights = np.random.default_rng(7).integers(1, 2**63 - 1, (dim, 2), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, unit = unit_vectors(b.column(0), b.column(1), dim)
+            with np.errstate(over="ignore"):
+                marks = np.rint(unit * SCALE).astype(np.int64) @ weights
+            yield batch(("vec_id", "one", "two"), (pa.array(ids), pa.array(marks[:, 0]), pa.array(marks[:, 1])))
 
     return run
 
@@ -262,33 +243,68 @@ def _fit(vectors: DataFrame, s: CurveSettings) -> list[_Curve]:
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    best = pairs.groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine"))
+    curves = [F.expr("bit_or(curves)").alias("curves")] if "curves" in pairs.columns else []
+    best = pairs.groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine"), *curves)
     order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
     return best.withColumn("neighbour_rank", F.row_number().over(order)).where(F.col("neighbour_rank") <= k)
 
 
+def _copies(vectors: DataFrame, s: CurveSettings) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, rep`` of the rows whose code others have too (``rep`` is the smallest id), and ``rep, names``
+    with the first ``k + 1`` ids of each such group."""
+    marks = vectors.mapInArrow(_marks(s.dim), "vec_id long, one long, two long")
+    groups = marks.groupBy("one", "two").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last")).where("rep < last")
+    members = durable(marks.join(groups.drop("last"), ["one", "two"]).select("vec_id", "rep").distinct())
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("n") <= s.k + 1)
+    return members, first.groupBy("rep").agg(F.collect_list("vec_id").alias("names"))
+
+
+def _named(pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs`` with the smallest ids of each group of copies as its names, and the pairs within groups."""
+    known = pairs.join(members.select(F.col("vec_id").alias("neighbour_id"), "rep"), "neighbour_id", "left")
+    one = known.groupBy("vec_id", F.coalesce("rep", "neighbour_id").alias("rep")).agg(F.max("cosine").alias("cosine"), F.expr("bit_or(curves)").alias("curves"))
+    own = members.select("vec_id", "rep", F.lit(1.0).alias("cosine"), F.lit(-1).alias("curves"))
+    every = one.join(names, "rep", "left").select("vec_id", F.explode(F.coalesce("names", F.array("rep"))).alias("neighbour_id"), "cosine", "curves")
+    every = every.unionByName(own.join(names, "rep").select("vec_id", F.explode("names").alias("neighbour_id"), "cosine", "curves"))
+    return every.where("vec_id <> neighbour_id").groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine"), F.expr("bit_or(curves)").alias("curves"))
+
+
 def nearest(df: DataFrame, id_col: str, vector_col: str, s: CurveSettings = CurveSettings()) -> DataFrame:
     """``vec_id, neighbour_id, cosine, neighbour_rank``: up to ``s.k`` neighbours of each vector, of at least
-    ``s.min_cosine``: the true ones of crowded rows, those that the curves find of others. See the module
-    for the defined cases."""
+    ``s.min_cosine``: the true ones of crowded (and, with ``s.settle``, of unsettled) rows, those that the
+    curves find of others. See the module for the defined cases."""
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     curves = _fit(vectors, s)
     ranges = sum(c.ranges for c in curves)
+    curve_of = np.repeat(np.arange(len(curves)), [c.ranges for c in curves])
     placed = vectors.mapInArrow(_place(curves, s.dim), "part int, key long, vec_id long, code binary")
     ordered = placed.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key")
-    found = ordered.select("part", "vec_id", "code").mapInArrow(_windows(s), "vec_id long, neighbour_id long, cosine double")
-    pairs = durable(found.groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine")))
-    # k equal codes leave nothing nearer to be found
-    counts = pairs.groupBy("vec_id").agg(F.count_if(F.col("cosine") >= s.crowd - NEAR).alias("near"), F.count_if(F.col("cosine") >= 1).alias("equal"))
-    crowded = durable(counts.where((F.col("near") >= s.k) & (F.col("equal") < s.k)).select("vec_id"))
-    n = crowded.count()
+    found = ordered.select("part", "vec_id", "code").mapInArrow(_windows(s, curve_of), "vec_id long, neighbour_id long, cosine double, curves int")
+    pairs = found.groupBy("vec_id", "neighbour_id").agg(F.max("cosine").alias("cosine"), F.expr("bit_or(curves)").alias("curves"))
+    members, names = _copies(vectors, s)
+    if not members.isEmpty():
+        pairs = _named(pairs, members, names)
+    pairs = durable(pairs)
+    if s.settle:
+        # a row that the curves never paired is asked, too
+        known = _ranked(pairs, s.k).groupBy("vec_id").agg((F.count("*") >= s.k).alias("full"), F.min(F.bit_count("curves")).alias("agree"))
+        usable = vectors.mapInArrow(_marks(s.dim), "vec_id long, one long, two long").select("vec_id").distinct()
+        asking = usable.join(known.where(F.col("full") & (F.col("agree") >= s.agree)), "vec_id", "left_anti")
+    else:
+        # k copies leave nothing nearer to be found
+        counts = pairs.groupBy("vec_id").agg(F.count_if(F.col("cosine") >= s.crowd - NEAR).alias("near"), F.count_if(F.col("curves") < 0).alias("copies"))
+        asking = counts.where((F.col("near") >= s.k) & (F.col("copies") < s.k)).select("vec_id")
+    asking = durable(asking)
+    n = asking.count()
+    pairs = pairs.select("vec_id", "neighbour_id", "cosine")
     if n:
-        asked = durable(vectors.join(F.broadcast(crowded) if n <= BROADCAST_IDS else crowded, "vec_id", "left_semi"))
-        pairs = pairs.join(crowded, "vec_id", "left_anti")
+        few = F.broadcast(asking) if n <= BROADCAST_IDS else asking
+        asked = durable(vectors.join(few, "vec_id", "left_semi"))
+        pairs = pairs.join(few, "vec_id", "left_anti")
         for hits in _compared(vectors, asked, n, s.block, s, s.min_cosine - NEAR):
             pairs = pairs.unionByName(durable(hits))
     if s.min_cosine <= -1:
-        return _ranked(pairs, s.k)
+        return _ranked(pairs, s.k).select("vec_id", "neighbour_id", "cosine", "neighbour_rank")
     return _ranked(_decided(pairs.where(F.col("cosine") >= s.min_cosine - 2 * NEAR), vectors, s), s.k)
 
 

@@ -11,6 +11,7 @@ from . import broken_pairs, cross_split, functions_docs, leakage, mixing, near_d
 
 NEAR_CODE = near_duplicates.JoinSettings(similarity=0.6, shingle=3, least=40)
 NEAR_VECTORS = neighbours.CurveSettings(min_cosine=0.95)
+EVERY_VECTOR = neighbours.CurveSettings(settle=True)
 
 
 def _defective(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every defect that triggers, with its place in the order of the rules' results."""
-    return _defective(spark, sf_dir).select("answer_id", F.posexplode("defects").alias("place", "defect"))
+    """Every defect that triggers, with its place in the order of the rules, and the languages; a null
+    language means that the pair's language wasn't judged."""
+    found = _defective(spark, sf_dir)
+    return found.select("answer_id", F.posexplode("defects").alias("place", "defect"), "question_lang", "reply_lang")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector."""
+    lists = neighbours.nearest(load(spark, sf_dir, "index_vectors", "vec_id", "embedding"), "vec_id", "embedding", EVERY_VECTOR)
+    return lists.select("vec_id", "neighbour_rank", "neighbour_id", F.round("cosine", 4).alias("cosine"))
+
+
 def p2_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all rows for every row whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "index_vectors", "vec_id", "embedding")
@@ -163,6 +172,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_defects": p1_defects,
     "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p2_top5": p2_top5,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,

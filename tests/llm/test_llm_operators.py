@@ -78,7 +78,7 @@ def test_broken_pairs_table(spark):
     )
     q = spark.createDataFrame([(1, "Who closes it?", False, None), (1, "Who closes it?", False, None), (5, None, None, None)], "question_id long, question string, abstain boolean, created string")
     got = bp.broken_pairs(a, "answer_id", "question_id", "text", "logged", q, "question", "abstain", "created")
-    assert [(r[0], list(r[1])) for r in got.collect()] == [(4, ["empty"])]
+    assert [(r[0], list(r[1])) for r in got.collect()] == [(4, ["empty"])] and got.columns[2:] == ["question_lang", "reply_lang"]
     assert bp.broken_pairs(a.limit(0), "answer_id", "question_id", "text", "logged", q, "question", "abstain", "created").count() == 0
     blank = spark.createDataFrame([(9, 2, "The pool closes it.", None)], "answer_id long, question_id long, text string, logged string")
     none = spark.createDataFrame([(2, None, None, None)], q.schema)
@@ -122,6 +122,30 @@ def test_many_copies_keep_five_neighbours(spark):
     assert rows(count.groupBy("count").agg(F.count("*").alias("n")), "count", "n") == [(5, 600)]
 
 
+def test_copies_name_the_smallest_ids(spark):
+    v = vectors(200)
+    df = spark.createDataFrame([(i, v[0].tolist()) for i in range(12)] + [(100 + i, v[i + 1].tolist()) for i in range(150)], "vec_id long, embedding array<float>")
+    for s in (neighbours.CurveSettings(min_cosine=0.95, curves=1, window=16), neighbours.CurveSettings(curves=2, window=16, settle=True)):
+        got = neighbours.nearest(df, "vec_id", "embedding", s).where("vec_id < 12").orderBy("vec_id", "neighbour_rank").collect()
+        assert [r.neighbour_id for r in got if r.vec_id == 11] == [0, 1, 2, 3, 4]
+        assert [r.neighbour_id for r in got if r.vec_id == 2] == [0, 1, 3, 4, 5]
+
+
+def test_settled_lists_of_every_row(spark):
+    v = vectors(900)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    s = neighbours.CurveSettings(settle=True, window=64, rows_per_range=400, block=200)
+    got = {}
+    for r in neighbours.nearest(df, "vec_id", "embedding", s).collect():
+        got.setdefault(r.vec_id, []).append(r.cosine)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = (u @ u.T).astype(np.float64)
+    np.fill_diagonal(c, -2)
+    fifth = np.sort(c, axis=1)[:, -5]
+    right = sum(sum(x >= fifth[i] - 1e-4 for x in xs) for i, xs in got.items())
+    assert all(len(x) == 5 for x in got.values()) and right >= 0.97 * 5 * len(v)
+
+
 def test_dense_group_keeps_its_true_neighbours(spark):
     rng = np.random.default_rng(11)
     centre = rng.standard_normal(64)
