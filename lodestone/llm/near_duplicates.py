@@ -3,14 +3,16 @@
 1. Each record becomes the sorted array of its distinct shingles (64-bit hashes) and a 256-bit signature.
    Records with equal sets form a class; its smallest id stands for it from here on.
 2. Two sets of similarity t share a shingle among the first ``size - ceil(t * size) + 1`` of each, in any
-   fixed order. The order puts the rare ones first, after a bounded sample. Records meet at those shingles
-   in tiles; a shingle of very many records is cut into size bands, and only tiles of bands whose sizes
-   allow the similarity exist. No tile is longer than about ``tile`` records a side.
+   fixed order. The order puts those first that are rare in a bounded sample, which only decides how much
+   work is done. Records meet at those shingles. The records that meet at each are counted, all of them: a
+   shingle that more than an eighth of ``tile`` records of one size class have is cut into tiles. Size
+   classes are so wide that sets of the similarity lie in the same or in neighbouring ones, and a class is
+   cut by a hash of the id into bands of about ``tile`` records; only the tiles of two bands whose classes
+   may meet exist. So no task compares more than about twice ``tile`` records of a hot shingle at once.
 3. A pair that met must pass, in turn: the size ratio, the bound from its places in both prefixes, the
    bound that the signatures' bit counts put on the overlap, and the exact intersection of its arrays.
 
-No pair of different sets at or above the similarity is lost: each bound is a true one, and the sample
-only decides how much work is done.
+No pair of different sets at or above the similarity is lost: each bound is a true one.
 
 Defined cases: null texts and texts below ``least`` tokens take no part. Rows that repeat an id count
 once. Classes and links come out as all their pairs of records, except that more than ``expand`` records
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batch, fixed_binary, matrix
@@ -35,8 +37,8 @@ from ..session import durable, shuffle_width
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 SIGNATURE = 256
-#: Ids that may be broadcast: 16 MB.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast (4 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Records of a class that meet others in one block.
 BLOCK = 1024
 
@@ -124,9 +126,9 @@ def _prepare(s: JoinSettings):
 
 
 class _Order:
-    """Which shingles of a bounded sample are common, and the bands of those that need tiles."""
+    """Which shingles of a bounded sample are common, and how often they came."""
 
-    def __init__(self, sizes: np.ndarray, marks: np.ndarray, records: int, s: JoinSettings):
+    def __init__(self, marks: np.ndarray, s: JoinSettings):
         values, counts = np.unique(marks, return_counts=True)
         keep = counts > 1
         values, counts = values[keep], counts[keep]
@@ -134,11 +136,6 @@ class _Order:
             top = np.sort(np.argpartition(-counts, s.common)[: s.common])
             values, counts = values[top], counts[top]
         self.values, self.counts = values, counts
-        scale = records / max(1, len(sizes))
-        bands = np.ceil(counts * scale / s.tile).astype(np.int64)
-        hot = bands > 1
-        self.hot, self.bands = values[hot], bands[hot]
-        self.sizes = np.sort(sizes)
 
     def rank(self, marks: np.ndarray) -> np.ndarray:
         if not len(self.values):
@@ -146,26 +143,9 @@ class _Order:
         at = np.minimum(np.searchsorted(self.values, marks), len(self.values) - 1)
         return np.where(self.values[at] == marks, self.counts[at], 0)
 
-    def band_of(self, sizes: np.ndarray, ids: np.ndarray, bands: int) -> np.ndarray:
-        """Bands of equal expected length by size, then by a hash of the id."""
-        lo = np.searchsorted(self.sizes, sizes, side="left")
-        hi = np.maximum(np.searchsorted(self.sizes, sizes, side="right"), lo + 1)
-        with np.errstate(over="ignore"):
-            part = (_mixed(ids.astype(np.uint64)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
-        place = (lo + part * (hi - lo)) / max(1, len(self.sizes))
-        return np.minimum((place * bands).astype(np.int64), bands - 1)
-
-    def band_sizes(self, bands: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of the sizes of each band. A size that the sample lacks is placed at the next larger one, so
-        a band may hold sizes from the sampled one before its cut, exclusive, on."""
-        n = len(self.sizes)
-        cut = np.arange(bands + 1) * n / bands
-        at = np.minimum(np.floor(cut[:-1]).astype(int), n - 1)
-        low = np.minimum(self.sizes[at], np.where(at > 0, self.sizes[at - 1].astype(np.int64) + 1, 0))
-        high = self.sizes[np.minimum(np.ceil(cut[1:]).astype(int), n - 1)].astype(np.int64)
-        low, high = low.astype(np.int64), high
-        low[0], high[-1] = 0, 2**40
-        return low, high
+
+#: Bits of a posting's place in its prefix; above them lie two bits for its side of a tile, then the size.
+PLACE = 24
 
 
 def _postings(order: _Order, s: JoinSettings):
@@ -182,39 +162,49 @@ def _postings(order: _Order, s: JoinSettings):
             prefix = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
             take = place < prefix[owner]
             marks, owner, place = marks[take], owner[take], place[take]
-            key, row = marks, np.arange(len(marks))
-            if len(order.hot):
-                at = np.minimum(np.searchsorted(order.hot, marks), len(order.hot) - 1)
-                is_hot = order.hot[at] == marks
-                keys, rows = [marks[~is_hot]], [row[~is_hot]]
-                for h in np.unique(at[is_hot]):
-                    mine = np.nonzero(is_hot & (at == h))[0]
-                    bands = int(order.bands[h])
-                    band = order.band_of(sizes[owner[mine]], ids[owner[mine]], bands)
-                    low, high = order.band_sizes(bands)
-                    for other in range(bands):
-                        a, c = np.minimum(band, other), np.maximum(band, other)
-                        meets = high[a] >= np.ceil(t * low[c] - 1e-9)
-                        with np.errstate(over="ignore"):
-                            tile = _mixed(marks[mine].view(np.uint64) + (a * 1_000_003 + c + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        keys.append(tile.view(np.int64)[meets])
-                        rows.append(mine[meets])
-                key, row = np.concatenate(keys), np.concatenate(rows)
-            yield batch(
-                ("key", "id", "meta"),
-                (pa.array(key), pa.array(ids[owner[row]]), pa.array((sizes[owner[row]] << 24) | np.minimum(place[row], (1 << 24) - 1))),
-            )
+            # a little wider than the ratio, so that rounding can't put a class between two sizes that may meet
+            classes = np.floor(np.log(np.maximum(sizes, 1)) / math.log(1.0001 / t) if t < 1 else sizes).astype(np.int32)
+            meta = (sizes[owner] << (PLACE + 2)) | np.minimum(place, (1 << PLACE) - 1)
+            yield batch(("key", "id", "cls", "meta"), (pa.array(marks), pa.array(ids[owner]), pa.array(classes[owner]), pa.array(meta)))
 
     return run
 
 
+def _tiled(postings: DataFrame, s: JoinSettings) -> DataFrame:
+    """``key, id, meta`` with the postings of hot shingles in tiles. A row of band i meets, in its own class,
+    the bands from both sides of i (its own in the tile i, i), and all bands of the classes next to it."""
+    counts = postings.groupBy("key", "cls").agg(F.count("*").alias("n")).where(F.col("n") > s.tile / 8)
+    bands = F.struct("cls", F.ceil(F.col("n") / s.tile).cast("int").alias("bands"))
+    hot = durable(counts.groupBy("key").agg(F.map_from_entries(F.collect_list(bands)).alias("bands")))
+    n_hot = hot.count()
+    if not n_hot:
+        return postings.select("key", "id", "meta")
+    # a row of ``hot`` stands for tile / 8 postings and more
+    rows = postings.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS // 10 else hot, "key", "left")
+    cls = F.col("cls")
+    number = lambda c: F.coalesce(F.try_element_at("bands", c), F.lit(1))
+    others = lambda c: F.sequence(F.lit(0), number(c) - 1)
+    mine = F.pmod(F.xxhash64("id"), number(cls)).cast("int")
+
+    def tile(low: Column, high: Column, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64("key", low, high, i, j).alias("key"), side.cast("long").alias("side"))
+
+    within = F.transform(others(cls), lambda j: tile(cls, cls, F.least(mine, j), F.greatest(mine, j), F.when(mine == j, 0).when(mine < j, 1).otherwise(2)))
+    above = F.transform(others(cls + 1), lambda j: tile(cls, cls + 1, mine, j, F.lit(1)))
+    below = F.transform(others(cls - 1), lambda j: tile(cls - 1, cls, j, mine, F.lit(2)))
+    whole = F.array(F.struct(F.col("key"), F.lit(0).cast("long").alias("side")))
+    tiles = F.when(F.col("bands").isNull(), whole).otherwise(F.concat(within, above, below))
+    each = rows.select("id", "meta", F.explode(tiles).alias("t"))
+    return each.select("t.key", "id", (F.col("meta") + F.shiftleft(F.col("t.side"), PLACE)).alias("meta"))
+
+
 def _meet(s: JoinSettings):
     """Pairs of ids that share a key and pass the bounds of size and place. Reads rows sorted by key."""
     t = s.similarity
 
     def pairs(keys: np.ndarray, ids: np.ndarray, meta: np.ndarray) -> np.ndarray:
         end = np.searchsorted(keys, keys, side="right")
-        size, place = meta >> 24, meta & ((1 << 24) - 1)
+        size, side, place = meta >> (PLACE + 2), (meta >> PLACE) & 3, meta & ((1 << PLACE) - 1)
         live, step, out = np.arange(len(keys)), 1, []
         while True:
             live = live[live + step < end[live]]
@@ -225,6 +215,7 @@ def _meet(s: JoinSettings):
             need = np.ceil(t / (1 + t) * (si + sj) - 1e-9)
             reach = 1 + np.minimum(si - place[i] - 1, sj - place[j] - 1)
             ok = (np.minimum(si, sj) >= t * np.maximum(si, sj) - 1e-9) & (reach >= need) & (ids[i] != ids[j])
+            ok &= (side[i] == 0) | (side[i] != side[j])
             a, b = ids[i][ok], ids[j][ok]
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             step += 1
@@ -311,10 +302,9 @@ def similar(df: DataFrame, id_col: str, text_col: str, s: JoinSettings) -> tuple
 
     every = max(1, records // s.sample)
     sample = sets.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0).select("marks").limit(2 * s.sample).toArrow().combine_chunks()
-    sizes, marks = _flat(sample.column(0).chunk(0)) if sample.num_rows else (np.zeros(1, np.int64), np.zeros(0, np.int64))
-    order = _Order(sizes, marks, records, s)
-    postings = reps.select("id", "marks").mapInArrow(_postings(order, s), "key long, id long, meta long")
-    met = postings.repartition(max(shuffle_width(spark), math.ceil(records / 20_000)), "key").sortWithinPartitions("key")
+    order = _Order(_flat(sample.column(0).chunk(0))[1] if sample.num_rows else np.zeros(0, np.int64), s)
+    postings = reps.select("id", "marks").mapInArrow(_postings(order, s), "key long, id long, cls int, meta long")
+    met = _tiled(postings, s).repartition(max(shuffle_width(spark), math.ceil(records / 20_000)), "key").sortWithinPartitions("key")
     pairs = met.mapInArrow(_meet(s), "a long, b long").distinct()
     signed = reps.select("id", "size", "signature").dropDuplicates(["id"])
     both = pairs.join(signed.toDF("a", "na", "sa"), "a").join(signed.toDF("b", "nb", "sb"), "b")

@@ -52,17 +52,37 @@ grams AS (
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i USING (g) WHERE d.side = 'd' AND i.side = 'i'
 """
 
-SQL["p4_found"] = r"""
+# more than 16 chunks of equal text come out as pairs with the first of them, which alone is paired with others
+_SHINGLED = r"""
 WITH c AS (
-  SELECT DISTINCT chunk_no, regexp_extract_all(lower(source), '[a-z0-9_]+') AS ws FROM chunks
+  SELECT DISTINCT chunk_no, source, regexp_extract_all(lower(source), '[a-z0-9_]+') AS ws FROM chunks
   WHERE coalesce(lower(trim(kind)), '') NOT IN ('class', 'module')),
+k AS (
+  SELECT *, count(*) OVER (PARTITION BY md5(source)) AS copies, min(chunk_no) OVER (PARTITION BY md5(source)) AS first FROM c WHERE len(ws) >= 40),
 t AS (
-  SELECT DISTINCT chunk_no, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM c, unnest(range(1, len(ws) - 1)) AS u(i) WHERE len(ws) >= 40),
+  SELECT DISTINCT chunk_no, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM k, unnest(range(1, len(ws) - 1)) AS u(i)),
 n AS (SELECT chunk_no, count(*) AS k FROM t GROUP BY chunk_no),
 shared AS (
-  SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY 1, 2)
-SELECT x AS chunk_no_a, y AS chunk_no_b FROM shared JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y
-WHERE shared.k >= 0.6 * (p.k + q.k - shared.k)
+  SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY 1, 2),
+alike AS (
+  SELECT x, y FROM shared JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE shared.k >= 0.6 * (p.k + q.k - shared.k))
+"""
+
+SQL["p4_found"] = _SHINGLED + """
+SELECT x AS chunk_no_a, y AS chunk_no_b FROM alike JOIN k p ON p.chunk_no = x JOIN k q ON q.chunk_no = y
+WHERE ((p.copies <= 16 OR p.first = x) AND (q.copies <= 16 OR q.first = y)) OR (p.source = q.source AND p.first = x)
+"""
+
+SQL["p4_groups"] = _SHINGLED.replace("WITH c", "WITH RECURSIVE c") + """, sets AS (SELECT chunk_no, min(p) AS rep FROM (
+    SELECT y AS chunk_no, x AS p FROM alike JOIN n a ON a.chunk_no = x JOIN n b ON b.chunk_no = y JOIN shared USING (x, y) WHERE a.k = b.k AND a.k = shared.k
+    UNION ALL SELECT chunk_no, chunk_no FROM n) GROUP BY chunk_no),
+twoway AS (SELECT x AS u, y AS v FROM alike UNION ALL SELECT y, x FROM alike),
+walk AS (
+  SELECT u, u AS root FROM twoway UNION SELECT b.v, w.root FROM walk w JOIN twoway b ON b.u = w.u WHERE w.root < b.v),
+grp AS (SELECT u AS chunk_no, min(root) AS group_id FROM walk GROUP BY u),
+links AS (
+  SELECT a.rep, count(DISTINCT b.rep) AS n FROM twoway JOIN sets a ON a.chunk_no = u JOIN sets b ON b.chunk_no = v WHERE a.rep <> b.rep GROUP BY a.rep)
+SELECT chunk_no, group_id, coalesce(n, 0)::BIGINT AS n_links FROM grp JOIN sets USING (chunk_no) LEFT JOIN links USING (rep)
 """
 
 _CROSSING = r"""

@@ -301,16 +301,33 @@ def test_many_copies_are_tied_to_one(spark):
     assert near_duplicates.expanded_pairs(empty, none).count() == 0
 
 
-def test_band_bounds_hold_sizes_that_the_sample_lacks():
-    s = near_duplicates.JoinSettings()
-    rng = np.random.default_rng(4)
-    for sizes in (np.array([10] * 50 + [100] * 50), np.array([7] * 90 + [8, 30, 31]), rng.integers(1, 300, 101)):
-        order = near_duplicates._Order(sizes, np.zeros(0, np.int64), 100_000, s)
-        for bands in (2, 3, 7, 90):
-            low, high = order.band_sizes(bands)
-            for size in range(1, 320):
-                band = order.band_of(np.full(200, size), np.arange(200), bands)
-                assert (low[band] <= size).all() and (size <= high[band]).all()
+def test_a_shingle_that_the_sample_misses_is_cut_into_tiles(spark):
+    rng = random.Random(3)
+    body = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [(i, " ".join(["all", "have", "this", *body(rng.randint(6, 40))])) for i in range(5000)]
+    twins = [(10_000 + i, texts[i][1].replace("all have", "none has")) for i in range(0, 5000, 100) if len(texts[i][1].split()) > 30]
+    df = spark.createDataFrame(texts + twins, "id long, text string")
+    s = near_duplicates.JoinSettings(similarity=0.6, shingle=3, tile=64, sample=1)
+    order = near_duplicates._Order(np.zeros(0, np.int64), s)
+    sets = df.select("id", "text", F.unhex(F.md5("text")).alias("m")).mapInArrow(near_duplicates._prepare(s), "id long, text_mark binary, size int, same binary, signature binary, marks binary")
+    postings = sets.select("id", "marks").mapInArrow(near_duplicates._postings(order, s), "key long, id long, cls int, meta long").cache()
+    assert postings.groupBy("key").count().agg(F.max("count")).head()[0] > 1000
+    assert near_duplicates._tiled(postings, s).groupBy("key").count().agg(F.max("count")).head()[0] <= 4 * s.tile
+    links, members = near_duplicates.similar(df, "id", "text", s)
+    assert set(rows(near_duplicates.expanded_pairs(links, members), "a", "b")) == {(i - 10_000, i) for i, _ in twins}
+
+
+def test_a_large_family_keeps_all_its_links(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(300):
+        own = list(base[: 60 + i % 20])
+        own[rng.randrange(len(own))] = f"x{i}"
+        texts.append((i, " ".join(own)))
+    df = spark.createDataFrame(texts, "id long, text string")
+    links, members = near_duplicates.similar(df, "id", "text", near_duplicates.JoinSettings(similarity=0.8, shingle=3, tile=16))
+    assert set(rows(near_duplicates.expanded_pairs(links, members), "a", "b")) == brute_near(texts, 0.8, 3, 1)
 
 
 @pytest.mark.parametrize("block", [4, 1024])
