@@ -1,5 +1,8 @@
 """Same or nearly same questions across splits, by compressed full-text indexes of evaluation shards.
 
+Questions of one side with the same words in the same order and the same relevant ids are a class, named by
+its smallest id; from here on a class is one question.
+
 A question is routed by keys: one for its whole word sequence, and one for each pair of a relevant id and
 a word of its prefix (two questions that share ``share`` of their distinct words share one of the first
 ``n - ceil(share * n) + 1`` words of each, in any fixed order; longer words come first). Evaluation
@@ -11,6 +14,10 @@ separator, its words, separator. The shard's training questions stream through b
 keys give the candidate questions, the bracketed word sequence gives the equal ones, and the maximal
 matches of their words give the spans that evaluation text covers. Candidates are then decided exactly.
 
+Maximal matches alone can't give the candidates of near pairs: those share a set of words, in any order, and
+a question whose words lie in shorter runs than another question's is never where a maximal match is
+located. The keys are therefore part of the index's text, and found in it by the same backward search.
+
 Defined cases: null and blank texts have no words and match nothing. A null, blank or unknown split counts
 as training. Null and empty lists of relevant ids share nothing. Re-delivered rows count once.
 """
@@ -61,16 +68,26 @@ def routing_keys(words: list[str], relevant: list[str] | None, share: float) ->
     return ["=" + " ".join(words), *(f"{r}\x1f{w}" for r in ids for w in prefix)]
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and relevant ids of each question, and two hashes of its class."""
+    strings = pa.list_(pa.string())
+    for b in batches:
+        ids, texts, relevant, held = (c.to_pylist() for c in b.columns)
+        words = [words_of(t) for t in texts]
+        named = [sorted({r for r in own or () if r}) for own in relevant]
+        whole = np.array([f"{h}\x1e" + "\x1f".join(w) + "\x1e" + "\x1f".join(n) for h, w, n in zip(held, words, named)], object)
+        marks = [pd.util.hash_array(whole, hash_key=k, categorize=False).view(np.int64) for k in ("0123456789123456", "6543219876543210")]
+        yield batch(("id", "held", "one", "two", "words", "ids"), (pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(marks[0]), pa.array(marks[1]), pa.array(words, strings), pa.array(named, strings)))
+
+
 def _route(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text, relevant, held in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
-                keys = routing_keys(words, relevant, share)
-                if keys:
-                    marks = pd.util.hash_array(np.array(keys, object), categorize=False).view(np.int64)
-                    rows.extend((int(k), i, held, words, sorted({r for r in relevant or () if r})) for k in marks)
+            for i, held, words, ids in zip(*(c.to_pylist() for c in b.columns)):
+                keys = routing_keys(words, ids, share)
+                marks = pd.util.hash_array(np.array(keys, object), categorize=False).view(np.int64)
+                rows.extend((int(k), i, held, words, ids) for k in marks)
             if rows:
                 key, i, held, words, ids = zip(*rows)
                 strings = pa.list_(pa.string())
@@ -164,16 +181,22 @@ def _merged(match: np.ndarray) -> tuple[int, int]:
     return int(match.max(initial=0)), int((np.cumsum(cover[:-1]) > 0).sum())
 
 
-def overlaps(df: DataFrame, id_col: str, text_col: str, relevant_col: str, split_col: str, s: OverlapSettings = OverlapSettings()) -> DataFrame:
-    """One row per pair of a held-out (``id``) and a training question (``other``) that are the ``same`` word
+def class_overlaps(df: DataFrame, id_col: str, text_col: str, relevant_col: str, split_col: str, s: OverlapSettings = OverlapSettings()) -> tuple[DataFrame, DataFrame]:
+    """One row per pair of a held-out (``id``) and a training class (``other``) that are the ``same`` word
     sequence or ``near``: their common and all distinct words, the longest run of the training question's
-    words found in its shard's evaluation text and how many of its words such runs cover."""
+    words found in its shard's evaluation text and how many of its words such runs cover. And the
+    ``members`` ``id, rep, n`` of all classes, with the class's size."""
     spark = df.sparkSession
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(relevant_col).alias("relevant"),
         (reduced_split(F.col(split_col)) == "heldout").alias("held"),
     ).where("id is not null").dropDuplicates(["id"])
-    routed = durable(rows.mapInArrow(_route(s.share), "key long, id long, held boolean, words array<string>, ids array<string>"))
+    strings = "words array<string>, ids array<string>"
+    read = durable(rows.mapInArrow(_read, f"id long, held boolean, one long, two long, {strings}").where(F.size("words") > 0))
+    classes = durable(read.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by(F.struct("held", "words", "ids"), "id").alias("q")))
+    members = read.select("id", "one", "two").join(classes.select("one", "two", "rep", "n"), ["one", "two"]).select("id", "rep", "n")
+    asked = classes.select(F.col("rep").alias("id"), "q.held", "q.words", "q.ids")
+    routed = durable(asked.mapInArrow(_route(s.share), f"key long, id long, held boolean, {strings}"))
     # keys that both sides have; how often, for the tiles
     sides = routed.groupBy("key").agg(F.count_if("held").alias("nh"), F.count_if(~F.col("held")).alias("nt")).where("nh > 0 and nt > 0")
     tiles = sides.select("key", F.ceil(F.col("nh") / s.tile).cast("int").alias("th"), F.ceil(F.col("nt") / s.tile).cast("int").alias("tt"))
@@ -188,4 +211,23 @@ def overlaps(df: DataFrame, id_col: str, text_col: str, relevant_col: str, split
     pairs = placed.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInPandas(
         _shard_pairs(s.share), "id long, other long, kind string, common long, either long, longest_run long, covered long"
     )
-    return pairs.groupBy("id", "other").agg(F.max("kind").alias("kind"), F.max("common").alias("common"), F.max("either").alias("either"), F.max("longest_run").alias("longest_run"), F.max("covered").alias("covered"))
+    best = [F.max(c).alias(c) for c in ("kind", "common", "either", "longest_run", "covered")]
+    return pairs.groupBy("id", "other").agg(*best), members
+
+
+def expanded(pairs: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """``pairs`` of classes as pairs of all their members, in blocks of about ``block`` members a class."""
+    slots = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = durable(slots.select("rep", "blocks").distinct())
+    rest = [c for c in pairs.columns if c not in ("id", "other")]
+    one = pairs.join(sizes.toDF("id", "na"), "id").join(sizes.toDF("other", "nb"), "other")
+    one = one.withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    mine = slots.select(F.col("rep").alias("id"), F.col("slot").alias("sa"), F.col("id").alias("a"))
+    theirs = slots.select(F.col("rep").alias("other"), F.col("slot").alias("sb"), F.col("id").alias("b"))
+    return one.join(mine, ["id", "sa"]).join(theirs, ["other", "sb"]).select(F.col("a").alias("id"), F.col("b").alias("other"), *rest)
+
+
+def overlaps(df: DataFrame, id_col: str, text_col: str, relevant_col: str, split_col: str, s: OverlapSettings = OverlapSettings()) -> DataFrame:
+    """The pairs of :func:`class_overlaps` for all members of the classes."""
+    pairs, members = class_overlaps(df, id_col, text_col, relevant_col, split_col, s)
+    return expanded(durable(pairs), members)

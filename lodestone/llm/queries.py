@@ -113,21 +113,24 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(durable(links), members).withColumnRenamed("id", "chunk_no")
 
 
-def _crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = load(spark, sf_dir, "questions", "question_id", "question", "relevant", "split")
-    return cross_split.overlaps(questions, "question_id", "question", "relevant", "split")
+_CROSSING = ("question_id", "question", "relevant", "split")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crossing(spark, sf_dir).select(F.least("id", "other").alias("question_id_a"), F.greatest("id", "other").alias("question_id_b"))
+    pairs = cross_split.overlaps(load(spark, sf_dir, "questions", *_CROSSING), *_CROSSING)
+    return pairs.select(F.least("id", "other").alias("question_id_a"), F.greatest("id", "other").alias("question_id_b"))
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that stand in the other split too, and all, per split and corpus."""
+    """Questions that stand in the other split too, and all, per split and corpus; pairs are counted by the
+    sizes of the classes, not made."""
     questions = load(spark, sf_dir, "questions", "question_id", "corpus", "split").dropDuplicates(["question_id"])
-    pairs = durable(_crossing(spark, sf_dir))
-    hit = pairs.select(F.col("id").alias("question_id"), "kind").unionByName(pairs.select(F.col("other").alias("question_id"), "kind"))
-    hit = hit.groupBy("question_id").agg(F.max(F.col("kind") == "same").alias("same"), F.count("*").alias("pairs"))
+    pairs, members = cross_split.class_overlaps(load(spark, sf_dir, "questions", *_CROSSING), *_CROSSING)
+    pairs, members = durable(pairs), durable(members)
+    both = pairs.select("id", "other", "kind").unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "kind"))
+    size = members.select(F.col("rep").alias("other"), "n").distinct()
+    linked = both.join(size, "other").groupBy(F.col("id").alias("rep")).agg(F.max(F.col("kind") == "same").alias("same"), F.sum("n").alias("pairs"))
+    hit = members.join(linked, "rep").select(F.col("id").alias("question_id"), "same", "pairs")
     rows = questions.withColumn("split", cross_split.reduced_split(F.col("split"))).join(hit, "question_id", "left")
     return rows.groupBy("split", "corpus").agg(
         F.count("*").alias("questions"), F.count("pairs").alias("overlapping"), F.count_if("same").alias("same"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")

@@ -36,22 +36,41 @@ FREQUENT = {
     "fr": "le la les et des une un du est dans pour que pas sur ne",
 }
 _BY_WORD = {w: [g for g, ws in FREQUENT.items() if w in ws.split()] for ws in FREQUENT.values() for w in ws.split()}
-_SCRIPTS = (("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("hi", re.compile("[ऀ-ॿ]")), ("th", re.compile("[฀-๿]")))
 _WORD = re.compile(r"[^\W\d_]+")
 #: Code points where a character class begins, and the class: 0 blank, 1 digit, 2 letter, 3 punctuation,
-#: 4 joining mark, 5 other Latin, 6 Cyrillic, 7 other alphabets, 8 kana, 9 Han, 10 Hangul, 11 other.
-_BOUNDS = np.array([0, 33, 48, 58, 65, 91, 95, 96, 97, 123, 0xC0, 0x400, 0x530, 0x3040, 0x3100, 0x4E00, 0xA000, 0xAC00, 0xD7B0])
-_CLASS = np.array([0, 3, 1, 3, 2, 3, 4, 3, 2, 3, 5, 6, 7, 8, 11, 9, 11, 10, 11])
-CLASSES = 12
-
-
-def language_of(text: str) -> str:
-    """The reference a text is held against: by script, else by its frequent words, else English."""
-    for name, pattern in _SCRIPTS:
-        if len(pattern.findall(text)) * 5 >= len(text):
-            return name
-    votes: Counter[str] = Counter(g for w in _WORD.findall(text) for g in _BY_WORD.get(w, ()))
-    return max(sorted(votes), key=votes.__getitem__) if votes else "en"
+#: 4 joining mark, 5 other Latin, 6 Cyrillic, 7 other alphabets, 8 kana, 9 Han, 10 Hangul, 11 other,
+#: 12 Arabic, 13 Devanagari, 14 Thai.
+_BOUNDS = np.array([0, 33, 48, 58, 65, 91, 95, 96, 97, 123, 0xC0, 0x400, 0x530, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x3040, 0x3100, 0x4E00, 0xA000, 0xAC00, 0xD7B0])
+_CLASS = np.array([0, 3, 1, 3, 2, 3, 4, 3, 2, 3, 5, 6, 7, 12, 7, 13, 7, 14, 7, 8, 11, 9, 11, 10, 11])
+CLASSES = 15
+#: Languages told by a fifth of the characters in their class.
+_BY_CLASS = (("ja", 8), ("zh", 9), ("ru", 6), ("ar", 12), ("hi", 13), ("th", 14))
+#: Languages written without blanks: a word of theirs is a letter, else it would be a whole clause.
+_UNSPACED = frozenset(("ja", "zh", "th"))
+
+
+class Texts:
+    """A block of texts in one array of code points, with their histograms, languages and words."""
+
+    def __init__(self, texts: list[str]):
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
+        kind = _CLASS[np.searchsorted(_BOUNDS, self.codes, side="right") - 1]
+        self.classes = np.bincount(self.owner * CLASSES + kind, minlength=len(texts) * CLASSES).reshape(-1, CLASSES)
+        self.words = [_WORD.findall(t) for t in texts]
+        self.langs = [self._language(i) for i in range(len(texts))]
+        for i, g in enumerate(self.langs):
+            if g in _UNSPACED:
+                self.words[i] = [c for w in self.words[i] for c in w]
+
+    def _language(self, i: int) -> str:
+        """The reference a text is held against: by script, else by its frequent words, else English."""
+        for name, k in _BY_CLASS:
+            if self.classes[i, k] * 5 >= max(1, self.lengths[i]):
+                return name
+        votes: Counter[str] = Counter(g for w in self.words[i] for g in _BY_WORD.get(w, ()))
+        return max(sorted(votes), key=votes.__getitem__) if votes else "en"
 
 
 def normal(text: Column) -> Column:
@@ -63,15 +82,14 @@ def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def repeated_shares(texts: list[str], stretch: int = 24) -> np.ndarray:
+def repeated_shares(texts: list[str] | Texts, stretch: int = 24) -> np.ndarray:
     """``repeated_share`` of each text. All texts are laid in one array; hashes of their stretches come by
     doubling, and one sort finds the first place of each."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    shares = np.zeros(len(texts))
-    if not lengths.sum():
+    texts = texts if isinstance(texts, Texts) else Texts(texts)
+    lengths, codes, owner = texts.lengths, texts.codes, texts.owner
+    shares = np.zeros(len(lengths))
+    if not len(codes):
         return shares
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), lengths)
     end = np.cumsum(lengths)
     with np.errstate(over="ignore"):
         level, width = _mixed(codes.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15), 1
@@ -91,35 +109,29 @@ def repeated_shares(texts: list[str], stretch: int = 24) -> np.ndarray:
         if total is None or done != stretch:
             return shares
         at = np.arange(len(total))
-        inside = at + stretch <= end[owner[: len(total)]]
-        at = at[inside]
-        key = total[inside] ^ _mixed(owner[at].astype(np.uint64) + np.uint64(77), 0x9E3779B97F4A7C15)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    again = at[first[which] < np.arange(len(at))]
+        at = at[at + stretch <= end[owner[: len(total)]]]
+        key = total[at] ^ _mixed(owner[at].astype(np.uint64) + np.uint64(77), 0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    # all but the first place of each stretch
+    key = key[order]
+    again = at[order[1:][key[1:] == key[:-1]]]
     cover = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(cover, again, 1)
-    np.subtract.at(cover, again + stretch, 1)
-    repeated = np.cumsum(cover[:-1]) > 0
-    count = np.bincount(owner[repeated], minlength=len(texts))
+    cover[again] += 1
+    cover[again + stretch] -= 1
+    count = np.bincount(owner[np.cumsum(cover[:-1]) > 0], minlength=len(lengths))
     return count / np.maximum(lengths, 1)
 
 
-def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float | None:
-    if not p.sum() or not q.sum():
-        return None
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
-
-    def part(x: np.ndarray) -> float:
-        on = x > 0
-        return float((x[on] * np.log2(x[on] / m[on])).sum())
-
-    return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
-
-
-def class_counts(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_CLASS[np.searchsorted(_BOUNDS, codes, side="right") - 1], minlength=CLASSES)
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distance of each row of ``p`` to ``q``; NaN where either has no counts."""
+    with np.errstate(all="ignore"):
+        p = p / p.sum(1, keepdims=True)
+        q = (q / q.sum())[None, :]
+        m = (p + q) / 2
+        part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / m), 0).sum(1)
+        total = (part(p) + part(q)) / 2
+        empty = np.isnan(p).any(1) | bool(np.isnan(q).any())
+        return np.where(empty, np.nan, np.sqrt(np.maximum(0.0, total)))
 
 
 def _blocks(b: pa.RecordBatch, size: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -134,43 +146,52 @@ def _blocks(b: pa.RecordBatch, size: int = 1_000_000) -> Iterator[tuple[list, li
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes: dict[str, np.ndarray] = {}
-    words: Counter[tuple[str, str]] = Counter()
+    words: dict[str, Counter[str]] = {}
 
     def out() -> pa.RecordBatch:
         rows = [(g, str(i), False, int(n)) for g, h in classes.items() for i, n in enumerate(h) if n]
-        rows += [(g, w, True, n) for (g, w), n in words.items()]
+        rows += [(g, w, True, n) for g, own in words.items() for w, n in own.items()]
         cols = list(zip(*rows)) or [[], [], [], []]
         return batch(("lang", "item", "is_word", "n"), [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64()))])
 
     for b in batches:
-        for t in b.column(1).to_pylist():
-            g = language_of(t)
-            classes[g] = classes.get(g, 0) + class_counts(t)
-            words.update((g, w) for w in _WORD.findall(t))
-        if len(words) > 200_000:
+        for _, block in _blocks(b):
+            texts = Texts(block)
+            langs = np.array(texts.langs)
+            for g in set(texts.langs):
+                mine = np.nonzero(langs == g)[0]
+                classes[g] = classes.get(g, 0) + texts.classes[mine].sum(0)
+                own = words.setdefault(g, Counter())
+                for i in mine:
+                    own.update(texts.words[i])
+        if sum(map(len, words.values())) > 200_000:
             yield out()
-            classes, words = {}, Counter()
+            classes, words = {}, {}
     yield out()
 
 
 def _measure(reference: dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]], stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _blocks(b):
-                shares = repeated_shares(texts, stretch)
-                langs, chars, words = [], [], []
-                for t in texts:
-                    g = language_of(t)
+            for ids, block in _blocks(b):
+                texts = Texts(block)
+                langs, n = np.array(texts.langs), len(block)
+                chars, words = np.full(n, np.nan), np.full(n, np.nan)
+                for g in set(texts.langs):
                     classes, index, common = reference[g]
-                    own = np.zeros(len(common))
-                    for w in _WORD.findall(t):
-                        own[index.get(w, -1)] += 1  # the last place is for all other words
-                    langs.append(g)
-                    chars.append(jensen_shannon(class_counts(t), classes))
-                    words.append(jensen_shannon(own, common))
+                    mine = np.nonzero(langs == g)[0]
+                    chars[mine] = jensen_shannon(texts.classes[mine], classes)
+                    # the last place is for all other words
+                    width = len(common)
+                    places = [[index.get(w, width - 1) for w in texts.words[i]] for i in mine]
+                    row = np.repeat(np.arange(len(mine)), [len(p) for p in places])
+                    flat = np.array([x for p in places for x in p], np.int64)
+                    own = np.bincount(row * width + flat, minlength=len(mine) * width).reshape(-1, width)
+                    words[mine] = jensen_shannon(own, common)
+                known = lambda x: pa.array(x, pa.float64(), from_pandas=True)
                 yield batch(
                     ("item_id", "n_chars", "lang", "repeated_share", "char_divergence", "word_divergence"),
-                    (pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int32()), pa.array(langs, pa.string()), pa.array(shares), pa.array(chars, pa.float64()), pa.array(words, pa.float64())),
+                    (pa.array(ids, pa.int64()), pa.array(texts.lengths.astype(np.int32)), pa.array(texts.langs, pa.string()), pa.array(repeated_shares(texts, stretch)), known(chars), known(words)),
                 )
 
     return run
@@ -187,21 +208,28 @@ def repetition(df: DataFrame, id_col: str, text: Column, stretch: int = 24, leas
     long_ones = durable(sized.where(F.col("n_chars") >= least))
     counted = long_ones.select("item_id", "text").mapInArrow(_count, "lang string, item string, is_word boolean, n long")
     counted = counted.groupBy("lang", "item", "is_word").agg(F.sum("n").alias("n"))
-    totals = Window.partitionBy("lang", "is_word")
-    kept = counted.withColumn("total", F.sum("n").over(totals)).withColumn("place", F.row_number().over(totals.orderBy(F.desc("n"), "item")))
-    reference: dict = {}
-    # bounded: the languages above times (common words + character classes)
-    for r in kept.where((F.col("place") <= common) | ~F.col("is_word")).orderBy("lang", "place").collect():
-        classes, index, counts = reference.setdefault(r["lang"], (np.zeros(CLASSES), {}, []))
-        if r["is_word"]:
-            index[r["item"]] = len(counts)
-            counts.append(r["n"])
-            reference[r["lang"] + " total"] = r["total"]
+    counted = durable(counted)
+    # each task cuts its words of a language to the first ``common`` before they meet
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    most = counted.where("is_word").withColumn("place", place).where(F.col("place") <= common).drop("place")
+    sums = counted.where("is_word").groupBy("lang").agg(F.lit(None).cast("string").alias("item"), F.lit(None).cast("boolean").alias("is_word"), F.sum("n").alias("n"))
+    kept = most.unionByName(counted.where("not is_word")).unionByName(sums)
+    # bounded: the languages above times (common words + character classes + 1)
+    chars: dict[str, np.ndarray] = {}
+    known: dict[str, list[tuple[str, int]]] = {}
+    total: dict[str, int] = {}
+    for r in kept.collect():
+        if r["is_word"] is None:
+            total[r["lang"]] = r["n"]
+        elif r["is_word"]:
+            known.setdefault(r["lang"], []).append((r["item"], r["n"]))
         else:
-            classes[int(r["item"])] = r["n"]
-    tables = {
-        g: (v[0], v[1], np.array([*v[2], reference.get(g + " total", 0) - sum(v[2])], float)) for g, v in reference.items() if isinstance(v, tuple)
-    }
+            chars.setdefault(r["lang"], np.zeros(CLASSES))[int(r["item"])] = r["n"]
+    tables = {}
+    for g, histogram in chars.items():
+        own = sorted(known.get(g, ()), key=lambda x: (-x[1], x[0]))
+        counts = [n for _, n in own]
+        tables[g] = (histogram, {w: i for i, (w, _) in enumerate(own)}, np.array([*counts, total.get(g, 0) - sum(counts)], float))
     measured = long_ones.select("item_id", "text").mapInArrow(
         _measure(tables, stretch), "item_id long, n_chars int, lang string, repeated_share double, char_divergence double, word_divergence double"
     )

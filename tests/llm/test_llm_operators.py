@@ -376,8 +376,9 @@ def test_repetition_table(spark):
 
 def test_divergence():
     a = np.array([1.0, 0, 3])
-    assert repetition.jensen_shannon(a, 2 * a) == 0
-    assert repetition.jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
+    assert repetition.jensen_shannon(np.array([a, 2 * a]), 2 * a).tolist() == [0, 0]
+    assert repetition.jensen_shannon(np.array([[1.0, 0]]), np.array([0, 1.0])) == pytest.approx([1])
+    assert np.isnan(repetition.jensen_shannon(np.zeros((1, 2)), np.array([0, 1.0]))).all()
 
 
 # p6
@@ -451,6 +452,16 @@ def test_overlaps_against_brute_force(spark):
     assert cross_split.overlaps(df.limit(0), "qid", "question", "relevant", "split").count() == 0
 
 
+def test_equal_questions_are_one_class(spark):
+    data = [(i, "where is the pool", ["r"], "heldout") for i in range(7)] + [(100 + i, "Where is the pool?", ["r", "r"], "tune") for i in range(9)] + [(200, "where is a pool", ["r"], "tune")]
+    df = spark.createDataFrame(data, "qid long, question string, relevant array<string>, split string")
+    pairs, members = cross_split.class_overlaps(df, "qid", "question", "relevant", "split")
+    assert rows(pairs, "id", "other", "kind") == [(0, 100, "same"), (0, 200, "near")]
+    assert rows(members.select("rep", "n").distinct(), "rep", "n") == [(0, 7), (100, 9), (200, 1)]
+    got = rows(cross_split.expanded(pairs, members, block=2), "id", "other")
+    assert got == [(a, b) for a in range(7) for b in (*range(100, 109), 200)]
+
+
 # p8
 
 
