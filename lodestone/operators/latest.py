@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
+#: Keys with several versions that may be broadcast (about 12 MB); more are joined by a shuffle.
+FEW = 500_000
+
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The row of each key with the greatest ``by`` (nulls least; among equals any). Aggregates map-side,
@@ -13,3 +18,16 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     order = F.struct(F.col(by).isNotNull().alias("has"), F.col(by).alias("by"))
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row"))
     return picked.select(*keys, "row.*")
+
+
+def current(df: DataFrame, key: str, by: str) -> DataFrame:
+    """``df`` without the rows of which a later version, by ``by`` (nulls first), has the same ``key``. Equal
+    versions all stay. Wide columns aren't moved: only the keys are counted, and those of several versions
+    looked up. Rows with a null key go."""
+    newest = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(by).alias("_top"), F.min(by).alias("_low"), F.count("*").alias("_n"), F.count(by).alias("_known"))
+    several = durable(newest.where("_top > _low or (_known > 0 and _known < _n)").select("_key", "_top"))
+    n = several.count()
+    if not n:
+        return df.where(F.col(key).isNotNull())
+    rows = df.where(F.col(key).isNotNull()).join(F.broadcast(several) if n <= FEW else several, F.col(key) == F.col("_key"), "left")
+    return rows.where(F.col("_key").isNull() | (F.col(by) == F.col("_top"))).drop("_key", "_top")

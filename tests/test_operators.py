@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dense, evaluation, fusion, graph, lexical, packing, ranges, running
-from lodestone.operators.latest import latest
+from lodestone.operators.latest import current, latest
 
 
 def one(spark, expr):
@@ -229,6 +229,12 @@ def test_latest(spark):
     assert sorted((r.k, r.x) for r in latest(df, ["k"], "by").collect()) == [(1, "b"), (2, None)]
 
 
+def test_current(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 2), (2, "c", None), (2, "d", 0), (3, "e", None), (None, "f", 1), (4, "g", 7)], "k long, text string, at long")
+    assert sorted(r.text for r in current(df, "k", "at").collect()) == ["b", "b", "d", "e", "g"]
+    assert current(df.where("k > 2"), "k", "at").count() == 2 and current(df.limit(0), "k", "at").count() == 0
+
+
 def test_retrieval_takes_stems_beside_tokens(spark, tmp_path):
     from lodestone.functions.stem import stem_word
     from lodestone.plans.queries import QUERIES
