@@ -299,12 +299,33 @@ def _first_statement(src: str, at: int, indent: int) -> str | None:
 
 
 _BRACE_TOKEN = re.compile(r"""/\*\*?(?:[^*]|\*(?!/))*\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[{};]""", re.S)
-_SIGNATURE = re.compile(r"(?:^|[\s*&:.>])(~?[A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\s*\((?:[^(){};]|\([^(){};]*\))*\)[^{};=]*(?:=>\s*)?$")
+_NAME_BEFORE = re.compile(r"(?:^|[\s*&:.>])(~?[A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\s*$")
+_AFTER = re.compile(r"[^{};=]*(?:=>\s*)?$")
 _NOT_NAMES = frozenset("if for while switch catch return synchronized using lock function func fn sizeof match when with".split())
 _TYPE = re.compile(r"\b(?:class|interface|struct|impl|trait|enum|object|record)\b[^()=]*$")
+_PARENTHESIS = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[()]""")
 _COMMENT_MARK = re.compile(r"^\s*(?:/\*\*?|\*/|\*|///?!?)|\*/\s*$", re.M)
 
 
+def _signature(head: str) -> tuple[str, int] | None:
+    """Name and place of the function whose signature ends ``head``: its parameters are the first bracket of
+    balanced parentheses with a name before it and no statement behind it."""
+    depth, groups, at = 0, [], 0
+    for m in _PARENTHESIS.finditer(head):
+        if m.group() == "(":
+            at = m.start() if depth == 0 else at
+            depth += 1
+        elif m.group() == ")" and depth:
+            depth -= 1
+            if depth == 0:
+                groups.append((at, m.end()))
+    for begin, end in groups:
+        m = _NAME_BEFORE.search(head, max(0, begin - 400), begin)
+        if m and m.group(1) not in _NOT_NAMES and _AFTER.match(head, end):
+            return m.group(1), m.start(1)
+    return None
+
+
 def scan_braced(source: str) -> Iterator[Found]:
     """Every function with a braced body; its documentation is the comment that stands right before it."""
     src = re.sub(r"\r\n?", "\n", source)
@@ -320,12 +341,12 @@ def scan_braced(source: str) -> Iterator[Found]:
                 since = t.end()
         elif text == "{":
             head = src[since : t.start()]
-            m = _SIGNATURE.search(head)
-            if m and m.group(1) not in _NOT_NAMES and not re.search(r"\b(?:new|return|else|=)\s*$", head[: m.start(1)]):
+            named = _signature(head)
+            if named and not re.search(r"\b(?:new|return|else|=)\s*$", head[: named[1]]):
                 doc = "\n".join(src[a:b] for a, b in comments)
                 kind = "method" if open_ and open_[-1][1] == "class" else "function"
                 begin = since + len(head) - len(head.lstrip())
-                open_.append((begin, kind, m.group(1), cleandoc(_COMMENT_MARK.sub("", doc)).strip() or None))
+                open_.append((begin, kind, named[0], cleandoc(_COMMENT_MARK.sub("", doc)).strip() or None))
             else:
                 open_.append((since, "class" if _TYPE.search(head) else "block", "", None))
             since, comments = t.end(), []

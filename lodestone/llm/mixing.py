@@ -22,7 +22,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batch
@@ -30,25 +30,34 @@ from ..operators.running import running_total
 from ..session import durable
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Bound of the rank file that is sent to the executors.
+MAX_RANKS = 16_000_000
 # Fixed value: the pattern that the public byte-level vocabularies split text with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoding(path: str, pattern: str = PATTERN):
-    """The tokenizer of a rank file, read once a process."""
+def encoding(name: str, ranks: bytes, pattern: str = PATTERN):
+    """The tokenizer of a rank file's contents, made once a process."""
     import tiktoken
     from tiktoken import registry
 
-    if path not in registry.ENCODINGS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        registry.ENCODINGS[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return registry.ENCODINGS[path]
+    if name not in registry.ENCODINGS:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        registry.ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return registry.ENCODINGS[name]
 
 
-def _count(path: str):
+def _count(path: str, spark: SparkSession):
+    """Counts tokens; the rank file is read by the driver and goes to the executors with the job, so only the
+    driver needs ``path``."""
+    with open(path, "rb") as f:
+        ranks = f.read(MAX_RANKS + 1)
+    if len(ranks) > MAX_RANKS:
+        raise ValueError(f"{path} is longer than {MAX_RANKS} bytes")
+    held = spark.sparkContext.broadcast(ranks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoding(path)
+        tokens = encoding(path, held.value)
         for b in batches:
             sizes = [len(tokens.encode_ordinary(t)) for t in b.column(2).to_pylist()]
             yield batch(("doc_id", "source", "tokens"), (b.column(0), b.column(1), pa.array(sizes, pa.int64())))
@@ -62,15 +71,20 @@ def source_name(source: Column) -> Column:
 
 def mixture(
     docs: DataFrame, doc_col: str, source_col: str, text_col: str, targets: DataFrame, seed: int = 1,
-    budget: int | None = None, tokenizer: str = TOKENIZER,
+    budget: int | None = None, tokenizer: str = TOKENIZER, size: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows ``doc_id, source, copy_no, tokens, finish, place_end`` of the mixture (``place_end`` is the
-    running total of tokens in the mixture's order) and the ``shares`` reached by each target source."""
+    running total of tokens in the mixture's order) and the ``shares`` reached by each target source. With
+    ``size`` (whole numbers, a column of ``docs``) that is used in place of a count of tokens."""
     goal = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("repeats"))
     goal = goal.where("share > 0 and source is not null").groupBy("source").agg(F.max("share").alias("share"), F.greatest(F.max("repeats"), F.lit(1)).alias("repeats"))
-    named = docs.select(F.col(doc_col).cast("long").alias("doc_id"), source_name(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(doc_col).cast("long").alias("doc_id"), source_name(F.col(source_col)).alias("source"), F.col(text_col).alias("text"), (F.lit(None) if size is None else size).cast("long").alias("tokens"))
     kept = named.where("doc_id is not null and source is not null and length(text) > 0").join(F.broadcast(goal.select("source")), "source", "left_semi")
-    sized = durable(kept.select("doc_id", "source", "text").mapInArrow(_count(tokenizer), "doc_id long, source string, tokens long").dropDuplicates(["doc_id"]))
+    if size is None:
+        counted = kept.select("doc_id", "source", "text").mapInArrow(_count(tokenizer, docs.sparkSession), "doc_id long, source string, tokens long")
+    else:
+        counted = kept.where("tokens > 0").select("doc_id", "source", "tokens")
+    sized = durable(counted.dropDuplicates(["doc_id"]))
     # one row a target source: bounded by the table of targets
     rows = goal.join(sized.groupBy("source").agg(F.sum("tokens").alias("total"), F.count("*").alias("n_docs")), "source", "left").collect()
     full = [r for r in rows if r["total"]]
@@ -83,7 +97,7 @@ def mixture(
         [(s, w, t, min(n, math.ceil(w * limit / t) + 1)) for s, (w, t, n) in plan.items()],
         "source string, weight double, total long, copies int",
     )
-    laid = running_total(sized.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))), ["turn", "doc_id"], "tokens", "source")
+    laid = running_total(sized.withColumn("turn", F.substring(F.md5(F.concat_ws(":", "doc_id", F.lit(seed))), 1, 16)), ["turn", "doc_id"], "tokens", "source")
     each = laid.join(F.broadcast(weights), "source").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     reached = F.col("copy_no") * F.col("total") + F.col("running")
     each = each.withColumn("finish", reached / F.col("weight")).where((reached - F.col("tokens")) / F.col("weight") < limit)

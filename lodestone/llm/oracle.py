@@ -105,3 +105,42 @@ SQL["p7_counts"] = _CROSSING + """, hit AS (
 SELECT part AS split, corpus, count(*) AS questions, count(pairs) AS overlapping, count(*) FILTER (WHERE same) AS same,
   coalesce(sum(pairs), 0)::BIGINT AS pairs FROM (SELECT DISTINCT id, corpus, part FROM q) LEFT JOIN hit USING (id) GROUP BY ALL
 """
+
+SQL["p8_spans"] = r"""
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE lower(trim(split)) = 'heldout'),
+ig AS (SELECT DISTINCT item_id, array_to_string(ws[k:k + 12], ' ') AS g FROM i, unnest(range(1, len(ws) - 11)) AS u(k)),
+d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws, regexp_split_to_array(lower(text), '[\p{L}\p{N}]+') AS gaps FROM documents),
+dg AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS g FROM d, unnest(range(1, len(ws) - 11)) AS u(k)),
+hit AS (SELECT DISTINCT doc_id, item_id, k FROM dg JOIN ig USING (g)),
+cut AS (SELECT *, coalesce(k > lag(k) OVER w + 13, true) AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY k)),
+run AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS n FROM cut),
+span AS (SELECT doc_id, item_id, min(k) AS a, max(k) + 12 AS b FROM run GROUP BY doc_id, item_id, n)
+SELECT doc_id, item_id,
+  (list_sum(list_transform(gaps[1:a], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:a - 1], lambda x: length(x))), 0))::INT AS start_pos,
+  (list_sum(list_transform(gaps[1:b], lambda x: length(x))) + list_sum(list_transform(ws[1:b], lambda x: length(x))))::INT AS end_pos,
+  (b - a + 1)::INT AS n_words
+FROM span JOIN d USING (doc_id)
+"""
+
+SQL["p9_by_chars"] = r"""
+WITH goal AS (
+  SELECT source, max(target_share) AS share, greatest(max(coalesce(max_repeats, 1)), 1) AS repeats FROM (
+    SELECT regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') AS source, target_share, max_repeats FROM mix_targets)
+  WHERE target_share > 0 AND source IS NOT NULL GROUP BY source),
+docs AS (
+  SELECT DISTINCT ON (doc_id) doc_id, regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g') AS source, n_chars FROM documents
+  WHERE source IS NOT NULL AND length(text) > 0 AND n_chars > 0),
+total AS (SELECT source, sum(n_chars) AS total, any_value(share) AS share, any_value(repeats) AS repeats FROM docs JOIN goal USING (source) GROUP BY source),
+plan AS (SELECT *, share / (SELECT sum(share) FROM total) AS weight FROM total),
+most AS (SELECT min(total * repeats / weight) AS budget FROM plan),
+laid AS (
+  SELECT doc_id, source, n_chars, sum(n_chars) OVER (
+    PARTITION BY source ORDER BY left(md5(concat_ws(':', doc_id, 1)), 16), doc_id ROWS UNBOUNDED PRECEDING) AS running FROM docs JOIN plan USING (source)),
+each AS (
+  SELECT doc_id, source, n_chars, c AS copy_no, (c * total + running) / weight AS finish, (c * total + running - n_chars) / weight AS begins
+  FROM laid JOIN plan USING (source), unnest(range(0, repeats::BIGINT)) AS u(c)),
+taken AS (
+  SELECT *, sum(n_chars) OVER (ORDER BY finish, source, doc_id, copy_no ROWS UNBOUNDED PRECEDING) AS place_end FROM each, most WHERE begins < budget)
+SELECT doc_id, source, copy_no::INT AS copy_no, n_chars, place_end::BIGINT AS place_end FROM taken WHERE place_end <= budget
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.latest import current
 from ..session import durable
 from ..sources.tables import load
 from . import broken_pairs, cross_split, functions_docs, leakage, mixing, near_duplicates, neighbours, repetition, sentences, splitting
@@ -55,12 +56,12 @@ def p2_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = load(spark, sf_dir, "source_files", "file_id", "lang", "source")
+    files = current(load(spark, sf_dir, "source_files", "file_id", "lang", "source", "indexed_at"), "file_id", "indexed_at")
     return functions_docs.documented_functions(files, "file_id", "lang", "source", with_text=False).select("file_id", "start_line")
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = load(spark, sf_dir, "source_files", "file_id", "lang", "source")
+    files = current(load(spark, sf_dir, "source_files", "file_id", "lang", "source", "indexed_at"), "file_id", "indexed_at")
     return functions_docs.documented_functions(files, "file_id", "lang", "source")
 
 
@@ -81,7 +82,7 @@ def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oversized(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    chunks = load(spark, sf_dir, "chunks", "chunk_no", "source")
+    chunks = current(load(spark, sf_dir, "chunks", "chunk_no", "source", "indexed_at"), "chunk_no", "indexed_at")
     parts = load(spark, sf_dir, "embedding_parts", "part_id", "text")
     return splitting.split_oversized(chunks, "chunk", "chunk_no", "source", with_text=with_text).unionByName(
         splitting.split_oversized(parts, "part", "part_id", "text", with_text=with_text)
@@ -148,6 +149,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture with the stored number of characters as size, which SQL can follow."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "source", "text", "n_chars")
+    taken, _ = mixing.mixture(docs, "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"), size=F.col("n_chars"))
+    return taken.select("doc_id", "source", "copy_no", F.col("tokens").alias("n_chars"), "place_end")
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = load(spark, sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mixture(docs, "doc_id", "source", "text", load(spark, sf_dir, "mix_targets"))
@@ -191,6 +199,7 @@ QUERIES = {
     "p8_spans": p8_spans,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_by_chars": p9_by_chars,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }

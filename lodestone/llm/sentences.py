@@ -6,16 +6,20 @@ With an empty stack, a terminator ends the sentence unless what surrounds it say
 abbreviation before it (tries of endings by what may follow them), an initial, an ordinal before a month,
 no white space behind it, or a continuation in lower case. With marks on the stack nothing ends; when the
 last one is popped right behind a terminator, what follows decides. Blank lines end sentences, single
-line breaks don't. In layouts other than prose, list items, headings, quoted lines and fenced code are
-units of their own (the list level is the automaton's other state).
+line breaks don't. In layouts other than prose, list items, headings, quoted lines, table rows and fenced
+code are units of their own. The automaton's second stack holds the indents of the open lists: a bullet or
+the number 1 opens a list inside the item above it, a further number goes on with an open list of its indent
+and is plain text elsewhere, and text that is indented less closes lists.
 
 Defined cases: null, empty and blank texts give no rows. Positions are code points. Re-delivered
-documents count once. The rows of a document cover all its characters but white space.
+documents count once, all rows of a document from the same delivery. The rows of a document cover all its
+characters but white space.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +53,8 @@ _MARKS = re.compile(r"""[("\[{（【「『«“„‹《〈)\]}）】」』»”
 _PARAGRAPH = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
 _FILL = re.compile(r"\s*")
 _NAME = re.compile(r"[a-z][A-Za-z0-9]*(?:[_.]\w|\(|[A-Z])")
-_ITEM = re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d{1,3}[.)]|#{1,6}|>|```|~~~|\|)(?:\s|\w|$))")
-_ITEM_HEAD = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])\s+")
+_LINE = re.compile(r"([ \t]*)(?:([-*+•])(?=\s)|(\d{1,9})[.)](?=\s)|(#{1,6}(?=\s)|>|\|))?")
+_ITEM_HEAD = re.compile(r"[ \t]*(?:[-*+•]|\d{1,9}[.)])\s+")
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n(?:.*?\n)?[ \t]*\1[^\n]*$", re.M | re.S)
 
 
@@ -92,17 +96,21 @@ _ORDINAL_MONTH = re.compile(rf"\s+(?:{'|'.join(MONTHS)})\b")
 def _outer_spans(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     """The outermost pairs of quotation marks and brackets: place of the opening, end of the closing."""
     stack: list[tuple[str, int]] = []
+    waits: Counter[str] = Counter()  # openings on the stack by their closing mark
     pairs: list[tuple[int, int]] = []
     for m in _MARKS.finditer(text, lo, hi):
         c = m.group()
-        place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c), -1) if c in _CLOSERS else -1
-        if place >= 0:
-            pairs.append((stack[place][1], m.end()))
-            del stack[place:]
-        elif c == '"':
-            stack.append(('"', m.start()))
-        elif c in _PAIRS:
-            stack.append((_PAIRS[c], m.start()))
+        if c in _CLOSERS and waits[c]:
+            while True:
+                close, at = stack.pop()
+                waits[close] -= 1
+                if close == c:
+                    break
+            pairs.append((at, m.end()))
+        elif c == '"' or c in _PAIRS:
+            close = _PAIRS.get(c, c)
+            stack.append((close, m.start()))
+            waits[close] += 1
     pairs.sort()
     out: list[tuple[int, int]] = []
     for p in pairs:
@@ -207,8 +215,7 @@ def _paragraph(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         yield begin, hi
 
 
-def _units(text: str, lo: int, hi: int, layout: str) -> Iterator[tuple[int, int]]:
-    """The parts of a text that sentences don't cross."""
+def _paragraphs(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     at = lo
     for m in _PARAGRAPH.finditer(text, lo, hi):
         yield at, m.start()
@@ -216,6 +223,39 @@ def _units(text: str, lo: int, hi: int, layout: str) -> Iterator[tuple[int, int]
     yield at, hi
 
 
+def _items(text: str, lo: int, hi: int, levels: list[int]) -> Iterator[tuple[int, int, bool]]:
+    """The list items, headings, quoted lines and plain parts of a paragraph, and whether each begins with a
+    list mark. ``levels`` holds the indents of the lists that are open, and is kept from paragraph to
+    paragraph."""
+    begin, marked, line = lo, False, lo
+    while line < hi:
+        end = text.find("\n", line, hi)
+        end = hi if end < 0 else end
+        m = _LINE.match(text, line, end)
+        blank, bullet, number, sign = m.groups()
+        # the first line comes without its indent
+        indent = len((text[text.rfind("\n", 0, lo) + 1 : lo] + blank if line == lo else blank).expandtabs(4))
+        while levels and levels[-1] > indent:
+            levels.pop()
+        sibling = bool(levels) and levels[-1] == indent
+        item = bool(bullet) or number is not None and (sibling or int(number) == 1 or line == lo)
+        if item or sign:
+            if line > begin:
+                yield begin, line, marked
+            begin, marked = line, item
+            if item and not sibling:
+                levels.append(indent)
+            if sign and sign[0] == "#":
+                levels.clear()
+                yield line, end, False
+                begin, marked = end, False
+        elif line == lo and indent <= (levels[-1] if levels else 0):
+            levels.clear()
+        line = end + 1
+    if begin < hi:
+        yield begin, hi, marked
+
+
 def sentences(text: str, layout: str = "prose") -> Iterator[tuple[int, int]]:
     """Code-point ranges of the sentences of ``text``."""
     lo, hi = _trimmed(text, 0, len(text))
@@ -234,18 +274,10 @@ def sentences(text: str, layout: str = "prose") -> Iterator[tuple[int, int]]:
         if fenced:
             yield a, b
             continue
-        for u, v in _units(text, a, b, layout):
-            if layout == "prose":
-                parts = [(u, v)]
-            else:
-                cuts = [u, *(m.end() for m in _ITEM.finditer(text, u, v)), v]
-                parts = []
-                for p, q in zip(cuts, cuts[1:]):
-                    line = text.find("\n", p, q)
-                    heading = text[p:q].lstrip().startswith("#")
-                    parts += [(p, line), (line, q)] if heading and line >= 0 else [(p, q)]
-            for p, q in parts:
-                head = _ITEM_HEAD.match(text, p, q) if layout != "prose" else None
+        levels: list[int] = []
+        for u, v in _paragraphs(text, a, b):
+            for p, q, marked in [(u, v, False)] if layout == "prose" else _items(text, u, v, levels):
+                head = _ITEM_HEAD.match(text, p, q) if marked else None
                 first = True
                 for x, y in _paragraph(text, head.end() if head else p, q):
                     x, y = _trimmed(text, p if first and head else x, y)
@@ -255,18 +287,22 @@ def sentences(text: str, layout: str = "prose") -> Iterator[tuple[int, int]]:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = pa.list_(pa.int32())
     for b in batches:
         ids, starts, ends = [], [], []
         for i, text, layout in zip(*(c.to_pylist() for c in b.columns)):
-            for x, y in sentences(text, (layout or "prose").strip().lower()):
-                ids.append(i)
-                starts.append(x)
-                ends.append(y)
-        yield batch(("doc_id", "start_pos", "end_pos"), (pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())))
+            spans = list(sentences(text, (layout or "prose").strip().lower()))
+            ids.append(i)
+            starts.append([x for x, _ in spans])
+            ends.append([y for _, y in spans])
+        yield batch(("doc_id", "starts", "ends"), (pa.array(ids, pa.int64()), pa.array(starts, places), pa.array(ends, places)))
 
 
 def split_sentences(df: DataFrame, id_col: str, text_col: str, layout_col: str) -> DataFrame:
     """``doc_id, start_pos, end_pos`` of every sentence: 0-based code points, the end exclusive."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(layout_col).alias("layout"))
-    found = docs.where("doc_id is not null and length(text) > 0").mapInArrow(_split, "doc_id long, start_pos int, end_pos int")
-    return found.distinct()
+    found = docs.where("doc_id is not null and length(text) > 0").mapInArrow(_split, "doc_id long, starts array<int>, ends array<int>")
+    # one row a document is moved; of several deliveries the one whose places sort last
+    once = found.groupBy("doc_id").agg(F.max(F.struct("starts", "ends")).alias("s"))
+    each = once.select("doc_id", F.explode(F.arrays_zip(F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"))).alias("p"))
+    return each.select("doc_id", F.col("p.starts").alias("start_pos"), F.col("p.ends").alias("end_pos"))

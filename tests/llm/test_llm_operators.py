@@ -3,6 +3,7 @@
 import ast
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -249,6 +250,16 @@ def test_braced_grammar():
     assert got == {("open", 2, 5, "function", "Opens the pool and keeps it."), ("close", 8, 8, "method", "Closes every open file of it.")}
 
 
+def test_braced_signatures_with_nested_parentheses():
+    code = """
+/** Opens the pool that holds every file handle of the process. */
+void g(int a = f(h(1)), char c = ')') {}
+// Reads the rows of one table in order of their keys.
+func (s *Store) Read(key func(int) (string, error)) (int, error) { if (x(y(1))) { z(); } }
+"""
+    assert [(f.name, f.kind) for f in functions_docs.scan_braced(code)] == [("g", "function"), ("Read", "function")]
+
+
 def test_documented_functions_table(spark):
     df = spark.createDataFrame([(1, "python", SOURCE, 5), (1, "python", SOURCE, 5), (2, None, None, 5), (3, None, "", 5), (None, "x", SOURCE, 5), (4, None, "x = 1\n" * 50_000, 5)], "file_id long, lang string, source string, start_line int")
     got = functions_docs.documented_functions(df, "file_id", "lang", "source")
@@ -567,6 +578,20 @@ def test_sentences_of_other_layouts():
     assert [text[a:b] for a, b in sentences.sentences(text, "markdown")] == ["# Title", "Text one.", "Text two.", "- item one", "- item 2.", "More", "```\na. B.\n```", "End."]
 
 
+def test_list_levels():
+    text = "- one. Two\n  1. inner. More\n  2. next\n- last\n\nplain text goes on\n12. Mai is no item. End"
+    assert [text[a:b] for a, b in sentences.sentences(text, "notes")] == ["- one.", "Two", "1. inner.", "More", "2. next", "- last", "plain text goes on\n12. Mai is no item.", "End"]
+
+
+def test_many_open_brackets_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert len(list(sentences.sentences("(" * n + "]" * n))) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * max(took[0], 0.02)
+
+
 def test_sentences_cover_the_text(spark):
     rng = random.Random(8)
     parts = ["One. ", "“Two! ", "(a ", ") ", "\n", "\n\n", "e.g. ", "3.5 ", "。", "ไทย ", "… ", '"', "x_y ", "- z "]
