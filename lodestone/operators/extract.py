@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +44,8 @@ class Symbol:
 
 @dataclass
 class Fact:
-    """``fact`` is symbol, import, star, ref, bind or attribute; see :class:`_Reader` for the other fields."""
+    """``fact`` is symbol, import, star, ref, base_text, bind or attribute; see :class:`_Reader` for the other
+    fields. ``at`` is the first line of the innermost symbol around it, 0 in none."""
 
     fact: str
     owner: str
@@ -50,6 +53,9 @@ class Fact:
     target: str | None
     detail: str | None
     line: int
+    place: int
+    at: int
+    chunk: str = ""
 
 
 def chain(node: ast.AST) -> str | None:
@@ -97,129 +103,183 @@ def annotated_class(node: ast.AST | None) -> str | None:
     return named if named and "()" not in named else None
 
 
+#: A scope: name, class or function, first line.
+Scope = tuple[str, str, int]
+
+
 class _Reader(ast.NodeVisitor):
     """Walks one tree. Facts by kind:
 
-    symbol: owner scope, name qualified, target kind. import: name bound in the file, target module, detail
-    the imported name or null. star: target module. ref: owner the innermost definition, name the chain,
-    target the use (call, callback, with, base), detail why it has no chain. bind: owner scope, name, target
-    the class it is bound to or null. attribute: owner class, name, target class or null.
+    symbol: owner scope, name qualified, target kind, place its first line. import: owner scope, name bound,
+    target module (null outside the repository), detail the imported name or null. star: target module. ref:
+    owner the innermost definition, decorators, defaults and bases being inside what they belong to, name
+    the chain, target the use (call, callback, with, async_with, base), detail why it has no chain. base_text:
+    a base or keyword of a class as written. bind: owner the function or module whose name it is, detail
+    what binds it (ctor, annotation, alias, other), target the chain. attribute: the same of ``self.name`` in
+    ``__init__``, owner the class.
     """
 
-    def __init__(self, lines: list[str], shift: int, scopes: list[tuple[str, str]], package: str):
+    def __init__(self, lines: list[str], shift: int, scopes: list[Scope], package: str):
         self.lines, self.shift, self.scopes, self.package = lines, shift, list(scopes), package
         self.symbols: list[Symbol] = []
         self.facts: list[Fact] = []
         self.imports: list[tuple[int, str, bool]] = []  # line, text, at module level
 
     def scope(self) -> str:
-        return ".".join(n for n, _ in self.scopes)
+        return ".".join(x[0] for x in self.scopes)
 
-    def fact(self, kind: str, name: str, target: str | None = None, detail: str | None = None, node: ast.AST | None = None, owner: str | None = None) -> None:
-        self.facts.append(Fact(kind, self.scope() if owner is None else owner, name, target, detail, getattr(node, "lineno", 0) + self.shift))
+    def fact(self, kind: str, name: str, target: str | None = None, detail: str | None = None, node: ast.AST | None = None, owner: str | None = None, place: int | None = None) -> None:
+        at = self.scopes[-1][2] if self.scopes else 0
+        column = getattr(node, "col_offset", 0) if place is None else place
+        self.facts.append(Fact(kind, self.scope() if owner is None else owner, name, target, detail, getattr(node, "lineno", 0) + self.shift, column, at))
 
     def text(self, node: ast.AST) -> str:
         return "\n".join(self.lines[node.lineno - 1 + self.shift : node.end_lineno + self.shift])
 
+    def symbol(self, s: Symbol, kind: str, node: ast.AST) -> None:
+        self.symbols.append(s)
+        self.fact("symbol", s.qualname, kind, node=node, place=s.start)
+
     def define(self, node, kind: str) -> None:
+        """The symbol, its scope and its decorators, which lie in it."""
         first = min([d.lineno for d in node.decorator_list] + [node.lineno])
-        parent = self.scope() or None
-        s = Symbol(node.name, kind, first + self.shift, node.end_lineno + self.shift, parent, ast.get_docstring(node), ["@" + ast.unparse(d) for d in node.decorator_list], isinstance(node, ast.AsyncFunctionDef))
-        self.symbols.append(s)
-        self.fact("symbol", s.qualname, kind, node=node)
+        decorators = ["@" + ast.unparse(d) for d in node.decorator_list]
+        s = Symbol(node.name, kind, first + self.shift, node.end_lineno + self.shift, self.scope() or None, ast.get_docstring(node), decorators, isinstance(node, ast.AsyncFunctionDef))
+        self.symbol(s, kind, node)
+        self.scopes.append((node.name, "class" if kind == "class" else "function", s.start))
         for d in node.decorator_list:
             self.visit(d)
 
     def visit_FunctionDef(self, node) -> None:
         self.define(node, "method" if self.scopes and self.scopes[-1][1] == "class" else "function")
-        a = node.args
-        for x in (*a.defaults, *(d for d in a.kw_defaults if d)):
-            self.visit(x)
-        self.scopes.append((node.name, "function"))
-        for p in (*a.posonlyargs, *a.args, *a.kwonlyargs):
-            self.fact("bind", p.arg, annotated_class(p.annotation), "parameter", p)
+        self.parameters(node.args)
         for s in node.body:
             self.visit(s)
         self.scopes.pop()
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
+    def parameters(self, a: ast.arguments) -> None:
+        for x in (*a.defaults, *(d for d in a.kw_defaults if d)):
+            self.visit(x)
+        for p in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))):
+            named = annotated_class(p.annotation)
+            self.bound(p.arg, "annotation" if named else "other", named, p)
+
+    def visit_Lambda(self, node) -> None:
+        self.parameters(node.args)
+        self.visit(node.body)
+
     def visit_ClassDef(self, node) -> None:
         self.define(node, "class")
-        own = f"{self.scope()}.{node.name}".lstrip(".")
         for b in node.bases:
-            self.use(b, "base", owner=own)
+            self.fact("base_text", ast.unparse(b), node=b)
+            if isinstance(b, (ast.Name, ast.Attribute)):
+                self.use(b, "base")
+            else:
+                self.visit(b)
         for k in node.keywords:
+            self.fact("base_text", f"{k.arg}={ast.unparse(k.value)}", node=k)
             self.visit(k.value)
-        self.scopes.append((node.name, "class"))
         for s in node.body:
             self.visit(s)
         self.scopes.pop()
 
-    def use(self, node: ast.AST, how: str, owner: str | None = None) -> None:
+    def use(self, node: ast.AST, how: str) -> None:
         named = chain(node)
-        self.fact("ref", named or "", how, None if named else shape(node), node, owner)
+        self.fact("ref", named or "", how, None if named else shape(node), node)
 
     def visit_Call(self, node) -> None:
         self.use(node.func, "call")
         for a in (*node.args, *(k.value for k in node.keywords)):
-            if isinstance(a, (ast.Name, ast.Attribute)):
+            if isinstance(a, (ast.Name, ast.Attribute)) and chain(a):
                 self.use(a, "callback")
         self.generic_visit(node)
 
-    def visit_With(self, node) -> None:
+    def _with(self, node, how: str) -> None:
         for item in node.items:
-            value = item.context_expr.func if isinstance(item.context_expr, ast.Call) else item.context_expr
-            self.use(value, "with")
+            made = item.context_expr if isinstance(item.context_expr, ast.Call) else None
+            if made is not None:
+                self.use(made.func, how)
+            if item.optional_vars is not None:
+                single = isinstance(item.optional_vars, ast.Name)
+                self.bind(item.optional_vars, "ctor" if made is not None and single else "other", chain(made.func) if made is not None and single else None)
         self.generic_visit(node)
 
-    visit_AsyncWith = visit_With
+    def visit_With(self, node) -> None:
+        self._with(node, "with")
+
+    def visit_AsyncWith(self, node) -> None:
+        self._with(node, "async_with")
+
+    def bound(self, name: str, how: str, named: str | None, node: ast.AST) -> None:
+        # names of a class body aren't seen by its methods
+        if not self.scopes or self.scopes[-1][1] == "function":
+            self.fact("bind", name, named, how, node)
 
-    def bind(self, target: ast.AST, kind: str | None, how: str) -> None:
+    def bind(self, target: ast.AST, how: str, named: str | None) -> None:
         if isinstance(target, ast.Name):
-            self.fact("bind", target.id, kind, how, target)
+            self.bound(target.id, how, named, target)
         elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self" and len(self.scopes) > 1 and self.scopes[-2][1] == "class" and self.scopes[-1][0] == "__init__":
-            self.fact("attribute", target.attr, kind, how, target, ".".join(n for n, _ in self.scopes[:-1]))
+            self.fact("attribute", target.attr, named, how, target, ".".join(x[0] for x in self.scopes[:-1]))
         elif isinstance(target, (ast.Tuple, ast.List)):
             for t in target.elts:
-                self.bind(t, None, how)
+                self.bind(t, "other", None)
+        elif isinstance(target, ast.Starred):
+            self.bind(target.value, "other", None)
 
     def visit_Assign(self, node) -> None:
-        made = chain(node.value.func) if isinstance(node.value, ast.Call) else None
-        for t in node.targets:
-            self.bind(t, made, "value")
         at_top = not self.scopes or self.scopes[-1][1] == "class"
         if at_top and isinstance(node.value, ast.Lambda) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
             s = Symbol(node.targets[0].id, "lambda", node.lineno + self.shift, node.end_lineno + self.shift, self.scope() or None)
-            self.symbols.append(s)
-            self.fact("symbol", s.qualname, "lambda", node=node)
+            self.symbol(s, "lambda", node)
+            self.scopes.append((s.name, "function", s.start))
+            self.visit(node.value)
+            self.scopes.pop()
+            return
+        value = node.value
+        how = "ctor" if isinstance(value, ast.Call) else "alias" if isinstance(value, (ast.Name, ast.Attribute)) else "other"
+        named = chain(value.func if how == "ctor" else value) if how != "other" else None
+        for t in node.targets:
+            self.bind(t, how if named else "other", named)
         self.generic_visit(node)
 
     def visit_AnnAssign(self, node) -> None:
-        self.bind(node.target, annotated_class(node.annotation), "annotation")
+        named = annotated_class(node.annotation)
+        self.bind(node.target, "annotation" if named else "other", named)
+        self.generic_visit(node)
+
+    def visit_AugAssign(self, node) -> None:
+        self.bind(node.target, "other", None)
         self.generic_visit(node)
 
     def visit_For(self, node) -> None:
-        self.bind(node.target, None, "value")
+        self.bind(node.target, "other", None)
         self.generic_visit(node)
 
+    visit_AsyncFor = visit_comprehension = visit_For
+
     def visit_Import(self, node) -> None:
         self.imports.append((node.lineno + self.shift, " ".join(self.text(node).split()), not self.scopes))
+        if self.scopes and self.scopes[-1][1] == "class":
+            return
         for a in node.names:
             self.fact("import", a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], None, node)
 
     def visit_ImportFrom(self, node) -> None:
         self.imports.append((node.lineno + self.shift, " ".join(self.text(node).split()), not self.scopes))
-        module = node.module or ""
+        if self.scopes and self.scopes[-1][1] == "class":
+            return
+        module: str | None = node.module or ""
         if node.level:
             parts = [p for p in self.package.split(".") if p]
             kept = len(parts) - (node.level - 1)
-            module = "" if kept < 0 else ".".join([*parts[:kept], *([module] if module else [])])
-        for a in node.names:
+            module = None if kept < 0 else ".".join([*parts[:kept], *([module] if module else [])])
+        for i, a in enumerate(node.names):
             if a.name == "*":
                 self.fact("star", "*", module, None, node)
             else:
-                self.fact("import", a.asname or a.name, module, a.name, node)
+                self.fact("import", a.asname or a.name, module, a.name, node, place=i)
 
 
 def _plain(node: ast.stmt) -> bool:
@@ -265,51 +325,55 @@ def _parts(lines: list[str]) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def _read(lines: list[str], all_lines: list[str], shift: int, scopes: list[tuple[str, str]], package: str, out: list[_Reader], modules: list, deep: int = 0) -> None:
+def _read(lines: list[str], package: str) -> tuple[list[_Reader], list]:
+    """The readers of all parts that parse, and the module's own ranges."""
+    out: list[_Reader] = []
+    modules: list = []
+
     def parse(part: list[str]) -> ast.Module | None:
         try:
             return ast.parse("\n".join(part))
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return None
 
-    def take(tree: ast.Module, at: int) -> None:
-        reader = _Reader(all_lines, at, scopes, package)
-        try:
-            reader.visit(tree)
-        except RecursionError:
-            return
+    def take(tree: ast.Module, at: int, scopes: list[Scope]) -> None:
+        reader = _Reader(lines, at, scopes, package)
+        reader.visit(tree)
         out.append(reader)
         if not scopes:
-            modules.append(_module_ranges(tree, all_lines, at))
-
-    tree = parse(lines)
-    if tree is not None:
-        take(tree, shift)
-        return
-    for a, b in _parts(lines):
-        part = lines[a:b]
-        tree = parse(part)
+            modules.append(_module_ranges(tree, lines, at))
+
+    open_: list[tuple[list[str], int, list[Scope]]] = [(lines, 0, [])]
+    while open_:
+        here, shift, scopes = open_.pop()
+        tree = parse(here)
         if tree is not None:
-            take(tree, shift + a)
-            continue
-        head = next((i for i, x in enumerate(part) if _DEFINITION.match(x)), None)
-        if head is None or deep > 20:
+            take(tree, shift, scopes)
             continue
-        name = _DEFINITION.match(part[head]).group(1)
-        is_class = part[head].startswith("class")
-        while part and not part[-1].strip():
-            part = part[:-1]
-        kind = "class" if is_class else "method" if scopes and scopes[-1][1] == "class" else "function"
-        reader = _Reader(all_lines, shift + a, scopes, package)
-        parent = ".".join(n for n, _ in scopes) or None
-        reader.symbols.append(Symbol(name, kind, shift + a + 1, shift + a + len(part), parent, None, [x.strip() for x in part[:head]], part[head].startswith("async")))
-        reader.fact("symbol", reader.symbols[-1].qualname, kind)
-        out.append(reader)
-        body = part[head + 1 :]
-        indent = next((len(x) - len(x.lstrip()) for x in body if x.strip()), 0)
-        if indent:
-            inner = [x[indent:] if not x[:indent].strip() else x.lstrip() for x in body]
-            _read(inner, all_lines, shift + a + head + 1, [*scopes, (name, "class" if is_class else "function")], package, out, modules, deep + 1)
+        for a, b in _parts(here):
+            part = here[a:b]
+            tree = parse(part)
+            if tree is not None:
+                take(tree, shift + a, scopes)
+                continue
+            head = next((i for i, x in enumerate(part) if _DEFINITION.match(x)), None)
+            if head is None:
+                continue
+            name = _DEFINITION.match(part[head]).group(1)
+            is_class = part[head].startswith("class")
+            while part and not part[-1].strip():
+                part = part[:-1]
+            kind = "class" if is_class else "method" if scopes and scopes[-1][1] == "class" else "function"
+            reader = _Reader(lines, shift + a, scopes, package)
+            s = Symbol(name, kind, shift + a + 1, shift + a + len(part), ".".join(x[0] for x in scopes) or None, None, [x.strip() for x in part[:head]], part[head].startswith("async"))
+            reader.symbol(s, kind, ast.Pass(lineno=1, col_offset=0))
+            out.append(reader)
+            body = part[head + 1 :]
+            indent = next((len(x) - len(x.lstrip()) for x in body if x.strip()), 0)
+            if indent:
+                inner = [x[indent:] if not x[:indent].strip() else x.lstrip() for x in body]
+                open_.append((inner, shift + a + head + 1, [*scopes, (name, "class" if is_class else "function", s.start)]))
+    return out, modules
 
 
 def module_of(path: str) -> str:
@@ -327,9 +391,13 @@ def read_file(path: str, source: str | None) -> tuple[list[Symbol], list[Fact]]:
     lines = text.split("\n")
     module = module_of(path)
     package = module if path.endswith("__init__.py") else module.rpartition(".")[0]
-    readers: list[_Reader] = []
-    modules: list[tuple[list[tuple[int, int]], str | None]] = []
-    _read(lines, lines, 0, [], package, readers, modules)
+    # long sums and chains are deep trees; the interpreter's own frames don't use the machine's stack
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1_000_000))
+    try:
+        readers, modules = _read(lines, package)
+    finally:
+        sys.setrecursionlimit(limit)
     symbols = [s for r in readers for s in r.symbols]
     facts = [f for r in readers for f in r.facts]
     imports = sorted(i for r in readers for i in r.imports)
@@ -341,8 +409,17 @@ def read_file(path: str, source: str | None) -> tuple[list[Symbol], list[Fact]]:
     if spans:
         doc = modules[0][1]
         symbols.append(Symbol("<module>", "module", spans[0][0], spans[-1][1], None, doc, imports=list(dict.fromkeys(top)), spans=spans if len(spans) > 1 else []))
-        facts.append(Fact("symbol", "", "<module>", "module", None, spans[0][0]))
-    return sorted(symbols, key=lambda s: (s.start, -s.end)), facts
+        facts.append(Fact("symbol", "", "<module>", "module", None, spans[0][0], spans[0][0], 0))
+    symbols.sort(key=lambda s: (s.start, -s.end))
+    # each symbol by its qualified name, further ones of a name numbered
+    seen: Counter[str] = Counter()
+    label: dict[tuple[str, int], str] = {}
+    for s in symbols:
+        seen[s.qualname] += 1
+        label[s.qualname, s.start] = s.qualname if seen[s.qualname] == 1 else f"{s.qualname}~{seen[s.qualname]}"
+    for f in facts:
+        f.chunk = label.get((f.name, f.place), "") if f.fact == "symbol" else label.get((f.owner, f.at), "") if f.at else "<module>" if spans else ""
+    return symbols, [f for f in facts if f.chunk or f.fact != "ref"]
 
 
 def source_of(s: Symbol, lines: list[str]) -> str:
@@ -373,14 +450,14 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(_SYMBOLS, rows)
 
 
-_FACTS = tuple((n, pa.string()) for n in ("corpus", "path", "module", "fact", "owner", "name", "target", "detail")) + (("line", pa.int32()),)
+_FACTS = tuple((n, pa.string()) for n in ("corpus", "path", "module", "fact", "owner", "chunk", "name", "target", "detail")) + (("line", pa.int32()), ("place", pa.int32()))
 
 
 def _fact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for corpus, path, source in zip(*(c.to_pylist() for c in b.columns)):
-            rows.extend((corpus, path, module_of(path), f.fact, f.owner, f.name, f.target, f.detail, f.line) for f in read_file(path, source)[1])
+            rows.extend((corpus, path, module_of(path), f.fact, f.owner, f.chunk, f.name, f.target, f.detail, f.line, f.place) for f in read_file(path, source)[1])
         yield _emit(_FACTS, rows)
 
 
@@ -398,4 +475,4 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def facts(files: DataFrame) -> DataFrame:
     """One row per definition, import, reference and binding of ``files``."""
-    return _files(files).mapInArrow(_fact_rows, "corpus string, path string, module string, fact string, owner string, name string, target string, detail string, line int")
+    return _files(files).mapInArrow(_fact_rows, "corpus string, path string, module string, fact string, owner string, chunk string, name string, target string, detail string, line int, place int")
