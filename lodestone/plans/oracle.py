@@ -352,17 +352,36 @@ _NEAR = " OR ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')" f
 SQL["classify_answers"] = f"WITH {_A} SELECT answer_id, {_STATUS} AS status, coalesce({_NEAR}, false) AS near_miss FROM a"
 
 _ENTRY = r"^[ \t]*(?:[-*•]|\d+[.)])?[ \t]*\[\s*C(\d+)(?:\s*[,;]\s*C\d+)*\s*\][ \t]*[:–—-]?[ \t]*(.*?)[ \t]*$"
-_SECTION = r"regexp_extract(coalesce(raw_text, text), '(?si)^[ \t*#_]*evidence[ \t*_]*:?[*_ \t]*\n(.*?)(?:\n[ \t*#_]*answer[ \t*_]*:|\z)', 1)"
-_VERIFIED = rf"""
-es AS (SELECT answer_id, question_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS place FROM (SELECT answer_id, question_id, string_split({_SECTION}, chr(10)) AS ls FROM a WHERE {_SECTION} <> '')),
-e1 AS (SELECT answer_id, question_id, place, 'C' || regexp_extract(line, '{_ENTRY}', 1) AS tag, trim(regexp_extract(line, '{_ENTRY}', 2)) AS quote FROM es WHERE regexp_matches(line, '{_ENTRY}')),
-e2 AS (SELECT * REPLACE (CASE WHEN length(quote) >= 2 AND regexp_matches(quote, '^(?:`.*`|".*"|''.*''|“.*”)$') THEN trim(substr(quote, 2, length(quote) - 2)) ELSE quote END AS quote) FROM e1),
-eq AS (SELECT *, regexp_replace(trim(regexp_replace(quote, '[\s\x0b]+', ' ', 'g')), '\s*…$', '') AS plain FROM e2 WHERE quote <> ''),
+
+
+def _heading(word: str) -> str:
+    return r"^[ \t]*(?:#{1,6}[ \t]*)?(?:\*\*|__)?" + word + r"(?:\*\*|__)?[ \t]*(?::(?:\*\*|__)?|\n|\z)[ \t]*"
+
+
+_ANSWER, _EVIDENCE = _heading("answer"), _heading("evidence")
+_PARSED = rf"""
+rp AS (SELECT answer_id, question_id, coalesce(raw_text, text) AS reply FROM a),
+bf AS (
+  SELECT *, regexp_matches(reply, '(?ims)\A.*?{_ANSWER}') AS has_answer,
+    CASE WHEN regexp_matches(reply, '(?ims)\A.*?{_ANSWER}') THEN regexp_extract(reply, '(?ims)\A(.*?){_ANSWER}', 1) ELSE reply END AS before FROM rp),
+pa AS (
+  SELECT *, regexp_matches(before, '(?ims)\A.*?{_EVIDENCE}') AS has_evidence, regexp_extract(before, '(?ims)\A.*?{_EVIDENCE}(.*)\z', 1) AS evidence,
+    regexp_replace(regexp_extract(reply, '(?ims)\A.*?{_ANSWER}(.*)\z', 1), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS answer FROM bf)"""
+_VERIFIED = _PARSED + rf""",
+es AS (SELECT answer_id, question_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT answer_id, question_id, string_split(evidence, chr(10)) AS ls FROM pa WHERE has_evidence)),
+e0 AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY i) - 1 AS place, regexp_matches(line, '{_ENTRY}') AS is_entry FROM es WHERE trim(line) <> '' AND NOT starts_with(trim(line), '```')),
+e1 AS (
+  SELECT answer_id, question_id, place, is_entry, trim(line) AS line, CASE WHEN is_entry THEN 'C' || regexp_replace(regexp_extract(line, '{_ENTRY}', 1), '^0+(\d)', '\1') END AS tag,
+    CASE WHEN is_entry THEN trim(regexp_extract(line, '{_ENTRY}', 2)) END AS quote FROM e0),
+e2 AS (SELECT *, lag(CASE WHEN quote = '' THEN tag END) OVER (PARTITION BY answer_id ORDER BY place) AS waiting FROM e1),
+e3 AS (SELECT answer_id, question_id, place, coalesce(tag, waiting) AS tag, CASE WHEN is_entry THEN quote ELSE line END AS quote FROM e2 WHERE is_entry OR waiting IS NOT NULL),
+e4 AS (SELECT * REPLACE (trim(CASE WHEN length(quote) >= 2 AND regexp_matches(quote, '^(?:`.*`|".*"|''.*''|“.*”)$') THEN substr(quote, 2, length(quote) - 2) ELSE quote END) AS quote) FROM e3),
+eq AS (SELECT *, regexp_replace(trim(regexp_replace(quote, '[\s\x0b]+', ' ', 'g')), '\s*…$', '') AS plain FROM e4 WHERE quote <> ''),
 sh AS (SELECT question_id, hit_rank, 'C' || hit_rank AS shown_tag, min(chunk_no) AS chunk_no FROM h GROUP BY question_id, hit_rank),
 nn AS (SELECT chunk_no, {_NUMBERS} AS nums, string_split(source, chr(10)) AS ls FROM c),
 li AS (SELECT chunk_no, i, nums[i + 1] AS line, regexp_replace(trim(regexp_replace(txt, '[\s\x0b]+', ' ', 'g')), '\s*…$', '') AS shown FROM (SELECT chunk_no, nums, unnest(ls) AS txt, generate_subscripts(ls, 1) - 1 AS i FROM nn)),
 mt AS (
-  SELECT answer_id, place, tag, shown_tag, hit_rank, i, line FROM eq JOIN sh USING (question_id) JOIN li ON li.chunk_no = sh.chunk_no WHERE contains(shown, plain)),
+  SELECT answer_id, place, tag, shown_tag, hit_rank, i, line FROM eq JOIN sh USING (question_id) JOIN li ON li.chunk_no = sh.chunk_no WHERE length(plain) > 0 AND contains(shown, plain)),
 bt AS (
   SELECT answer_id, place, arg_min(line, i) FILTER (WHERE tag = shown_tag) AS own, min(i) FILTER (WHERE tag = shown_tag) AS own_i, arg_min(shown_tag, hit_rank) FILTER (WHERE tag <> shown_tag) AS other FROM mt GROUP BY ALL),
 vr AS (
@@ -376,3 +395,23 @@ d AS (SELECT answer_id, {_STATUS} AS told, list_filter({_TAGS}, lambda t: true)
 SELECT g.answer_id, CASE WHEN told = 'abstained' THEN 'abstained' WHEN ok = 0 THEN 'unverified'
   WHEN ok = quotes AND len(list_filter(coalesce(cited, []), lambda t: NOT list_contains(coalesce(sup, []), t))) = 0 THEN 'verified' ELSE 'partial' END AS status, quotes, ok AS verified_quotes
 FROM g JOIN d USING (answer_id)"""
+SQL["evidence_entries"] = f"WITH {_A}, {_H}, {_C}, {_VERIFIED} SELECT answer_id, place::INTEGER AS place, tag, quote FROM eq"
+SQL["evidence_enforced"] = f"""
+WITH {_A}, {_H}, {_C}, {_VERIFIED}, g AS (SELECT answer_id, count(*) AS quotes, count(*) FILTER (WHERE result = 'verified') AS ok, list(DISTINCT tag) FILTER (WHERE result = 'verified') AS good FROM vr GROUP BY 1),
+sa AS (SELECT answer_id, question_id, CASE WHEN has_answer THEN answer ELSE '' END AS said, reply FROM pa WHERE has_evidence),
+w AS (SELECT answer_id, {_STATUS} AS whole, {_TAGS} AS all_tags FROM (SELECT answer_id, reply AS text FROM sa)),
+o AS (SELECT answer_id, {_STATUS} AS part, coalesce({_TAGS}, []) AS own FROM (SELECT answer_id, said AS text FROM sa)),
+k AS (SELECT question_id, list(DISTINCT shown_tag) AS tags FROM sh GROUP BY 1),
+u AS (
+  SELECT answer_id, CASE WHEN whole = 'abstained' THEN 'abstained' ELSE part END AS told, trim(said) = '' AS is_blank, coalesce(ok, 0) AS ok, coalesce(quotes, 0) AS quotes, coalesce(good, []) AS good, coalesce(tags, []) AS tags, own, all_tags
+  FROM sa JOIN w USING (answer_id) JOIN o USING (answer_id) LEFT JOIN g USING (answer_id) LEFT JOIN k ON k.question_id = sa.question_id),
+v AS (
+  SELECT *, list_distinct(list_filter(own, lambda t: NOT list_contains(good, t))) AS unsupported FROM u),
+x AS (
+  SELECT *, CASE WHEN told = 'abstained' THEN 'abstained' WHEN is_blank OR ok = 0 THEN 'unverified' WHEN ok = quotes AND len(unsupported) = 0 THEN 'verified' ELSE 'partial' END AS verification FROM v),
+ci AS (
+  SELECT answer_id, string_agg(t, ',' ORDER BY i) AS citations FROM (
+    SELECT answer_id, t, min(i) AS i FROM (SELECT answer_id, unnest(all_tags) AS t, generate_subscripts(all_tags, 1) AS i, tags, good, own FROM x WHERE verification IN ('verified', 'partial'))
+    WHERE list_contains(tags, t) AND (list_contains(good, t) OR list_contains(own, t)) GROUP BY 1, 2) GROUP BY 1)
+SELECT x.answer_id, CASE WHEN verification = 'unverified' THEN 'abstained' ELSE told END AS status, verification, coalesce(citations, '') AS citations, len(unsupported)::INTEGER AS n_unsupported
+FROM x LEFT JOIN ci USING (answer_id)"""

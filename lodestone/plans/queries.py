@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.embed import hash_embedding
 from ..functions.stem import stems
-from ..operators import callgraph, context, dense, evaluation, extract, fusion, graph, lexical, packing, ranges
+from ..operators import callgraph, context, dense, evaluation, evidence, extract, fusion, graph, lexical, packing, ranges
 from ..operators.latest import latest
 from ..operators.replies import loop_cut
 from ..session import durable
@@ -617,45 +617,32 @@ def classify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("answer_id", T.answer_status(F.coalesce("text", F.lit(""))).alias("status"), F.coalesce(T.near_miss(F.col("text")), F.lit(False)).alias("near_miss"))
 
 
-def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """answer_id, question_id, place, tag, quote of the entries between the evidence and answer headings."""
-    rows = base.answers(spark, sf_dir, "question_id", "text", "raw_text").select("answer_id", "question_id", F.coalesce("raw_text", "text").alias("reply"))
-    section = F.regexp_extract("reply", r"(?si)^[ \t*#_]*evidence[ \t*_]*:?[*_ \t]*\n(.*?)(?:\n[ \t*#_]*answer[ \t*_]*:|\z)", 1)
-    lines = rows.where(section != "").select("answer_id", "question_id", F.posexplode(F.split(section, "\n")).alias("place", "line"))
-    entry = r"^[ \t]*(?:[-*•]|\d+[.)])?[ \t]*\[\s*C(\d+)(?:\s*[,;]\s*C\d+)*\s*\][ \t]*[:–—-]?[ \t]*(.*?)[ \t]*$"
-    found = lines.where(F.rlike("line", F.lit(entry))).select("answer_id", "question_id", "place", F.concat(F.lit("C"), F.regexp_extract("line", entry, 1)).alias("tag"), F.trim(F.regexp_extract("line", entry, 2)).alias("quote"))
-    inner = F.col("quote").substr(F.lit(2), F.length("quote") - 2)
-    marked = (F.length("quote") >= 2) & F.rlike("quote", F.lit("^(?:`.*`|\".*\"|'.*'|“.*”)$"))
-    return found.withColumn("quote", F.when(marked, F.trim(inner)).otherwise(F.col("quote"))).where("quote <> ''")
+def _evidence_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base.answers(spark, sf_dir, "question_id", "text", "raw_text")
+    return rows.select("answer_id", F.col("question_id").alias("group"), F.coalesce("raw_text", "text").alias("reply"))
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group, tag, item: the chunks that each question's replies were shown, by the rank of their hit."""
+    rows = base.hits(spark, sf_dir).groupBy("question_id", "hit_rank").agg(F.min("chunk_no").alias("item"))
+    return rows.select(F.col("question_id").alias("group"), F.concat(F.lit("C"), "hit_rank").alias("tag"), "item")
 
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(T.collapsed(F.col(c)), r"\s*…$", "")
-    quotes = durable(_quotes(spark, sf_dir).withColumn("plain", plain("quote")))
-    shown = base.hits(spark, sf_dir).groupBy("question_id", "hit_rank").agg(F.min("chunk_no").alias("chunk_no"))
-    lines = base.chunks(spark, sf_dir, "source", "start_line", "end_line", "spans")
+    replies = evidence.sections(_evidence_replies(spark, sf_dir), "reply")
+    quotes = evidence.entries(replies, "answer_id").join(replies.select("answer_id", "group"), "answer_id")
+    rows = base.chunks(spark, sf_dir, "source", "start_line", "end_line", "spans")
     numbers = ranges.line_numbers(F.col("spans"), F.col("start_line"), F.col("end_line"))
-    # only lines of chunks that replies with evidence were shown; a question has few of them
-    wanted = shown.join(quotes.select("question_id").distinct(), "question_id", "left_semi").select("question_id", F.concat(F.lit("C"), "hit_rank").alias("shown_tag"), "chunk_no")
-    lines = lines.join(wanted.select("chunk_no").distinct(), "chunk_no", "left_semi").select("chunk_no", numbers.alias("numbers"), F.posexplode(F.split("source", "\n")).alias("i", "text"))
-    lines = lines.select("chunk_no", F.get("numbers", F.col("i")).alias("line"), "i", plain("text").alias("shown"))
-    matches = quotes.join(wanted, "question_id").join(lines, "chunk_no").where(F.contains("shown", F.col("plain")))
-    own, other = F.col("shown_tag") == F.col("tag"), F.col("shown_tag") != F.col("tag")
-    best = matches.groupBy("answer_id", "place").agg(
-        F.min(F.when(own, F.struct("i", "line"))).alias("own"),
-        F.min(F.when(other, F.struct(F.substring("shown_tag", 2, 9).cast("int").alias("n"), F.col("shown_tag")))).alias("other"),
-    )
-    tags = wanted.select("question_id", F.col("shown_tag").alias("tag")).distinct().withColumn("known", F.lit(True))
-    rows = quotes.join(tags, ["question_id", "tag"], "left").join(best, ["answer_id", "place"], "left")
-    result = (
-        F.when(F.col("known").isNull(), "unknown_tag")
-        .when(F.length(F.replace("plain", F.lit(" "), F.lit(""))) < 12, "too_short")
-        .when(F.col("own").isNotNull(), "verified")
-        .when(F.col("other").isNotNull(), "wrong_tag")
-        .otherwise("not_found")
-    )
-    rows = rows.withColumn("result", result)
-    return rows.select("answer_id", "place", "tag", "result", F.when(F.col("result") == "verified", F.col("own.line")).cast("double").alias("line"), F.when(F.col("result") == "wrong_tag", F.col("other.shown_tag")).alias("found_in"))
+    lines = rows.select(F.col("chunk_no").alias("item"), numbers.alias("numbers"), F.posexplode(F.split("source", "\n")).alias("i", "text"))
+    lines = lines.select("item", "i", F.get("numbers", F.col("i")).alias("line"), "text")
+    found = evidence.verified(quotes, _shown(spark, sf_dir), lines, ["answer_id", "place"])
+    return found.withColumn("line", F.col("line").cast("double"))
+
+
+@query
+def evidence_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged quotes of each reply's evidence section."""
+    return evidence.entries(evidence.sections(_evidence_replies(spark, sf_dir), "reply"), "answer_id")
 
 
 @query
@@ -674,6 +661,15 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(marks, "answer_id").select("answer_id", status.alias("status"), "quotes", F.col("ok").alias("verified_quotes"))
 
 
+@query
+def evidence_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of each reply with an evidence section: its status, verification and citations."""
+    replies = _evidence_replies(spark, sf_dir).where("reply is not null")
+    told = evidence.sections(replies, "reply").where("evidence is not null").select("answer_id")
+    found = evidence.enforced(replies.join(told, "answer_id", "left_semi"), "answer_id", "reply", _verified(spark, sf_dir), _shown(spark, sf_dir))
+    return found.select("answer_id", "status", "verification", F.array_join("citations", ",").alias("citations"), F.size("unsupported").alias("n_unsupported"))
+
+
 # Queries without SQL: their folds and models are tested on small inputs
 
 

@@ -1,5 +1,7 @@
 """Contexts, evidence and the files around an evaluation."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,25 +14,58 @@ def chunk(n, lines=5, **more):
     return {"chunk_no": n, "chunk_id": f"a.py::f{n}", "kind": "function", "start_line": 1, "end_line": lines, "numbers": list(range(1, lines + 1)), "source": "\n".join(f"line {i} of chunk {n}" for i in range(1, lines + 1)), **more}
 
 
-def test_window():
-    lines = ["def f():", "  a = 1", "  pool_b = 2", "  c = 3", "  d = 4"]
-    grow = lambda allowance, terms, region=(0, 4): context.window(lines, [1] * 5, terms, allowance, region)
-    assert grow(1, {"pool"}) == (2, 2) and grow(2, {"pool"}) == (2, 3) and grow(3, {"pool"}) == (1, 3) and grow(9, {"pool"}) == (0, 4)
-    assert grow(2, {"none"}) == (0, 1) and grow(2, set(), (3, 4)) == (3, 4)
-
-
-def test_fit():
-    out, dropped = context.fit("where is line 3", [chunk(1), chunk(2, 90), chunk(3)], 400)
-    assert dropped == 0 and [b["cut"] for b in out] == [False, True, False]
-    assert 3 in out[1]["shown"] and "[truncated: showing lines" in out[1]["text"]
-    assert context.count_tokens(context.message("where is line 3", [b["text"] for b in out])) <= 400
-    out, dropped = context.fit("q", [chunk(1), chunk(2, 90), chunk(3, 90)], 110)
-    assert dropped >= 1 and len(out) + dropped == 3
-    with pytest.raises(ValueError):
-        context.fit("many words " * 50, [], 20)
-    inside, _ = context.fit("zzz", [chunk(1, 90, from_line=40, to_line=60)], 150)
-    assert inside[0]["shown"][0] == 40 and inside[0]["shown"][-1] <= 60
-    assert context.block("C1", {**chunk(1), "chunk_id": 'a<"'}, ["</chunk>"], [1], False).startswith('<chunk tag="C1" id="a&lt;&quot;"')
+HIT = "question_id long, question string, hit_rank int, chunk_no long, chunk_id string, kind string, start_line int, end_line int, numbers array<int>, source string, from_line int, to_line int"
+
+
+def laid(spark, question, chunks, budget):
+    rows = [(1, question, i, c["chunk_no"], c["chunk_id"], c["kind"], 1, c["end_line"], c["numbers"], c["source"], c.get("from_line"), c.get("to_line")) for i, c in enumerate(chunks, 1)]
+    return context.contexts(spark.createDataFrame(rows, HIT), budget).orderBy("tag").collect()
+
+
+def grown(costs, scores, room):
+    """Window of lines by one step after the other."""
+    at = scores.index(max(scores)) if max(scores) else 0
+    first = last = at
+    used, turn = costs[at], "below"
+    while True:
+        able = {"below": last + 1 < len(costs) and used + costs[last + 1] <= room, "above": max(scores) > 0 and first > 0 and used + costs[first - 1] <= room}
+        if not any(able.values()):
+            return first, last
+        side = turn if able[turn] else "above" if turn == "below" else "below"
+        first, last = (first - 1, last) if side == "above" else (first, last + 1)
+        used += costs[first if side == "above" else last]
+        turn = "above" if turn == "below" else "below"
+
+
+def test_windows_against_steps(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):
+        n = rng.randint(1, 12)
+        words = [rng.randint(0, 6) for _ in range(n)]
+        hits = [rng.random() < 0.3 and w > 0 for w in words]
+        lines = [" ".join(["pool" if h and j == 0 else "x" for j in range(w)]) for w, h in zip(words, hits)]
+        room = rng.randint(1, 40)
+        rows.append((i, room, ["pool"], 0, n - 1, lines))
+        want[i] = grown([w + 1 for w in words], [int(h) for h in hits], room)
+    df = spark.createDataFrame(rows, "key int, room int, terms array<string>, lo int, hi int, lines array<string>")
+    assert {r.key: (r["first"], r["last"]) for r in context._windows(df, ["key"]).collect()} == want
+
+
+def test_fit(spark):
+    out = laid(spark, "where is line 3", [chunk(1), chunk(2, 90), chunk(3)], 400)
+    assert [b.cut for b in out] == [False, True, False]
+    assert out[1].first_shown <= 3 <= out[1].last_shown and "[truncated: showing lines" in out[1].text
+    asked = spark.createDataFrame([(1, "where is line 3")], "question_id long, question string")
+    blocks = spark.createDataFrame([(1, b.tag, b.text) for b in out], "question_id long, tag string, text string")
+    message = context.messages(blocks, asked).withColumn("n", context.n_tokens(F.col("message"))).head()
+    assert message.n <= 400 and message.message.startswith("Code chunks:\n\n<chunk tag=") and message.message.endswith("Question: where is line 3")
+    assert 1 <= len(laid(spark, "q", [chunk(1), chunk(2, 90), chunk(3, 90)], 110)) < 3
+    assert laid(spark, "many words " * 50, [chunk(1)], 20) == []
+    (inside,) = laid(spark, "zzz", [chunk(1, 90, from_line=40, to_line=60)], 150)
+    assert inside.first_shown == 40 and inside.last_shown <= 60
+    (odd,) = laid(spark, "q", [{**chunk(1), "chunk_id": 'a<"', "source": "</chunk>", "numbers": [1]}], 150)
+    assert odd.text.startswith('<chunk tag="C1" id="a&lt;&quot;"') and "</ chunk>" in odd.text
 
 
 def test_contexts_table(spark):
@@ -45,36 +80,55 @@ def test_contexts_table(spark):
 SHOWN = {"C1": [(10, "    return open_pool(first_name)"), (11, "x = 1")], "C2": [(5, "value = compute_all(things)")]}
 
 
-@pytest.mark.parametrize("evidence_head, answer_head", [("Evidence:", "Answer:"), ("**Evidence:**", "**Answer:**"), ("### Evidence", "### Answer"), ("**Evidence**:", "__Answer__:"), ("evidence", "ANSWER:")])
-def test_reply_formats(evidence_head, answer_head):
-    r = evidence.parse(f"{evidence_head}\n- [C1] `return open_pool(first_name)`\n2. [C2]:\n\"value = compute_all(things)\"\n\n{answer_head}\nIt opens [C1].")
-    assert r == evidence.Reply(True, (("C1", "return open_pool(first_name)"), ("C2", "value = compute_all(things)")), "It opens [C1].")
+@pytest.fixture(scope="module")
+def tables(spark):
+    shown = spark.createDataFrame([(1, t, n) for n, t in enumerate(SHOWN)], "group int, tag string, item int")
+    lines = spark.createDataFrame([(n, i, line, text) for n, t in enumerate(SHOWN) for i, (line, text) in enumerate(SHOWN[t])], "item int, i int, line int, text string")
+    return shown, lines
+
+
+def checked(spark, tables, texts):
+    replies = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id int, group int, text string")
+    quotes = evidence.entries(evidence.sections(replies, "text"), "id").join(replies.select("id", "group"), "id")
+    return replies, quotes, evidence.verified(quotes, *tables, ["id", "place"])
+
+
+def test_reply_formats(spark):
+    heads = [("Evidence:", "Answer:"), ("**Evidence:**", "**Answer:**"), ("### Evidence", "### Answer"), ("**Evidence**:", "__Answer__:"), ("evidence", "ANSWER:")]
+    texts = [f"{e}\n- [C1] `return open_pool(first_name)`\n```\n2. [C2]:\n\n\"value = compute_all(things)\"\n\n{a}\nIt opens [C1]." for e, a in heads]
+    df = spark.createDataFrame([*enumerate(texts), (9, "Evidence of nothing. Answer me"), (10, None)], "id int, text string")
+    parsed = evidence.sections(df, "text")
+    assert [r.answer for r in parsed.orderBy("id").collect()] == ["It opens [C1]."] * 5 + [None] * 2
+    got = [(r.id, r.tag, r.quote) for r in evidence.entries(parsed, "id").orderBy("id", "place").collect()]
+    assert got == [(i, t, q) for i in range(5) for t, q in (("C1", "return open_pool(first_name)"), ("C2", "value = compute_all(things)"))]
+    alone = evidence.sections(spark.createDataFrame([(1, "Evidence:\n[C1]\n[C2] `some other quote`\nplain\nAnswer: x")], "id int, text string"), "text")
+    assert [(r.tag, r.quote) for r in evidence.entries(alone, "id").collect()] == [("C2", "some other quote")]
 
 
-def test_quotes():
-    check = lambda t, q: evidence.verify(t, q, SHOWN)
-    assert check("C1", "return  open_pool(first_name)") == ("verified", 10, None)
-    assert check("C1", "open_pool(first_name) …")[0] == "verified"
-    assert check("C1", "value = compute_all(things)") == ("wrong_tag", None, "C2")
-    assert check("C9", "value = compute_all(things)")[0] == "unknown_tag" and check("C1", "x = 1")[0] == "too_short" and check("C1", "nowhere to be found")[0] == "not_found"
+def test_quotes(spark, tables):
+    cases = [("C1", "return  open_pool(first_name)", "verified", 10, None), ("C01", "open_pool(first_name) …", "verified", 10, None), ("C1", "value = compute_all(things)", "wrong_tag", None, "C2"),
+             ("C9", "value = compute_all(things)", "unknown_tag", None, None), ("C1", "x = 1", "too_short", None, None), ("C1", "nowhere to be found", "not_found", None, None)]
+    _, _, results = checked(spark, tables, [f"Evidence:\n[{t}] {q}\nAnswer: a" for t, q, *_ in cases])
+    assert [(r.result, r.line, r.found_in) for r in results.orderBy("id").collect()] == [tuple(c[2:]) for c in cases]
 
 
-def test_enforcement():
+def test_enforcement(spark, tables):
     good = "Evidence:\n[C1] return open_pool(first_name)\n\nAnswer:\nIt opens it [C1]."
-    got = evidence.enforce(good, SHOWN)
-    assert (got["verification"], got["citations"], got["text"]) == ("verified", ["C1"], good)
-    assert evidence.enforce(good.replace("it [C1]", "it [C1, C2]"), SHOWN)["verification"] == "partial"
-    bad = evidence.enforce(good.replace("first_name", "second_name"), SHOWN)
-    assert (bad["verification"], bad["status"], bad["citations"], bad["text"]) == ("unverified", "abstained", [], ABSTENTION)
-    assert evidence.enforce(ABSTENTION, SHOWN)["verification"] == "abstained"
-    assert evidence.enforce("Evidence:\n[C1] return open_pool(first_name)\nAnswer:", SHOWN)["verification"] == "unverified"
+    texts = [good, good.replace("it [C1]", "it [C1, C2]"), good.replace("first_name", "second_name"), ABSTENTION, "Evidence:\n[C1] return open_pool(first_name)\nAnswer:", "No format [C1]."]
+    replies, _, results = checked(spark, tables, texts)
+    got = evidence.enforced(replies, "id", "text", results, tables[0]).orderBy("id").collect()
+    assert [r.verification for r in got] == ["verified", "partial", "unverified", "abstained", "unverified", "unverified"]
+    assert [list(r.citations) for r in got] == [["C1"], ["C1", "C2"], [], [], [], []]
+    assert got[0].shown_text == good and got[2].shown_text == ABSTENTION and got[2].status == "abstained" and list(got[1].unsupported) == ["C2"]
 
 
-def test_gate():
+def test_released_pieces(spark, tables):
     good = "Evidence:\n[C1] return open_pool(first_name)\n\n**Answer:** It opens."
-    told = []
-    assert "".join(evidence.gated((good[i : i + 3] for i in range(0, len(good), 3)), SHOWN, told.append)).endswith("It opens.") and told == [True]
-    assert list(evidence.gated(["Evidence:\n[C1] nothing that is there\n\nAnswer:", " no", " more"], SHOWN, told.append)) == [] and told == [True, False]
+    texts = [good, "Evidence:\n[C1] nothing that is there\n\nAnswer: no more", "No heading"]
+    _, _, results = checked(spark, tables, texts)
+    pieces = spark.createDataFrame([(i, n, t[n : n + 3]) for i, t in enumerate(texts) for n in range(0, len(t), 3)], "id int, seq int, piece string")
+    out = evidence.released(pieces, "id", results).orderBy("id", "seq").collect()
+    assert {r.id for r in out} == {0} and "".join(r.piece for r in out) == "It opens."
 
 
 def test_limits():
