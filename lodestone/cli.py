@@ -41,7 +41,6 @@ def main(argv: list[str] | None = None) -> int:
     try:
         store = IndexStore(spark, args.index or root / FOLDER)
         if args.command == "index":
-            store.root.mkdir(parents=True, exist_ok=True)
             stats = store.build(read_repository(spark, root, skip=SKIPPED | {FOLDER}), str(root), args.rebuild)
             print(json.dumps(vars(stats)))
         elif args.command == "search":

@@ -1,8 +1,9 @@
-"""Exact dense retrieval in blocks of vectors."""
+"""Exact dense retrieval: blocks of queries go to the vectors, which are never moved."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import batch
 from ..functions.text import normalised
+from ..session import durable
+
+#: Numbers of the queries that go to every task at once: 32 MB.
+BLOCK_NUMBERS = 4_000_000
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -19,56 +24,85 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(df: DataFrame, columns: list[str], size: int, name: str) -> DataFrame:
-    """Rows of a part gathered in blocks of about ``size``, so that no group grows with its part."""
-    rows = df.groupBy("part").agg(F.count("*").alias("rows"))
-    placed = df.join(rows, "part").withColumn("block", F.pmod(F.xxhash64(*columns[:1], F.lit(11)), F.ceil(F.col("rows") / size)))
-    return placed.groupBy("part", "block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
-
-
-def _score(k: int):
-    def matrix(column: pa.Array, i: int) -> tuple[pa.StructArray, np.ndarray]:
-        rows = column.slice(i, 1).flatten()
-        vectors = rows.field("vector")
-        return rows, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+def _score(asked: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
+    """The ``k`` best documents of each query among the vectors of one batch, by their best part in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                asked, q = matrix(b.column(1), i)
-                parts, v = matrix(b.column(2), i)
-                docs, no = parts.field("doc").to_numpy(zero_copy_only=False), parts.field("part_no").to_numpy(zero_copy_only=False)
-                scores = np.round(q @ v.T, 5) + 0.0
-                # the best part of each document in the block: by score, then the smaller number
-                names, owner = np.unique(docs, return_inverse=True)
-                out = []
-                for row, qid in enumerate(asked.field("qid").to_pylist()):
-                    o = np.lexsort((no, -scores[row], owner))
-                    first = o[np.unique(owner[o], return_index=True)[1]]
-                    best = first[np.lexsort((names, -scores[row][first]))][:k]
-                    out.append((np.full(len(best), qid), docs[best], no[best], scores[row][best]))
-                qid, doc, part_no, score = (np.concatenate(c) for c in zip(*out))
-                yield batch(
-                    ("part", "qid", "doc", "part_no", "cosine"),
-                    (pa.array([b.column(0)[i].as_py()] * len(qid), pa.string()), pa.array(qid.astype(np.int64)), pa.array(doc), pa.array(part_no), pa.array(score)),
-                )
+            names = b.column(0).dictionary_encode()
+            words, codes = names.dictionary.to_pylist(), names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            docs, no = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            vectors = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for code in np.unique(codes):
+                part = words[code] if code >= 0 else None
+                if part not in asked:
+                    continue
+                mine = np.nonzero(codes == code)[0]
+                # by document, then part: the first of equal scores is the smaller part
+                mine = mine[np.lexsort((no[mine], docs[mine]))]
+                own, starts = np.unique(docs[mine], return_index=True)
+                qids, q = asked[part]
+                for lo in range(0, len(qids), 512):
+                    scores = np.round(q[lo : lo + 512] @ vectors[mine].T, 5) + 0.0
+                    best = np.maximum.reduceat(scores, starts, axis=1)
+                    keep = best >= np.partition(best, -k, axis=1)[:, -k][:, None] if k < best.shape[1] else np.ones_like(best, bool)
+                    row, col = np.nonzero(keep)
+                    ends = np.append(starts[1:], len(mine))
+                    at = np.array([starts[c] + int(np.argmax(scores[r, starts[c] : ends[c]])) for r, c in zip(row, col)], np.int64)
+                    yield batch(
+                        ("part", "qid", "doc", "part_no", "cosine"),
+                        (pa.array([part] * len(row), pa.string()), pa.array(qids[lo + row]), pa.array(own[col]), pa.array(no[mine][at]), pa.array(best[row, col])),
+                    )
 
     return run
 
 
-def dense(parts: DataFrame, queries: DataFrame, n: int, block: int = 4096) -> DataFrame:
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("part", F.col("qid").cast("long").alias("qid"), normalised(F.col("vector")).alias("vector"))
+
+
+def dense(parts: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """``part, qid, doc, part_no, cosine, dense_rank``: the ``n`` documents of a query's part whose best
     vector is nearest by cosine. ``parts`` has part (string), doc, part_no, vector; ``queries`` part, qid,
     vector, all vectors usable. Cosines are rounded to 5 digits before they are ranked; among a document's
     vectors ties go to the smaller number, among documents to the smaller ``doc``.
 
-    Blocks of both sides meet by part. A document whose vectors lie in two blocks is settled after the join.
+    Queries are sent to all tasks in blocks of at most ``BLOCK_NUMBERS`` numbers, one pass over the vectors a
+    block; what is shuffled are the best ``n`` of each batch. A document whose vectors lie in two batches is
+    settled after that.
     """
     held = parts.select("part", F.col("doc").cast("long").alias("doc"), F.col("part_no").cast("int").alias("part_no"), normalised(F.col("vector")).alias("vector"))
-    asked = queries.select("part", F.col("qid").cast("long").alias("qid"), normalised(F.col("vector")).alias("vector"))
-    pairs = _blocks(asked, ["qid", "vector"], block, "asked").join(_blocks(held, ["doc", "part_no", "vector"], block, "held"), "part")
-    met = pairs.select("part", "asked", "held").mapInArrow(_score(n), "part string, qid long, doc long, part_no int, cosine double")
+    asked = durable(_asked(queries))
+    size = asked.agg(F.sum(F.size("vector"))).head()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_NUMBERS))
+    met = None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().to_pydict()
+        by_part: dict[str, list[int]] = {}
+        for j, part in enumerate(rows["part"]):
+            by_part.setdefault(part, []).append(j)
+        held_queries = {p: (np.array([rows["qid"][j] for j in js], np.int64), np.array([rows["vector"][j] for j in js])) for p, js in by_part.items()}
+        found = held.mapInArrow(_score(held_queries, n), "part string, qid long, doc long, part_no int, cosine double")
+        met = found if met is None else met.unionByName(found)
     best = met.groupBy("part", "qid", "doc").agg(F.max(F.struct("cosine", (-F.col("part_no")).alias("no"))).alias("b"))
     order = Window.partitionBy("part", "qid").orderBy(F.desc("cosine"), "doc")
     rows = best.select("part", "qid", "doc", (-F.col("b.no")).alias("part_no"), F.col("b.cosine").alias("cosine"))
     return rows.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= n)
+
+
+def relevance(parts: DataFrame, queries: DataFrame, key: str = "qid") -> Callable[[DataFrame], DataFrame]:
+    """A function from pairs (``key``, item) to ``key, item, relevance``: the cosine of the item's best vector over
+    the best of all documents of the query's part, from 0 to 1; 0 where that best isn't positive. Only the
+    vectors of the items are looked up. Items without a vector, or of another part, have no row."""
+    best = durable(dense(parts, queries, 1).select(F.col("qid").alias(key), F.col("cosine").alias("best")))
+    asked = durable(_asked(queries).select("part", F.col("qid").alias(key), F.col("vector").alias("asked")))
+    held = parts.select("part", F.col("doc").cast("long").alias("item"), normalised(F.col("vector")).alias("vector"))
+
+    def of(pairs: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.zip_with("asked", "vector", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        rows = pairs.select(key, F.col("item").cast("long").alias("item")).distinct().join(asked, key).join(held, ["part", "item"])
+        rows = rows.groupBy(key, "item").agg(F.max(F.round(dot, 5)).alias("cosine")).join(best, key)
+        share = F.least(F.greatest(F.col("cosine") / F.col("best"), F.lit(0.0)), F.lit(1.0))
+        return rows.select(key, "item", F.when(F.col("best") > 0, share).otherwise(0.0).alias("relevance"))
+
+    return of

@@ -15,6 +15,8 @@ from ..functions.text import QUERY_STOPWORDS, identifier_parts, identifier_token
 from ..session import durable
 
 K1, B = 1.5, 0.75
+#: Tokens of queries that may be broadcast (about 20 MB); more are joined by a shuffle.
+FEW_TOKENS = 500_000
 
 
 def query_tokens(queries: DataFrame, symbols: DataFrame | None = None, stem: bool = False) -> DataFrame:
@@ -40,12 +42,15 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """``part, qid, doc, score, bm25_rank``: the ``n`` best documents (part, doc, tokens) of each query
     (part, qid, token, qtf), of those with a common token. Scores are rounded to 6 digits before they are
     ranked; ties go to the smaller ``doc``."""
-    # tokens are made once and read three times
-    sized = durable(documents.withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0))))
-    stats = sized.groupBy("part").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("part", "token").distinct()
-    tf = sized.select("part", "doc", "dl", F.explode("tokens").alias("token")).join(wanted, ["part", "token"], "left_semi")
-    tf = durable(tf.groupBy("part", "token", "doc", "dl").agg(F.count("*").alias("tf")))
+    sized = documents.withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)))
+    wanted = durable(queries.select("part", "token").distinct().withColumn("wanted", F.lit(True)))
+    few = F.broadcast(wanted) if wanted.count() <= FEW_TOKENS else wanted
+    # tokens are made once: a null one stands for the document itself, others stay only if a query asks for them
+    each = sized.select("part", "doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("token"))
+    kept = each.join(few, ["part", "token"], "left").where("token is null or wanted")
+    counted = durable(kept.groupBy("part", "token", "doc", "dl").agg(F.count("*").alias("tf")))
+    stats = counted.where("token is null").groupBy("part").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    tf = counted.where("token is not null")
     df = tf.groupBy("part", "token").agg(F.count("*").alias("df"))
     weighted = queries.join(df, ["part", "token"]).join(stats, "part")
     weighted = weighted.select("part", "token", "qid", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("w"), "avgdl")

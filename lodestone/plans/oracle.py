@@ -184,19 +184,26 @@ SQL["graph_in_degree"] = f"WITH {_C}, {_EDGES} SELECT node, in_degree FROM ind"
 SQL["graph_neighbors"] = f"WITH {_C}, {_EDGES} SELECT node, neighbour, weight FROM nb"
 
 
-def _hop(n: int, frontier: str) -> str:
+def _hop(n: int, frontier: str, weighed: bool) -> str:
+    st = "round(round(strength, 12) * relevance, 12)" if weighed else "round(strength, 12)"
+    source = f"{frontier} JOIN ns USING (node)" + (" JOIN rel ON rel.question_id = " + frontier + ".question_id AND rel.item = neighbour" if weighed else "")
     return f"""
 s{n} AS (
-  SELECT question_id, neighbour AS item, given, round(strength, 12) AS st, row_number() OVER (PARTITION BY question_id, node ORDER BY round(strength, 12) DESC, neighbour) AS n
-  FROM {frontier} JOIN ns USING (node) WHERE round(strength, 12) > 0),
+  SELECT {frontier}.question_id, neighbour AS item, given, {st} AS st, row_number() OVER (PARTITION BY {frontier}.question_id, node ORDER BY {st} DESC, neighbour) AS n
+  FROM {source} WHERE {st} > 0),
 h{n} AS (SELECT question_id, item, sum(round(given * st, 12)) AS value, max(round(given * st, 12)) AS most FROM s{n} WHERE n <= 8 GROUP BY ALL),
 f{n} AS (SELECT question_id, item AS node, most * 0.5e0 AS given FROM h{n})"""
 
 
-_SEEDS = "f0 AS (SELECT question_id, chunk_no AS node, 1e0 / (60 + hit_rank) AS given FROM h WHERE hit_rank <= 5)"
-for _name, _hops in (("graph_rank_1hop", 1), ("graph_rank_2hop", 2)):
+_SEEDS = {
+    True: "f0 AS (SELECT question_id, chunk_no AS node, 1e0 / (60 + rk) AS given FROM dn WHERE rk <= 5)",
+    False: "f0 AS (SELECT question_id, chunk_no AS node, 1e0 / (60 + hit_rank) AS given FROM h WHERE hit_rank <= 5)",
+}
+_RELEVANCE = """br AS (SELECT question_id, max(cosine) AS best FROM dn GROUP BY 1),
+rel AS (SELECT dn.question_id, dn.chunk_no AS item, CASE WHEN best > 0 THEN least(greatest(cosine / best, 0e0), 1e0) ELSE 0e0 END AS relevance FROM dn JOIN br USING (question_id))"""
+for _name, _hops, _weighed in (("graph_rank_1hop", 1, True), ("graph_rank_2hop", 2, True), ("graph_rank_unweighed", 2, False)):
     SQL[_name] = f"""
-WITH {_C}, {_H}, {_EDGES}, {_SEEDS}, {', '.join(_hop(i, f'f{i - 1}') for i in range(1, _hops + 1))},
+WITH {_C}, {_H}, {_EDGES}, {f'{_Q}, {_DENSE}, {_RELEVANCE},' if _weighed else ''} {_SEEDS[_weighed]}, {', '.join(_hop(i, f'f{i - 1}', _weighed) for i in range(1, _hops + 1))},
 tot AS (SELECT question_id, item, round(sum(value), 12) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM h{i}' for i in range(1, _hops + 1))}) GROUP BY ALL)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item)::INTEGER AS graph_rank, item AS chunk_no, score FROM tot"""
 
@@ -208,11 +215,11 @@ SELECT reason, sum(n)::BIGINT AS dropped, string_agg(name, ',' ORDER BY p) FILTE
 SQL["call_coverage"] = f"""
 WITH {_C}, {_EDGES} SELECT me.corpus, count(*) AS calls, count(sy.dst) AS resolved FROM me LEFT JOIN sy ON sy.corpus = me.corpus AND sy.symbol = me.name AND n = 1 WHERE via = 'call' GROUP BY 1"""
 
-SQL["protocol_division"] = f"""
-WITH {_C}, m AS (
-  SELECT DISTINCT concat_ws('::', corpus, path, parent) AS cls, concat_ws('::', corpus, symbol) AS name FROM c WHERE kind = 'method' AND parent IS NOT NULL),
-p AS (SELECT cls AS protocol, name FROM m WHERE name <> '__init__'), s AS (SELECT protocol, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 2)
-SELECT protocol, cls FROM p JOIN m USING (name) JOIN s USING (protocol) WHERE protocol <> cls GROUP BY protocol, cls, s.n HAVING count(*) = s.n"""
+SQL["relevant_division"] = f"""
+WITH {_Q}, m AS (SELECT DISTINCT question_id, concat_ws('::', corpus, chunk_id) AS name FROM (SELECT question_id, corpus, unnest(relevant) AS chunk_id FROM q)),
+s AS (SELECT question_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 2)
+SELECT p.question_id, m.question_id AS includes_in FROM m p JOIN s ON s.question_id = p.question_id JOIN m ON m.name = p.name AND m.question_id <> p.question_id GROUP BY 1, 2, s.n HAVING count(*) = s.n"""
+
 SQL["scope_consensus"] = f"WITH {_C} SELECT corpus, symbol, CASE WHEN count(DISTINCT kind) = 1 AND count(kind) = count(*) THEN min(kind) END AS kind, count(*) AS n FROM c GROUP BY corpus, symbol"
 
 SQL["symbol_listing"] = f"""
@@ -250,13 +257,15 @@ SQL["missing_relevant"] = f"""
 WITH {_C}, {_Q}, w AS (SELECT DISTINCT question_id, corpus, unnest(relevant) AS chunk_id FROM q)
 SELECT question_id, chunk_id FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.corpus = w.corpus AND c.chunk_id = w.chunk_id)"""
 SQL["question_problems"] = f"""
-WITH {_Q}, f AS (SELECT *, coalesce(len(relevant), 0) > 0 AS many FROM q)
+WITH q1 AS (SELECT DISTINCT ON (question_id) * FROM questions ORDER BY question_id, created_at DESC),
+f AS (SELECT *, coalesce(len(relevant), 0) > 0 AS many, regexp_replace(lower(coalesce(split, '')), '[^a-z]', '', 'g') AS letters FROM q1)
 SELECT question_id, unnest(list_filter([
   CASE WHEN NOT coalesce(qtype IN ('exact_name', 'behavior', 'location', 'flow', 'negative'), false) THEN 'unknown_type' END,
   CASE WHEN trim(coalesce(question, '')) = '' THEN 'blank_question' END,
   CASE WHEN qtype = 'negative' AND many THEN 'negative_with_relevant' END,
   CASE WHEN qtype <> 'negative' AND NOT many THEN 'positive_without_relevant' END,
-  CASE WHEN coalesce(expect_abstain, false) <> (qtype = 'negative') THEN 'abstention_mismatch' END], lambda x: x IS NOT NULL)) AS problem FROM f"""
+  CASE WHEN coalesce(expect_abstain, false) <> (qtype = 'negative') THEN 'abstention_mismatch' END,
+  CASE WHEN letters = '' THEN 'blank_split' END, CASE WHEN letters <> '' AND NOT coalesce(split IN ('tune', 'heldout'), false) THEN 'odd_split' END], lambda x: x IS NOT NULL)) AS problem FROM f"""
 
 _METRICS = """m AS (
   SELECT r.question_id, min(hr) AS first_rank, count(*) AS n, count(*) FILTER (WHERE hr <= 10) AS n10 FROM r LEFT JOIN (

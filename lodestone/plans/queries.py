@@ -279,8 +279,11 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
-    seeds = base.hits(spark, sf_dir).select("question_id", F.col("chunk_no").alias("item"), F.col("hit_rank").alias("item_rank"))
-    rows = graph.expand(_edges(spark, sf_dir), seeds, ["question_id"], hops=hops)
+    """From each question's nearest chunks, each neighbour weighed by its cosine to the question among all
+    chunks of the corpus."""
+    seeds = _dense(spark, sf_dir, graph.SEEDS).select(F.col("qid").alias("question_id"), F.col("doc").alias("item"), F.col("dense_rank").alias("item_rank"))
+    near = dense.relevance(*_vectors(spark, sf_dir), "question_id")
+    rows = graph.expand(_edges(spark, sf_dir), seeds, ["question_id"], near, hops)
     return rows.select("question_id", "graph_rank", F.col("item").alias("chunk_no"), "score")
 
 
@@ -294,6 +297,14 @@ def graph_rank_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expanded(spark, sf_dir, 2)
 
 
+@query
+def graph_rank_unweighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops without relevance: each node passes on to the same neighbours for every question."""
+    seeds = base.hits(spark, sf_dir).select("question_id", F.col("chunk_no").alias("item"), F.col("hit_rank").alias("item_rank"))
+    rows = graph.expand(_edges(spark, sf_dir), seeds, ["question_id"])
+    return rows.select("question_id", "graph_rank", F.col("item").alias("chunk_no"), "score")
+
+
 @query
 def drop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that no edge came of, by reason, with up to eight examples a reason."""
@@ -315,11 +326,12 @@ def call_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def protocol_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes that define every method of another class of their corpus which has two or more."""
-    rows = base.chunks(spark, sf_dir, "corpus", "path", "parent", "symbol", "kind").where("kind = 'method' and parent is not null")
-    methods = rows.select(F.concat_ws("::", "corpus", "path", "parent").alias("cls"), F.concat_ws("::", "corpus", "symbol").alias("name"))
-    return graph.implementers(methods, methods, methods.withColumnRenamed("cls", "protocol"))
+def relevant_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose relevant chunks include all of another's, of two and more, in the same corpus."""
+    rows = base.questions(spark, sf_dir, "corpus", "relevant").select("question_id", "corpus", F.explode("relevant").alias("chunk_id"))
+    held = rows.select(F.col("question_id").alias("cls"), F.concat_ws("::", "corpus", "chunk_id").alias("name"))
+    found = graph.implementers(held, held, held.withColumnRenamed("cls", "protocol"))
+    return found.select(F.col("protocol").alias("question_id"), F.col("cls").alias("includes_in"))
 
 
 @query
@@ -439,14 +451,17 @@ def missing_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def question_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base.questions(spark, sf_dir, "qtype", "question", "relevant", "expect_abstain")
+    rows = latest(load(spark, sf_dir, "questions", "question_id", "qtype", "question", "relevant", "expect_abstain", "split", "created_at"), ["question_id"], "created_at")
     many = F.coalesce(F.size("relevant"), F.lit(0)) > 0
+    letters = F.regexp_replace(F.lower(F.coalesce("split", F.lit(""))), "[^a-z]", "")
     checks = {
         "unknown_type": ~F.coalesce(F.col("qtype").isin("exact_name", "behavior", "location", "flow", "negative"), F.lit(False)),
         "blank_question": F.trim(F.coalesce("question", F.lit(""))) == "",
         "negative_with_relevant": (F.col("qtype") == "negative") & many,
         "positive_without_relevant": (F.col("qtype") != "negative") & ~many,
         "abstention_mismatch": F.coalesce(F.col("expect_abstain"), F.lit(False)) != (F.col("qtype") == "negative"),
+        "blank_split": letters == "",
+        "odd_split": (letters != "") & ~F.coalesce(F.col("split").isin("tune", "heldout"), F.lit(False)),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
     return rows.select("question_id", F.explode(found).alias("problem"))

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import cli
-from lodestone.functions.embed import hash_embedding
+from lodestone.functions.embed import PrefixedEmbedder, hash_embedding
 from lodestone.functions.stem import stem_word, stems
 from lodestone.operators.replies import guarded, kept_length, loop_cut
-from lodestone.service import SearchSettings, Service
+from lodestone.service import ScriptedGenerator, SearchSettings, Service
 from lodestone.sources.repository import Ignore, decode, list_files, read_repository
 from lodestone.sources.store import IndexMismatch, IndexStore
 from lodestone.streaming.arriving import guard_replies, index_arrivals
@@ -68,7 +68,6 @@ def repo(tmp_path):
 
 def test_store_and_service(spark, repo, tmp_path):
     store = IndexStore(spark, tmp_path / "index")
-    store.root.mkdir()
     first = store.build(read_repository(spark, repo), "r")
     assert (first.files, first.chunks, first.embedded, first.reused, first.deleted, first.changed) == (2, 5, 5, 0, 0, True)
     data = store.manifest()["data"]
@@ -78,7 +77,7 @@ def test_store_and_service(spark, repo, tmp_path):
     (repo / "other.py").unlink()
     second = store.build(read_repository(spark, repo), "r")
     assert (second.embedded, second.reused, second.deleted) == (1, 3, 1)
-    assert [p.name for p in store.root.iterdir() if p.is_dir()] == [store.manifest()["data"]] != [data]
+    assert [n for n in store.files.names() if n.startswith("gen-")] == [store.manifest()["data"]] != [data]
     service.refresh()
     asked = spark.createDataFrame([(1, "open pool"), (2, " ")], "qid long, query string")
     for settings in (SearchSettings(), SearchSettings("fused", 1), SearchSettings("bm25")):
@@ -95,7 +94,46 @@ def test_store_and_service(spark, repo, tmp_path):
     with pytest.raises(IndexMismatch):
         store.build(read_repository(spark, repo), "another")
     with pytest.raises(IndexMismatch):
-        IndexStore(spark, store.root, model="x").table("chunks")
+        IndexStore(spark, store.root, PrefixedEmbedder("x", 64, hash_embedding)).table("chunks")
+
+
+def test_moved_chunks_are_written_again(spark, repo, tmp_path):
+    store = IndexStore(spark, tmp_path / "index")
+    store.build(read_repository(spark, repo), "r")
+    (repo / "core.py").write_text("\n\n\n" + CORE)
+    stats = store.build(read_repository(spark, repo), "r")
+    assert (stats.embedded, stats.reused, stats.changed) == (0, 5, True)
+    assert Service(store).get_chunk("core.py::open_pool")["start_line"] == 4
+
+
+def test_a_failing_build_leaves_the_old_index(spark, repo, tmp_path):
+    store = IndexStore(spark, tmp_path / "index")
+    store.build(read_repository(spark, repo), "r")
+    before = store.files.names()
+    (repo / "core.py").write_text(CORE.replace("1", "2"))
+    short = IndexStore(spark, tmp_path / "index", PrefixedEmbedder("hash-64", 63, hash_embedding))
+    with pytest.raises(Exception, match="another length"):
+        short.build(read_repository(spark, repo), "r")
+    assert store.files.names() == before
+
+
+def test_questions_are_answered(spark, repo, tmp_path):
+    store = IndexStore(spark, tmp_path / "index")
+    store.build(read_repository(spark, repo), "r")
+    service = Service(store)
+    asked = spark.createDataFrame([(1, "open pool"), (2, "read file"), (3, " ")], "qid long, query string")
+    good = "Evidence:\n[C1] `return read_file()`\nAnswer:\nIt reads the file [C1]."
+    script = ScriptedGenerator([("Question: open pool", good), ("Question: read", good.replace("read_file()", "nothing_here()"))])
+    got = {r.qid: r for r in service.ask(asked, script, 2, SearchSettings("fused", 0), quoting=True).collect()}
+    assert (got[1].verification, list(got[1].citations), got[1].text) == ("verified", ["C1"], good)
+    assert (got[2].verification, got[2].status) == ("unverified", "abstained") and got[3].status == "abstained"
+    loud = ScriptedGenerator([(".", "See [C1], [C9]. " + "again and again " * 9)])
+    (one,) = [r for r in service.ask(asked, loud, 2, SearchSettings("bm25")).collect() if r.qid == 1]
+    assert (list(one.citations), list(one.unknown_tags), one.status) == (["C1"], ["C9"], "answered") and one.kept < 60
+    with pytest.raises(ValueError):
+        service.ask(asked, script, 21)
+    hit = service.search(asked, 2, SearchSettings("fused", 1)).where("qid = 1 and hit_rank = 1").head()
+    assert hit.sources == ["bm25", "dense", "graph"] and set(hit.raw_scores) == {"bm25", "dense"} and (hit.first_line, hit.last_line) == (1, 3)
 
 
 def test_long_chunks_are_cut_into_parts(spark, tmp_path):
@@ -115,7 +153,6 @@ def test_command_line(repo, capsys, spark):
 
 def test_arrivals_are_indexed(spark, tmp_path):
     store = IndexStore(spark, tmp_path / "index")
-    store.root.mkdir()
     put = lambda rows: spark.createDataFrame(rows, "path string, source string, delivered string").withColumn("delivered", F.to_timestamp("delivered")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     go = lambda: index_arrivals(spark, str(tmp_path / "in"), store, "r", str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
     put([("a.py", "def f(): pass\n", "2026-01-01")])

@@ -65,7 +65,9 @@ def test_bm25_is_positive_for_matches_only(spark, texts):
     assert {r.doc for r in got} == {i for i, t in enumerate(texts) if "parse" in t} and all(r.score > 0 and r.qid == 1 for r in got)
 
 
-def test_dense_takes_the_best_part_and_splits_blocks(spark):
+@pytest.mark.parametrize("numbers", [8, 4_000_000])
+def test_dense_takes_the_best_part_and_splits_blocks(spark, monkeypatch, numbers):
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", numbers)
     rng = random.Random(2)
     parts = [("p", d, n, [rng.gauss(0, 1) for _ in range(4)]) for d in range(30) for n in range(rng.randint(1, 3))]
     asked = [("p", q, [rng.gauss(0, 1) for _ in range(4)]) for q in range(7)] + [("q", 99, [1.0, 0.0, 0.0, 0.0])]
@@ -79,7 +81,7 @@ def test_dense_takes_the_best_part_and_splits_blocks(spark):
             best[d] = max(best.get(d, (-2, 0)), (round(cos(u, v), 5), -n))
         for rank, (d, (c, n)) in enumerate(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:5], 1):
             want.add((q, d, -n, rank))
-    got = dense.dense(p, a, 5, block=4).collect()
+    got = dense.dense(p, a, 5).collect()
     assert {(r.qid, r.doc, r.part_no, r.dense_rank) for r in got} == want
 
 
