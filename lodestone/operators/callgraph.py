@@ -223,19 +223,18 @@ def linear_orders(bases: DataFrame) -> DataFrame:
     method resolution order, itself first. Classes on or above a cycle, which no order exists for, have
     theirs by distance and id."""
     bases = durable(bases.groupBy("cls", "base").agg(F.min("place").alias("place")))
-    per = bases.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "base"))), lambda x: x["base"]).alias("bases"))
-    open_ = durable(per)
-    roots = bases.select(F.col("base").alias("cls")).join(open_.select("cls"), "cls", "left_anti").distinct()
-    done = durable(roots.select("cls", F.array("cls").alias("line")))
-    while not open_.isEmpty():
-        each = open_.select("cls", "bases", F.posexplode("bases").alias("n", "base")).join(done.toDF("base", "own"), "base")
+    per = durable(bases.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "base"))), lambda x: x["base"]).alias("bases")))
+    roots = bases.select(F.col("base").alias("cls")).join(per.select("cls"), "cls", "left_anti").distinct()
+    done = got = durable(roots.select("cls", F.array("cls").alias("line")))
+    while not got.isEmpty():
+        # of what is left, the classes with a base that was ordered just now and all others before
+        able = per.join(done.select("cls"), "cls", "left_anti")
+        each = able.select("cls", "bases", F.posexplode("bases").alias("n", "base")).join(done.toDF("base", "own"), "base")
         ready = each.groupBy("cls").agg(F.first("bases").alias("bases"), F.transform(F.array_sort(F.collect_list(F.struct("n", "own"))), lambda x: x["own"]).alias("orders"))
         ready = ready.where(F.size("orders") == F.size("bases")).select("cls", "bases", "orders")
         got = durable(ready.mapInArrow(_merge, "cls string, line array<string>"))
-        if got.isEmpty():
-            break
-        done = durable(done.unionByName(got))
-        open_ = durable(open_.join(got.select("cls"), "cls", "left_anti"))
+        done = done.unionByName(got)
+    open_ = durable(per.join(done.select("cls"), "cls", "left_anti"))
     if open_.isEmpty():
         return done
     level = open_.select("cls", F.col("cls").alias("up"), F.lit(0).alias("far"))
@@ -334,19 +333,22 @@ def call_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         asked = binds.where("name is not null")
         values = _typed(walk(heads(asked, local_names), attributes))
-        every = values.select("fact", "corpus", "scope", "bound", "made").unionByName(binds.where("name is null").select("fact", "corpus", "scope", "bound", F.lit(None).cast("string").alias("made")))
-        agreed = every.groupBy("fact", "corpus", "scope", "bound").agg(F.count("*").alias("n"), F.count("made").alias("told"), F.count_distinct("made").alias("kinds"), F.min("made").alias("v"))
+        values = values.withColumn("open", F.col("v").isin("slocal_variable", "suntyped_receiver", "sinstance_attribute"))
+        every = values.select("fact", "corpus", "scope", "bound", "made", "open").unionByName(binds.where("name is null").select("fact", "corpus", "scope", "bound", F.lit(None).cast("string").alias("made"), F.lit(False).alias("open")))
+        agreed = every.groupBy("fact", "corpus", "scope", "bound").agg(F.max("open").alias("open"), F.count("*").alias("n"), F.count("made").alias("told"), F.count_distinct("made").alias("kinds"), F.min("made").alias("v"))
         types = durable(agreed.withColumn("v", F.when((F.col("n") == F.col("told")) & (F.col("kinds") == 1), F.col("v"))).withColumn("mixed", F.col("told") > 0))
-        n = types.where("v is not null").count()
-        if n == known:
+        told = types.agg(F.count("v").alias("n"), F.count_if("open").alias("open")).head()
+        if told.n == known:
             break
-        known = n
+        known = told.n
         local = types.where("fact = 'bind'").select("corpus", "scope", F.col("bound").alias("name"), F.coalesce(F.concat(F.lit("~"), "v"), F.when(F.col("mixed"), _stop("ambiguous_local_type")).otherwise(_stop("local_variable"))).alias("v"), F.lit(2.5).alias("rank"))
         local_names = names(local)
         # the nearest class on the way that binds the attribute settles it
         attr = types.where("fact = 'attribute'").join(named_classes, "scope").select("up", F.col("bound").alias("token"), "v")
         near = lines.join(attr, "up").groupBy("cls", "token").agg(F.min_by(F.struct("v"), "n").alias("x")).select("cls", "token", F.col("x.v").alias("to")).where("to is not null")
         attributes = of_classes(members, past, near)
+        if not told.open:
+            break
 
     # every reference
     uses = walk(heads(refs.where("target <> 'base'"), local_names), attributes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,51 +10,50 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# A line of so many characters counts, the third time is a loop; so does a phrase of 8 to 80
+# characters that ends the text six times in a row.
 LINE_CHARS, LINE_TIMES = 12, 3
-PHRASE_TIMES, PHRASES = 6, range(8, 81)
+PHRASE_TIMES, PHRASES = 6, (8, 80)
+_LINE = re.compile(r"([^\n]*)\n")
+#: Read from the end of the text backwards, so that the shortest phrase is found first.
+_PHRASE = re.compile(rf"(.{{{PHRASES[0]},{PHRASES[1]}}}?)\1{{{PHRASE_TIMES - 1}}}", re.S)
 
 
 @dataclass
 class LoopState:
     """What a guard remembers between pieces of one reply: the unfinished line, the tail that a repeated
-    phrase can lie in, the lines so far and where each came the second time."""
+    phrase can lie in, and the first places of the lines so far."""
 
     length: int = 0
     line: str = ""
     tail: str = ""
-    seen: Counter = field(default_factory=Counter)
-    second: dict[str, int] = field(default_factory=dict)
+    places: dict[str, list[int]] = field(default_factory=dict)
     keep: int | None = None
 
     def feed(self, piece: str) -> bool:
         """Takes the next piece; True once the reply loops, with ``keep`` the length worth keeping: all
-        before the first repeat of a line that comes the third time, or one copy of a phrase that ends the
-        text six times in a row."""
-        if self.keep is not None:
-            return True
-        began = self.length - len(self.line)
-        self.length += len(piece)
-        *whole, self.line = (self.line + piece).split("\n")
-        for raw in whole:
-            text = raw.strip()
-            if len(text) >= LINE_CHARS and not text.startswith("```"):
-                self.seen[text] += 1
-                if self.seen[text] == 2:
-                    self.second[text] = began
-                if self.seen[text] == LINE_TIMES:
-                    self.keep = self.second[text]
-                    return True
-            began += len(raw) + 1
-        self.tail = (self.tail + piece)[-PHRASES[-1] * PHRASE_TIMES :]
-        for n in PHRASES:
-            if n * PHRASE_TIMES > len(self.tail):
-                break
-            unit = self.tail[-n:]
-            if unit.strip() and self.tail.endswith(unit * PHRASE_TIMES):
-                self.keep = self.length - n * (PHRASE_TIMES - 1)
-                return True
-        return False
+        before the first repeat of a line that comes the third time, or one copy of a repeated phrase."""
+        if self.keep is None:
+            here = self.length - len(self.line)
+            self.length += len(piece)
+            whole = self.line + piece
+            ends = [0]
+            for m in _LINE.finditer(whole):
+                ends.append(m.end())
+                self._note(m.group(1).strip(), here + m.start())
+            self.line = whole[ends[-1] :]
+            self.tail = (self.tail + piece)[-PHRASES[1] * PHRASE_TIMES :]
+            again = _PHRASE.match(self.tail[::-1]) if self.keep is None else None
+            if again and again.group(1).strip():
+                self.keep = self.length - len(again.group(1)) * (PHRASE_TIMES - 1)
+        return self.keep is not None
+
+    def _note(self, text: str, place: int) -> None:
+        if self.keep is None and len(text) >= LINE_CHARS and not text.startswith("```"):
+            places = self.places.setdefault(text, [])
+            places.append(place)
+            if len(places) == LINE_TIMES:
+                self.keep = places[1]
 
 
 def guarded(pieces: Iterable[str]) -> Iterator[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.latest import latest
 from ..operators.replies import LoopState
+from ..sources.files import Files
 from ..sources.store import IndexStore
 
 
@@ -19,45 +21,50 @@ def index_arrivals(spark: SparkSession, folder: str, store: IndexStore, reposito
     """Parquet files of (path string, source string, delivered timestamp) that come into ``folder`` are
     merged into the table of current files below ``state`` (the last delivery of a path wins), and the index
     is brought up to date with each batch; unchanged chunks keep their vectors. A batch that is delivered
-    again after a failure changes nothing."""
+    again after a failure changes nothing. ``state`` holds the table of the last batch and that before it, and
+    which of them counts."""
     arriving = spark.readStream.schema("path string, source string, delivered timestamp").parquet(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        where = f"{state}/files-{number}"
-        before = [n for n in range(number) if _there(s, f"{state}/files-{n}")]
-        held = s.read.parquet(f"{state}/files-{before[-1]}").unionByName(batch) if before else batch
-        latest(held, ["path"], "delivered").write.mode("overwrite").parquet(where)
-        store.build(s.read.parquet(where).select("path", "source"), repository)
+        files = Files(s, state)
+        told = json.loads(files.read("current.json") or "null")
+        if told is None or told["batch"] < number:
+            held = s.read.parquet(f"{state}/{told['table']}").unionByName(batch) if told else batch
+            table = f"files-{number}"
+            latest(held, ["path"], "delivered").write.mode("overwrite").parquet(f"{state}/{table}")
+            files.write("current.json", json.dumps({"batch": number, "table": table}))
+            for name in files.names():
+                if name.startswith("files-") and name not in (table, told and told["table"]):
+                    files.delete(name)
+            told = {"table": table}
+        store.build(s.read.parquet(f"{state}/{told['table']}").select("path", "source"), repository)
 
     return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+_STATE = "length long, line string, tail string, places string, keep long"
 
 
-_STATE = "length long, line string, tail string, seen map<string,int>, second map<string,long>, keep long"
-
-
-def guard_replies(pieces: DataFrame) -> DataFrame:
+def guard_replies(pieces: DataFrame, forget_after: str = "1 hour") -> DataFrame:
     """``answer_id, keep`` once for each reply that loops, from a stream of (answer_id long, seq long, piece
-    string) whose pieces come in order; ``keep`` is the length to keep."""
+    string) whose pieces come in order; ``keep`` is the length to keep. A reply is forgotten when no piece of it
+    came for ``forget_after``; of one that loops only that is remembered."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         s = LoopState()
         if held.exists:
-            length, line, tail, seen, second, keep = held.get
-            s = LoopState(length, line, tail, type(s.seen)(dict(seen)), dict(second), keep if keep >= 0 else None)
-        known = s.keep is not None
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for piece in rows["piece"]:
-            if s.feed(piece or ""):
-                break
-        held.update((s.length, s.line, s.tail, dict(s.seen), s.second, -1 if s.keep is None else s.keep))
-        if s.keep is not None and not known:
-            yield pd.DataFrame({"answer_id": [key[0]], "keep": [s.keep]})
-
-    return pieces.where(F.col("answer_id").isNotNull()).groupBy("answer_id").applyInPandasWithState(step, "answer_id long, keep long", _STATE, "append", GroupStateTimeout.NoTimeout)
+            length, line, tail, places, keep = held.get
+            s = LoopState(length, line, tail, json.loads(places), keep if keep >= 0 else None)
+        if s.keep is None:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            if any(s.feed(piece or "") for piece in rows["piece"]):
+                yield pd.DataFrame({"answer_id": [key[0]], "keep": [s.keep]})
+                s = LoopState(keep=s.keep)
+        held.update((s.length, s.line, s.tail, json.dumps(s.places), -1 if s.keep is None else s.keep))
+        held.setTimeoutDuration(forget_after)
+
+    return pieces.where(F.col("answer_id").isNotNull()).groupBy("answer_id").applyInPandasWithState(step, "answer_id long, keep long", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,6 +1,7 @@
 """Contexts, evidence and the files around an evaluation."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,9 @@ def test_review_round_trip(spark, tmp_path):
     assert review.read_review(text) == ({}, ["q1", "q2", "q3"], [])
     filled = text.replace("____", "**Partial** - misses `retry_it`.", 1).replace("____", "unsure", 1)
     assert review.read_review(filled) == ({"q1": ("partial", "misses retry_it")}, ["q3"], ["q2: unknown verdict 'unsure'"])
+    table = review.review_rows(spark.createDataFrame([("r", filled), ("none", "no sections"), ("null", None)], "review string, text string"))
+    assert [(r.id, r.state, r.grade) for r in table.orderBy("id").collect()] == [("q1", "grade", "partial"), ("q2", "problem", ""), ("q3", "open", "")]
+    assert table.where("id = 'q1'").head().note == "misses retry_it"
     review.write_grades(tmp_path / "g.yaml", "r.json", {"q1": "partial"}, {"by": "me", "on": "x"})
     review.write_grades(tmp_path / "g.yaml", "r.json", {"q1": "correct"}, {"on": "y"})
     assert [tuple(r) for r in review.load_grades(spark, tmp_path / "g.yaml").collect()] == [("q1", "correct")] and "by: me" in (tmp_path / "g.yaml").read_text()
@@ -162,3 +166,30 @@ def test_questions_tell_all_problems(spark, tmp_path):
     assert all(x in str(e.value) for x in ("unknown type", "no question", "repeated id"))
     path.write_text("criteria: {unsupported: {pass_if: '<= 2'}}\n")
     assert review.load_criteria(path) == {"unsupported": review.Limit("<=", 2)}
+
+
+def test_corpora_and_configs(tmp_path):
+    pytest.importorskip("yaml")
+    version = ".".join(map(str, sys.version_info[:2]))
+    path = tmp_path / "c.yaml"
+    path.write_text(f"std: {{path: std, source: {{kind: python_stdlib, python_version: '{version}', packages: [json]}}}}\n")
+    corpus = review.load_corpora(path)["std"]
+    folder = review.materialise(corpus, tmp_path)
+    assert (folder / "json" / "decoder.py").is_file() and not (folder / "json" / "__pycache__").exists()
+    (folder / "mark").write_text("x")
+    assert review.materialise(corpus, tmp_path) == folder and (folder / "mark").exists()
+    corpus["source"]["python_version"] = "2.7"
+    with pytest.raises(ValueError):
+        review.materialise(corpus, tmp_path)
+    path.write_text("a: {path: x, source: {kind: odd}}\nb: {source: {kind: git_archive}}\n")
+    with pytest.raises(ValueError) as e:
+        review.load_corpora(path)
+    assert all(x in str(e.value) for x in ("a: unknown kind", "b: no path", "b: no ref"))
+    path.write_text("configs: [{name: d, mode: dense}, {name: g, mode: dense, graph_hops: 2, counterpart: d}]\ndecision_rules: [{name: r, kind: select, reference: d, candidates: [g]}, {name: s, kind: adopt, after: r, reference: d, variants: [g]}]\n")
+    configs, rules = review.load_configs(path)
+    assert configs[1]["rrf_k"] == 60 and [r["name"] for r in rules] == ["r", "s"]
+    path.write_text("configs: [{name: d, mode: odd}, {name: d, counterpart: z}]\ndecision_rule: {name: r, kind: guess, candidates: [q], after: x}\n")
+    with pytest.raises(ValueError) as e:
+        review.load_configs(path)
+    assert all(x in str(e.value) for x in ("repeated name", "unknown mode", "unknown counterpart", "unknown kind", "unknown configuration", "isn't before it"))
+    assert review.results_name("t", "abc", True, "", "tune") == "t-abc-dirty-tune.json"
