@@ -424,3 +424,31 @@ ci AS (
     WHERE list_contains(tags, t) AND (list_contains(good, t) OR list_contains(own, t)) GROUP BY 1, 2) GROUP BY 1)
 SELECT x.answer_id, CASE WHEN verification = 'unverified' THEN 'abstained' ELSE told END AS status, verification, coalesce(citations, '') AS citations, len(unsupported)::INTEGER AS n_unsupported
 FROM x LEFT JOIN ci USING (answer_id)"""
+
+# crc32 of a token's bytes, bit by bit
+_BYTES = "list_transform(range(0, length(hex(encode(t))) // 2), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT)"
+SQL["hash_embed"] = f"""
+WITH RECURSIVE {_Q}, tk AS (SELECT question_id, unnest({_code_tokens("coalesce(question, '')")}) AS t FROM q),
+w AS (SELECT t, {_BYTES} AS b FROM (SELECT DISTINCT t FROM tk)),
+crc AS (
+  SELECT t, b, 0 AS i, 0 AS j, 4294967295::BIGINT AS c FROM w
+  UNION ALL
+  SELECT t, b, CASE WHEN j = 7 THEN i + 1 ELSE i END, CASE WHEN j = 7 THEN 0 ELSE j + 1 END,
+    CASE WHEN (CASE WHEN j = 0 THEN xor(c, b[i + 1]) ELSE c END) % 2 = 1 THEN xor((CASE WHEN j = 0 THEN xor(c, b[i + 1]) ELSE c END) // 2, 3988292384) ELSE (CASE WHEN j = 0 THEN xor(c, b[i + 1]) ELSE c END) // 2 END
+  FROM crc WHERE i < len(b)),
+h AS (SELECT t, (xor(c, 4294967295) % 64)::INTEGER AS axis FROM crc WHERE i = len(b)),
+n AS (SELECT question_id, axis, count(*) AS n FROM tk JOIN h USING (t) GROUP BY ALL),
+l AS (SELECT question_id, sqrt(sum(n * n)) AS len FROM n GROUP BY 1)
+SELECT question_id, axis, round(n / len, 9) AS value FROM n JOIN l USING (question_id)
+UNION ALL SELECT question_id, 0, 1e0 FROM q WHERE question_id NOT IN (SELECT question_id FROM n)"""
+
+_N_WORDS = r"len(list_filter(regexp_split_to_array({}, '[\s\x0b]+'), lambda w: w <> ''))"
+SQL["part_plan"] = f"""
+WITH RECURSIVE {_C}, {_HEADER}, x AS (SELECT chunk_no, header, string_split(source, chr(10)) AS ls FROM hd),
+y AS (SELECT chunk_no, greatest(200 - {_N_WORDS.format('header')}, 50) AS budget, list_transform(ls, lambda s: {_N_WORDS.format('s')}) AS sizes FROM x),
+f AS (
+  SELECT chunk_no, budget, sizes, 1 AS i, sizes[1]::BIGINT AS used, 0 AS part_no FROM y
+  UNION ALL
+  SELECT chunk_no, budget, sizes, i + 1, CASE WHEN used + sizes[i + 1] > budget THEN sizes[i + 1] ELSE used + sizes[i + 1] END,
+    CASE WHEN used + sizes[i + 1] > budget THEN part_no + 1 ELSE part_no END FROM f WHERE i < len(sizes))
+SELECT chunk_no, part_no::INTEGER AS part_no, (min(i) - 1)::INTEGER AS first_line, (max(i) - 1)::INTEGER AS last_line FROM f GROUP BY chunk_no, part_no"""

@@ -46,25 +46,26 @@ def index_arrivals(spark: SparkSession, folder: str, store: IndexStore, reposito
 _STATE = "length long, line string, tail string, places string, keep long"
 
 
-def guard_replies(pieces: DataFrame, forget_after: str = "1 hour") -> DataFrame:
+def guard_replies(pieces: DataFrame) -> DataFrame:
     """``answer_id, keep`` once for each reply that loops, from a stream of (answer_id long, seq long, piece
-    string) whose pieces come in order; ``keep`` is the length to keep. A reply is forgotten when no piece of it
-    came for ``forget_after``; of one that loops only that is remembered."""
+    string) whose pieces come in order; ``keep`` is the length to keep. A null piece ends its reply, which is
+    then forgotten; of one that loops only that is remembered until then."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
         s = LoopState()
         if held.exists:
             length, line, tail, places, keep = held.get
             s = LoopState(length, line, tail, json.loads(places), keep if keep >= 0 else None)
-        if s.keep is None:
-            rows = pd.concat(list(frames)).sort_values("seq")
-            if any(s.feed(piece or "") for piece in rows["piece"]):
-                yield pd.DataFrame({"answer_id": [key[0]], "keep": [s.keep]})
-                s = LoopState(keep=s.keep)
-        held.update((s.length, s.line, s.tail, json.dumps(s.places), -1 if s.keep is None else s.keep))
-        held.setTimeoutDuration(forget_after)
+        known = s.keep is not None
+        rows = pd.concat(list(frames)).sort_values("seq")
+        over = bool(rows["piece"].isna().any())
+        if not known and any(s.feed(piece) for piece in rows["piece"].dropna()):
+            yield pd.DataFrame({"answer_id": [key[0]], "keep": [s.keep]})
+            s = LoopState(keep=s.keep)
+        if over:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((s.length, s.line, s.tail, json.dumps(s.places), -1 if s.keep is None else s.keep))
 
-    return pieces.where(F.col("answer_id").isNotNull()).groupBy("answer_id").applyInPandasWithState(step, "answer_id long, keep long", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.where(F.col("answer_id").isNotNull()).groupBy("answer_id").applyInPandasWithState(step, "answer_id long, keep long", _STATE, "append", GroupStateTimeout.NoTimeout)
