@@ -47,12 +47,6 @@ def hits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.dropDuplicates(["question_id", "hit_rank", "chunk_no"])
 
 
-def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single retrievers' lists of the earlier search: question_id, source, item, item_rank."""
-    ranks = hits(spark, sf_dir, "ranks").select("question_id", F.col("chunk_no").alias("item"), F.explode("ranks").alias("source", "item_rank"))
-    return ranks.select("question_id", "source", "item", F.col("item_rank").cast("int").alias("item_rank"))
-
-
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, item of the relevant chunks, found by id within the question's corpus."""
     wanted = questions(spark, sf_dir, "corpus", "relevant").select("question_id", "corpus", F.explode("relevant").alias("chunk_id"))

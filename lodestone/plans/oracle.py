@@ -21,9 +21,6 @@ _A = "a AS (SELECT DISTINCT ON (answer_id) * FROM answers ORDER BY answer_id, lo
 _H = "h AS (SELECT DISTINCT ON (question_id, hit_rank, chunk_no) * FROM hits ORDER BY question_id, hit_rank, chunk_no, searched_at)"
 _R = """r AS (
   SELECT DISTINCT w.question_id, c.chunk_no FROM (SELECT question_id, corpus, unnest(relevant) AS chunk_id FROM q) w JOIN c USING (corpus, chunk_id))"""
-_L = """l AS (
-  SELECT question_id, chunk_no, e.key AS source, e.value AS item_rank FROM (
-    SELECT question_id, chunk_no, unnest(map_entries(ranks)) AS e FROM h))"""
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}_][\p{{L}}\p{{N}}_]*|\p{{Nd}}+')"
 
 
@@ -132,18 +129,23 @@ lists AS (
   UNION ALL SELECT question_id, chunk_no, rk, 1e0, 60 FROM dn WHERE rk <= 50), {_FUSE.format(k='question_id')}
 SELECT question_id, rk::INTEGER AS fused_rank, item AS chunk_no, score FROM fu WHERE rk <= 10"""
 
+# the engine's own lists, and the default's order as ``h``
+_L = f"""{_QT}, {_BM25}, {_DENSE},
+l AS (SELECT question_id, chunk_no, 'bm25' AS source, rk AS item_rank FROM bm WHERE rk <= 200 UNION ALL SELECT question_id, chunk_no, 'dense', rk FROM dn WHERE rk <= 200)"""
+_OWN = f"""{_L}, lists AS (SELECT question_id, chunk_no AS item, item_rank, 1e0 AS weight, 60 AS kk FROM l), {_FUSE.format(k='question_id')},
+h AS (SELECT question_id, item AS chunk_no, rk AS hit_rank FROM fu)"""
 _SWEPT = f"""cf AS (
   SELECT (row_number() OVER () - 1)::INTEGER AS config, kk, ww FROM (SELECT kk, ww FROM (SELECT unnest([5, 10, 20, 60]) AS kk), (SELECT unnest([1e0, 1.5e0, 2e0, 3e0]) AS ww) ORDER BY kk, ww)),
 lists AS (
   SELECT config, question_id, chunk_no AS item, source, min(item_rank) AS item_rank, CASE WHEN source = 'dense' THEN ww ELSE 1e0 END AS weight, kk
   FROM l, cf WHERE source IN ('bm25', 'dense') GROUP BY ALL), {_FUSE.format(k='config, question_id')}"""
-SQL["rrf_weighted_sweep"] = f"WITH {_H}, {_L}, {_SWEPT} SELECT config, question_id, rk::INTEGER AS fused_rank, item AS chunk_no, score FROM fu"
+SQL["rrf_weighted_sweep"] = f"WITH {_C}, {_Q}, {_L}, {_SWEPT} SELECT config, question_id, rk::INTEGER AS fused_rank, item AS chunk_no, score FROM fu"
 SQL["single_mode"] = f"""
-WITH {_H}, {_L}, lists AS (SELECT question_id, chunk_no AS item, min(item_rank) AS item_rank, 1e0 AS weight, 60 AS kk FROM l WHERE source = 'dense' GROUP BY ALL), {_FUSE.format(k='question_id')}
+WITH {_C}, {_Q}, {_L}, lists AS (SELECT question_id, chunk_no AS item, min(item_rank) AS item_rank, 1e0 AS weight, 60 AS kk FROM l WHERE source = 'dense' GROUP BY ALL), {_FUSE.format(k='question_id')}
 SELECT question_id, rk::INTEGER AS fused_rank, item AS chunk_no, score FROM fu"""
 
 SQL["budget_merge"] = f"""
-WITH {_H}, {_L}, b AS (SELECT question_id, chunk_no, item_rank AS br FROM l WHERE source = 'dense' AND item_rank <= 10),
+WITH {_C}, {_Q}, {_OWN}, b AS (SELECT question_id, chunk_no, item_rank AS br FROM l WHERE source = 'dense' AND item_rank <= 10),
 e AS (SELECT coalesce(h.question_id, b.question_id) AS question_id, coalesce(h.chunk_no, b.chunk_no) AS chunk_no, hit_rank, br, coalesce(br <= 3, false) AS kept
   FROM h FULL JOIN b ON h.question_id = b.question_id AND h.chunk_no = b.chunk_no),
 f AS (SELECT *, sum((br IS NULL)::INT) OVER (PARTITION BY question_id, kept ORDER BY hit_rank, chunk_no ROWS UNBOUNDED PRECEDING) AS n_out,
@@ -154,7 +156,7 @@ z AS (SELECT *, CASE WHEN kept THEN 0 WHEN adm AND place <= 10 - n_kept THEN 1 E
 SELECT question_id, chunk_no, row_number() OVER (PARTITION BY question_id ORDER BY zone, CASE WHEN zone = 0 THEN br ELSE hit_rank END, chunk_no)::INTEGER AS final_rank FROM z"""
 
 SQL["dense_relevance"] = f"""
-WITH {_H}, s AS (SELECT question_id, chunk_no, raw_scores['dense'] AS x FROM h),
+WITH {_C}, {_Q}, {_DENSE}, s AS (SELECT question_id, chunk_no, cosine AS x FROM dn WHERE rk <= 200),
 m AS (SELECT *, max(x) OVER (PARTITION BY question_id) AS best FROM s WHERE x IS NOT NULL AND NOT isnan(x))
 SELECT question_id, chunk_no, round(CASE WHEN best > 0 THEN least(greatest(x / best, 0e0), 1e0) ELSE 0e0 END, 6) AS relevance FROM m"""
 
@@ -271,9 +273,9 @@ _METRICS = """m AS (
   SELECT r.question_id, min(hr) AS first_rank, count(*) AS n, count(*) FILTER (WHERE hr <= 10) AS n10 FROM r LEFT JOIN (
     SELECT question_id, chunk_no, min(hit_rank) AS hr FROM h WHERE hit_rank <= 50 GROUP BY ALL) x ON x.question_id = r.question_id AND x.chunk_no = r.chunk_no GROUP BY 1),
 s AS (SELECT question_id, first_rank, coalesce(first_rank = 1, false) AS hit1, coalesce(first_rank <= 5, false) AS hit5, coalesce(1e0 / first_rank, 0e0) AS rr, n10::DOUBLE / n AS recall10 FROM m)"""
-SQL["retrieval_metrics"] = f"WITH {_C}, {_Q}, {_R}, {_H}, {_METRICS} SELECT question_id, first_rank::DOUBLE AS first_rank, hit1, hit5, round(rr, 6) AS rr, round(recall10, 6) AS recall10 FROM s"
+SQL["retrieval_metrics"] = f"WITH {_C}, {_Q}, {_R}, {_OWN}, {_METRICS} SELECT question_id, first_rank::DOUBLE AS first_rank, hit1, hit5, round(rr, 6) AS rr, round(recall10, 6) AS recall10 FROM s"
 SQL["metrics_grouping_sets"] = f"""
-WITH {_C}, {_Q}, {_R}, {_H}, {_METRICS}
+WITH {_C}, {_Q}, {_R}, {_OWN}, {_METRICS}
 SELECT qtype, split, grouping(qtype)::INTEGER AS all_qtype, grouping(split)::INTEGER AS all_split, count(*) AS n, round(avg(hit1::INT), 6) AS hit_at_1, round(avg(hit5::INT), 6) AS hit_at_5,
   round(avg(rr), 6) AS mrr_at_50, round(avg(recall10), 6) AS recall_at_10
 FROM s JOIN q USING (question_id) GROUP BY GROUPING SETS ((), (qtype), (split), (split, qtype))"""
@@ -287,14 +289,14 @@ _PAIRED = """one AS (
   LEFT JOIN l ON l.question_id = r.question_id AND l.chunk_no = r.chunk_no AND l.source = v.src GROUP BY ALL),
 pr AS (SELECT b.question_id, q.qtype, b.fr AS mine, d.fr AS theirs FROM one b JOIN one d ON b.question_id = d.question_id AND b.src = 'bm25' AND d.src = 'dense' JOIN q ON q.question_id = b.question_id)"""
 SQL["paired_wlt"] = f"""
-WITH {_C}, {_Q}, {_R}, {_H}, {_L}, {_PAIRED}
+WITH {_C}, {_Q}, {_R}, {_L}, {_PAIRED}
 SELECT qtype, grouping(qtype)::INTEGER AS overall, count(*) FILTER (WHERE coalesce(mine, 2147483647) < coalesce(theirs, 2147483647)) AS wins,
   count(*) FILTER (WHERE coalesce(mine, 2147483647) > coalesce(theirs, 2147483647)) AS losses, count(*) FILTER (WHERE mine IS NOT DISTINCT FROM theirs) AS ties,
   coalesce(string_agg(question_id::VARCHAR, ',' ORDER BY question_id) FILTER (WHERE theirs <= 3 AND (mine IS NULL OR mine > theirs)), '') AS top3_losses
 FROM pr GROUP BY GROUPING SETS ((qtype), ())"""
 
 SQL["decision_select"] = f"""
-WITH {_C}, {_Q}, {_R}, {_H}, {_L}, {_SWEPT}, {_PAIRED},
+WITH {_C}, {_Q}, {_R}, {_L}, {_SWEPT}, {_PAIRED},
 mine AS (
   SELECT cf.config, r.question_id, min(rk) FILTER (WHERE rk <= 50) AS first_rank FROM r CROSS JOIN cf LEFT JOIN fu ON fu.config = cf.config AND fu.question_id = r.question_id AND fu.item = r.chunk_no GROUP BY ALL),
 k AS (
@@ -316,7 +318,7 @@ WITH {_C}, {_Q}, {_R}, {_H}, {_A}, {_ST}, x AS (SELECT DISTINCT question_id FROM
 SELECT corpus, x.question_id IS NOT NULL AS in_context, count(*) AS replies, count(*) FILTER (WHERE status = 'abstained') AS abstained, count(*) FILTER (WHERE status = 'mixed') AS mixed
 FROM st LEFT JOIN x ON x.question_id = st.question_id GROUP BY ALL"""
 SQL["context_diff"] = f"""
-WITH {_H}, {_L}, s AS (SELECT question_id, string_agg(chunk_no::VARCHAR, ',' ORDER BY item_rank, chunk_no) FILTER (WHERE source = 'bm25') AS bm25,
+WITH {_C}, {_Q}, {_L}, s AS (SELECT question_id, string_agg(chunk_no::VARCHAR, ',' ORDER BY item_rank, chunk_no) FILTER (WHERE source = 'bm25') AS bm25,
   string_agg(chunk_no::VARCHAR, ',' ORDER BY item_rank, chunk_no) FILTER (WHERE source = 'dense') AS dense FROM l WHERE item_rank <= 8 AND source IN ('bm25', 'dense') GROUP BY 1)
 SELECT question_id, bm25, dense FROM s WHERE bm25 IS DISTINCT FROM dense"""
 SQL["graded_regressions"] = f"""

@@ -183,14 +183,35 @@ def _rrf_fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     return top.select(F.col("qid").alias("question_id"), "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
+def _lists(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    """question_id, source, item, item_rank: the engine's own lists, of 200 places, which configurations fuse."""
+    out = None
+    for source in sources or ("bm25", "dense"):
+        if source == "bm25":
+            found = lexical.bm25(base.token_table(spark, sf_dir, False), _asked(spark, sf_dir, False), LIST_DEPTH).withColumnRenamed("bm25_rank", "item_rank")
+        else:
+            found = _dense(spark, sf_dir, LIST_DEPTH).withColumnRenamed("dense_rank", "item_rank")
+        one = found.select(F.col("qid").alias("question_id"), F.lit(source).alias("source"), F.col("doc").alias("item"), "item_rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, item, item_rank of the default configuration, both lists fused."""
+    fused = fusion.fuse(_lists(spark, sf_dir).withColumn("weight", F.lit(1.0)), ["question_id"])
+    return fused.select("question_id", "item", F.col("fused_rank").alias("item_rank"))
+
+
+#: Places of a list that configurations are fused from.
+LIST_DEPTH = 200
 #: The grid that fusion is swept over.
 SWEEP = [(k, w) for k in (5, 10, 20, 60) for w in (1.0, 1.5, 2.0, 3.0)]
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier search's lists, read once and fused by each configuration."""
+    """The engine's lists, made once and fused by each configuration."""
     configs = spark.createDataFrame([(i, k, w) for i, (k, w) in enumerate(SWEEP)], "config int, rrf_k int, dense_weight double")
-    lists = base.ranked_lists(spark, sf_dir).where(F.col("source").isin("bm25", "dense"))
+    lists = durable(_lists(spark, sf_dir))
     each = lists.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(SWEEP))]))).join(F.broadcast(configs), "config")
     weight = F.when(F.col("source") == "dense", F.col("dense_weight")).otherwise(1.0)
     return fusion.fuse(each.withColumn("weight", weight), ["config", "rrf_k", "question_id"], "rrf_k")
@@ -205,23 +226,23 @@ def rrf_weighted_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def single_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One list alone keeps its order; its scores are 1 / (60 + rank)."""
-    one = base.ranked_lists(spark, sf_dir).where("source = 'dense'").withColumn("weight", F.lit(1.0))
+    one = _lists(spark, sf_dir, "dense").withColumn("weight", F.lit(1.0))
     rows = fusion.fuse(one, ["question_id"])
     return rows.select("question_id", "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
 @query
 def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier search's final order, bounded by what its dense list allows."""
-    lists = base.ranked_lists(spark, sf_dir).where("source = 'dense'").select("question_id", "item", "item_rank")
-    final = base.hits(spark, sf_dir).select("question_id", F.col("chunk_no").alias("item"), F.col("hit_rank").alias("item_rank"))
-    return fusion.apply_budget(lists, final, ["question_id"]).withColumnRenamed("item", "chunk_no")
+    """The fused order, bounded by what the dense list allows."""
+    lists = _lists(spark, sf_dir, "dense").select("question_id", "item", "item_rank")
+    return fusion.apply_budget(lists, _own(spark, sf_dir), ["question_id"]).withColumnRenamed("item", "chunk_no")
 
 
 @query
 def dense_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = base.hits(spark, sf_dir, "raw_scores").select("question_id", "chunk_no", F.col("raw_scores")["dense"].alias("cosine"))
-    rows = graph.relative_relevance(scores.where("cosine is not null and not isnan(cosine)"), ["question_id"], "cosine")
+    """Cosines of the 200 nearest chunks of each question over the best one's."""
+    scores = _dense(spark, sf_dir, LIST_DEPTH).select(F.col("qid").alias("question_id"), F.col("doc").alias("chunk_no"), "cosine")
+    rows = graph.relative_relevance(scores, ["question_id"], "cosine")
     return rows.select("question_id", "chunk_no", F.round("relevance", 6).alias("relevance"))
 
 
@@ -468,8 +489,7 @@ def question_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = base.hits(spark, sf_dir).select("question_id", F.col("chunk_no").alias("item"), F.col("hit_rank").alias("item_rank"))
-    return evaluation.per_question(ranked, base.qrels(spark, sf_dir), ["question_id"])
+    return evaluation.per_question(_own(spark, sf_dir), base.qrels(spark, sf_dir), ["question_id"])
 
 
 @query
@@ -496,7 +516,7 @@ def containment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _single(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    lists = base.ranked_lists(spark, sf_dir).where(F.col("source") == source)
+    lists = _lists(spark, sf_dir, source)
     rows = evaluation.per_question(lists, base.qrels(spark, sf_dir), ["question_id"])
     return rows.join(base.questions(spark, sf_dir, "qtype"), "question_id")
 
@@ -560,7 +580,7 @@ def context_relative_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose first eight chunks differ between the lexical and the dense list."""
-    lists = base.ranked_lists(spark, sf_dir).where("item_rank <= 8")
+    lists = _lists(spark, sf_dir).where("item_rank <= 8")
     side = lambda s: lists.where(F.col("source") == s).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_rank", "item"))), lambda r: r["item"].cast("string")), ",").alias(s))
     both = side("bm25").join(side("dense"), "question_id", "full")
     return both.where(~F.col("bm25").eqNullSafe(F.col("dense")))
