@@ -20,6 +20,17 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     return picked.select(*keys, "row.*")
 
 
+def newest(df: DataFrame, key: str, by: str) -> DataFrame:
+    """``latest`` by one key for wide rows: rows of keys that come once stay where they are."""
+    several = durable(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    n = several.count()
+    if n > FEW:
+        return latest(df, [key], by)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    once = df.join(F.broadcast(several), same, "left_anti")
+    return once.unionByName(latest(df.join(F.broadcast(several), same, "left_semi"), [key], by)) if n else df
+
+
 def current(df: DataFrame, key: str, by: str) -> DataFrame:
     """``df`` without the rows of which a later version, by ``by`` (nulls first), has the same ``key``. Equal
     versions all stay. Wide columns aren't moved: only the keys are counted, and those of several versions

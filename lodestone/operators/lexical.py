@@ -1,22 +1,37 @@
 """BM25 over a token table.
 
 Documents and queries belong to a ``part`` (a corpus); sizes, frequencies and ranks are those of the part.
-Only tokens that some query asks for are ever shuffled; document lengths are taken before that, so they
-count all tokens, and documents without tokens count too.
+Only tokens that some query asks for ever leave their document, as numbers packed in one row a document;
+document lengths are taken before that, so they count all tokens, and documents without tokens count too.
+Pairs of a query and a document are never moved: documents and queries meet in tiles of a part, and a tile
+returns the best documents of each query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import batch
 from ..functions.stem import added_stems
 from ..functions.text import QUERY_STOPWORDS, identifier_parts, identifier_tokens, idf, looks_like_identifier, query_words
+from ..functions.words import ASCII_WORD, counted, found_words, word_tokens
 from ..session import durable
 
 K1, B = 1.5, 0.75
-#: Tokens of queries that may be broadcast (about 20 MB); more are joined by a shuffle.
+#: Tokens of queries that go to every task at once (about 20 MB); more take one pass over the documents a block.
 FEW_TOKENS = 500_000
+#: Documents and queries of a tile.
+TILE_DOCUMENTS, TILE_QUERIES = 65_536, 2_048
+#: More than rounding to 6 digits can move a score.
+SLACK = 2e-6
+#: Words that a worker remembers.
+KNOWN_WORDS = 200_000
 
 
 def query_tokens(queries: DataFrame, symbols: DataFrame | None = None, stem: bool = False) -> DataFrame:
@@ -38,26 +53,145 @@ def query_tokens(queries: DataFrame, symbols: DataFrame | None = None, stem: boo
     return tokens.groupBy("part", "qid", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """``part, qid, doc, score, bm25_rank``: the ``n`` best documents (part, doc, tokens) of each query
-    (part, qid, token, qtf), of those with a common token. Scores are rounded to 6 digits before they are
-    ranked; ties go to the smaller ``doc``."""
-    sized = documents.withColumn("dl", F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)))
-    wanted = durable(queries.select("part", "token").distinct().withColumn("wanted", F.lit(True)))
-    few = F.broadcast(wanted) if wanted.count() <= FEW_TOKENS else wanted
-    # tokens are made once: a null one stands for the document itself, others stay only if a query asks for them
-    each = sized.select("part", "doc", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("tokens", F.array().cast("array<string>")))).alias("token"))
-    kept = each.join(few, ["part", "token"], "left").where("token is null or wanted")
-    counted = durable(kept.groupBy("part", "token", "doc", "dl").agg(F.count("*").alias("tf")))
-    stats = counted.where("token is null").groupBy("part").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    tf = counted.where("token is not null")
-    df = tf.groupBy("part", "token").agg(F.count("*").alias("df"))
-    weighted = queries.join(df, ["part", "token"]).join(stats, "part")
-    weighted = weighted.select("part", "token", "qid", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("w"), "avgdl")
-    length = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    part = F.col("w") * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + length)
-    scores = tf.join(weighted, ["part", "token"]).groupBy("part", "qid", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("part", "qid").orderBy(F.desc("score"), "doc")
-    return scores.where("score > 0").withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= n)
+def _postings(wanted: dict[str, dict[str, int]], stem: bool):
+    """The wanted tokens of each document, as the numbers of its part with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict] = {}
+        cut = lambda w: word_tokens(w, stem)
+        for b in batches:
+            if sum(map(len, known.values())) > KNOWN_WORDS:
+                known.clear()
+            dl, ids, tfs = [], [], []
+            for part, text, words, tokens in zip(*(c.to_pylist() for c in (b.column(0), *b.columns[2:]))):
+                own = known.setdefault(part, {})
+                if tokens is not None:
+                    n, found = counted(tokens, own, wanted.get(part, {}), lambda t: [t])
+                else:
+                    n, found = counted(ASCII_WORD.findall(text) if text is not None else words, own, wanted.get(part, {}), cut)
+                dl.append(n)
+                ids.append(np.fromiter(found.keys(), np.int32, len(found)).tobytes())
+                tfs.append(np.fromiter(found.values(), np.int32, len(found)).tobytes())
+            yield batch(("part", "doc", "dl", "ids", "tfs"), (b.column(0), b.column(1), pa.array(dl, pa.int32()), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())))
+
+    return run
+
+
+def _ints(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.int32), np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each number; under number -1 all documents (of the first block), with the sum of
+    their lengths."""
+    for b in batches:
+        names = b.column(0).dictionary_encode()
+        parts, codes = names.dictionary, names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, n = _ints(b.column(2))
+        pairs, held = np.unique(np.repeat(codes, n) << 32 | ids, return_counts=True)
+        first = b.column(3).to_numpy(zero_copy_only=False) == 0
+        docs = np.bincount(codes[first], minlength=len(parts))
+        total = np.bincount(codes[first], b.column(1).to_numpy(zero_copy_only=False)[first], len(parts)).astype(np.int64)
+        code = np.concatenate([pairs >> 32, np.arange(len(parts))])
+        ids = np.concatenate([pairs & 0xFFFFFFFF, np.full(len(parts), -1)]).astype(np.int32)
+        total = np.concatenate([np.zeros(len(pairs), np.int64), total])
+        yield batch(("part", "id", "n", "total"), (parts.take(pa.array(code)), pa.array(ids), pa.array(np.concatenate([held, docs])), pa.array(total)))
+
 
+def _tile(n: int):
+    """The documents of a tile that may be among the ``n`` best of each of its queries, with their sums."""
 
+    def run(key: tuple, docs: pa.Table, queries: pa.Table) -> pa.Table:
+        met = docs.column("doc").combine_chunks().dictionary_encode("encode")
+        code, size = met.indices.to_numpy(zero_copy_only=False), len(met.dictionary)
+        ids, each = _ints(docs.column("ids"))
+        tf = _ints(docs.column("tfs"))[0].astype(np.float64)
+        at = np.repeat(code, each)
+        if len(queries) and len(docs):
+            length = K1 * ((1.0 - B) + B * docs.column("dl").to_numpy() / queries.column("avgdl")[0].as_py())
+            below = tf + np.repeat(length, each)
+            order = np.argsort(ids, kind="stable")
+            ids, at, tf, below = ids[order], at[order], tf[order], below[order]
+        asked = queries.column("qid").combine_chunks().dictionary_encode("encode")
+        of = asked.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(of, kind="stable")
+        of, token, weight = of[order], queries.column("id").to_numpy()[order], queries.column("w").to_numpy()[order]
+        lo, hi = np.searchsorted(ids, token, "left"), np.searchsorted(ids, token, "right")
+        starts = np.searchsorted(of, np.arange(len(asked.dictionary) + 1))
+        sums = np.zeros(size)
+        out_q, out_d, out_s = [], [], []
+        for q in range(len(asked.dictionary)):
+            sums[:] = 0.0
+            for j in range(starts[q], starts[q + 1]):
+                span = slice(lo[j], hi[j])
+                sums[at[span]] += weight[j] * tf[span] * (K1 + 1.0) / below[span]
+            best = np.flatnonzero(sums)
+            score = sums[best]
+            if len(best) > n:
+                keep = score >= np.partition(score, -n)[-n] - SLACK
+                best, score = best[keep], score[keep]
+            out_q.append(np.full(len(best), q))
+            out_d.append(best)
+            out_s.append(score)
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        q, d, s = join(out_q, np.int64), join(out_d, np.int64), join(out_s, np.float64)
+        return pa.table({"part": pa.array([key[0].as_py()] * len(q), pa.string()), "qid": asked.dictionary.take(pa.array(q)), "doc": met.dictionary.take(pa.array(d)), "score": pa.array(s)})
+
+    return run
+
+
+def _pieces(many: dict[str, int]) -> Column:
+    """Pieces of a part by its name, where it has more than one."""
+    if not many:
+        return F.lit(1)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("part")), F.lit(1))
+
+
+def _pieces(sizes: dict[str, int], most: int) -> Column:
+    """Pieces of a part by its name, of at most about ``most`` each."""
+    many = [F.lit(x) for part, n in sizes.items() if n > most for x in (part, math.ceil(n / most))]
+    return F.coalesce(F.element_at(F.create_map(*many), F.col("part")), F.lit(1)) if many else F.lit(1)
+
+
+def bm25(documents: DataFrame, queries: DataFrame, n: int, stem: bool = False) -> DataFrame:
+    """``part, qid, doc, score, bm25_rank``: the ``n`` best documents of each query (part, qid, token, qtf), of
+    those with a common token. ``documents`` has part (string), doc, and tokens, or a text that is cut into code
+    tokens here, with the stems of their parts with ``stem``; each doc comes once. Scores are rounded to 6
+    digits before they are ranked; ties go to the smaller ``doc``."""
+    queries = durable(queries.where("part is not null and token is not null"))
+    numbered = durable(queries.select("part", "token").distinct().withColumn("id", F.row_number().over(Window.partitionBy("part").orderBy("token"))))
+    if "text" in documents.columns:
+        text, words = found_words(F.col("text"))
+        tokens = F.lit(None).cast("array<string>")
+    else:
+        text, words, tokens = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.coalesce("tokens", F.array().cast("array<string>"))
+    rows = documents.where("part is not null").select("part", "doc", text.alias("text"), words.alias("words"), tokens.alias("tokens"))
+    doc, qid = rows.schema["doc"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    blocks, held = max(1, math.ceil(numbered.count() / FEW_TOKENS)), None
+    for i in range(blocks):
+        found = numbered.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == i).toArrow().to_pydict()
+        wanted: dict[str, dict[str, int]] = {}
+        for part, token, number in zip(found["part"], found["token"], found["id"]):
+            wanted.setdefault(part, {})[token] = number
+        one = rows.mapInArrow(_postings(wanted, stem), f"part string, doc {doc}, dl int, ids binary, tfs binary").withColumn("block", F.lit(i))
+        held = one if held is None else held.unionByName(one)
+    held = durable(held)
+    counts = durable(held.select("part", "dl", "ids", "block").mapInArrow(_frequencies, "part string, id int, n long, total long").groupBy("part", "id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    stats = counts.where("id = -1").select("part", F.col("n").alias("docs"), (F.col("total") / F.col("n")).alias("avgdl"))
+    df = counts.where("id > 0").select("part", "id", F.col("n").alias("df"))
+    weighted = queries.join(numbered, ["part", "token"]).join(df, ["part", "id"]).join(stats, "part")
+    weighted = weighted.select("part", "qid", "id", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("w"), "avgdl")
+    slices = _pieces({r.part: r.docs for r in stats.where(F.col("docs") > TILE_DOCUMENTS).collect()}, TILE_DOCUMENTS)
+    asked = queries.groupBy("part").agg(F.count_distinct("qid").alias("n")).where(F.col("n") > TILE_QUERIES)
+    parcels = _pieces({r.part: r.n for r in asked.collect()}, TILE_QUERIES)
+    piece = lambda key, many: F.pmod(F.xxhash64(key), many)
+    each = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
+    left = held.where(F.length("ids") > 0).select("part", "doc", "dl", "ids", "tfs", piece("doc", slices).cast("int").alias("slice"), each(parcels).alias("parcel"))
+    right = weighted.select("part", "qid", "id", "w", "avgdl", piece("qid", parcels).cast("int").alias("parcel"), each(slices).alias("slice"))
+    tile = ["part", "slice", "parcel"]
+    scores = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_tile(n), f"part string, qid {qid}, doc {doc}, score double")
+    scores = scores.withColumn("score", F.round("score", 6)).where("score > 0")
+    order = Window.partitionBy("part", "qid").orderBy(F.desc("score"), "doc")
+    return scores.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= n)

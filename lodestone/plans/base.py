@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import added_stems
 from ..functions.text import code_parts, code_tokens, embedding_header
-from ..operators.latest import latest
+from ..operators.latest import latest, newest
 from ..sources.tables import load
 
 
@@ -61,6 +61,14 @@ def token_table(spark: SparkSession, sf_dir: str, stem: bool = True) -> DataFram
     return rows.select(F.col("corpus").alias("part"), F.col("chunk_no").alias("doc"), (F.concat(code_tokens(text), added_stems(code_parts(text))) if stem else code_tokens(text)).alias("tokens"))
 
 
+def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, doc, text of every chunk: what ``token_table`` cuts into tokens."""
+    columns = ["chunk_no", "corpus", "path", "parent", "symbol", "source", "indexed_at"]
+    rows = newest(load(spark, sf_dir, "chunks", *columns), "chunk_no", "indexed_at")
+    text = F.concat_ws(" ", "path", qualname(F.col("parent"), F.col("symbol")), F.coalesce("source", F.lit("")))
+    return rows.select(F.col("corpus").alias("part"), F.col("chunk_no").alias("doc"), text.alias("text"))
+
+
 def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir, "corpus", "symbol", "kind").where("kind <> 'module' and symbol is not null")
     return rows.select(F.col("corpus").alias("part"), F.lower("symbol").alias("name")).distinct()

@@ -119,7 +119,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_topk(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
-    found = lexical.bm25(base.token_table(spark, sf_dir, stem), _asked(spark, sf_dir, stem), 10)
+    found = lexical.bm25(base.text_table(spark, sf_dir), _asked(spark, sf_dir, stem), 10, stem)
     return found.select(F.col("qid").alias("question_id"), "bm25_rank", F.col("doc").alias("chunk_no"), "score")
 
 
@@ -164,7 +164,7 @@ def dense_part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
-    lex = lexical.bm25(base.token_table(spark, sf_dir, stem), _asked(spark, sf_dir, stem), 50)
+    lex = lexical.bm25(base.text_table(spark, sf_dir), _asked(spark, sf_dir, stem), 50, stem)
     sem = _dense(spark, sf_dir, 50)
     lists = lex.select("qid", F.lit("bm25").alias("source"), F.col("doc").alias("item"), F.col("bm25_rank").alias("item_rank")).unionByName(
         sem.select("qid", F.lit("dense").alias("source"), F.col("doc").alias("item"), F.col("dense_rank").alias("item_rank"))
@@ -188,7 +188,7 @@ def _lists(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
     out = None
     for source in sources or ("bm25", "dense"):
         if source == "bm25":
-            found = lexical.bm25(base.token_table(spark, sf_dir, False), _asked(spark, sf_dir, False), LIST_DEPTH).withColumnRenamed("bm25_rank", "item_rank")
+            found = lexical.bm25(base.text_table(spark, sf_dir), _asked(spark, sf_dir, False), LIST_DEPTH).withColumnRenamed("bm25_rank", "item_rank")
         else:
             found = _dense(spark, sf_dir, LIST_DEPTH).withColumnRenamed("dense_rank", "item_rank")
         one = found.select(F.col("qid").alias("question_id"), F.lit(source).alias("source"), F.col("doc").alias("item"), "item_rank")
