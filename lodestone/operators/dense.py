@@ -1,21 +1,22 @@
-"""Exact dense retrieval: blocks of queries go to the vectors, which are never moved."""
+"""Exact dense retrieval: queries and vectors of a part meet in tiles."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import batch
 from ..functions.text import normalised
 from ..session import durable
+from .tiles import DOCUMENTS, QUERIES, tiles
 
-#: Numbers of the queries that go to every task at once: 32 MB.
+#: Scores that a task holds at once: 32 MB.
 BLOCK_NUMBERS = 4_000_000
+#: Vectors and queries of a tile.
+TILE_VECTORS, TILE_QUERIES = DOCUMENTS, QUERIES
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -24,35 +25,37 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _score(asked: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
-    """The ``k`` best documents of each query among the vectors of one batch, by their best part in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.column(0).dictionary_encode()
-            words, codes = names.dictionary.to_pylist(), names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            docs, no = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            vectors = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for code in np.unique(codes):
-                part = words[code] if code >= 0 else None
-                if part not in asked:
-                    continue
-                mine = np.nonzero(codes == code)[0]
-                # by document, then part: the first of equal scores is the smaller part
-                mine = mine[np.lexsort((no[mine], docs[mine]))]
-                own, starts = np.unique(docs[mine], return_index=True)
-                qids, q = asked[part]
-                for lo in range(0, len(qids), 512):
-                    scores = np.round(q[lo : lo + 512] @ vectors[mine].T, 5) + 0.0
-                    best = np.maximum.reduceat(scores, starts, axis=1)
-                    keep = best >= np.partition(best, -k, axis=1)[:, -k][:, None] if k < best.shape[1] else np.ones_like(best, bool)
-                    row, col = np.nonzero(keep)
-                    ends = np.append(starts[1:], len(mine))
-                    at = np.array([starts[c] + int(np.argmax(scores[r, starts[c] : ends[c]])) for r, c in zip(row, col)], np.int64)
-                    yield batch(
-                        ("part", "qid", "doc", "part_no", "cosine"),
-                        (pa.array([part] * len(row), pa.string()), pa.array(qids[lo + row]), pa.array(own[col]), pa.array(no[mine][at]), pa.array(best[row, col])),
-                    )
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, at length 1."""
+    rows = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def _tile(k: int):
+    """The ``k`` best documents of a tile for each of its queries, by their best part."""
+
+    def run(key: tuple, parts: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(parts) and len(asked):
+            docs, no = parts.column("doc").to_numpy(), parts.column("part_no").to_numpy()
+            # by document, then part: the first of equal scores is the smaller part
+            order = np.lexsort((no, docs))
+            docs, no, vectors = docs[order], no[order], _unit(parts.column("vector"))[order]
+            own, starts = np.unique(docs, return_index=True)
+            ends = np.append(starts[1:], len(docs))
+            qids, q = asked.column("qid").to_numpy(), _unit(asked.column("vector"))
+            step = max(1, BLOCK_NUMBERS // len(docs))
+            for lo in range(0, len(qids), step):
+                scores = np.round(q[lo : lo + step] @ vectors.T, 5) + 0.0
+                best = np.maximum.reduceat(scores, starts, axis=1)
+                keep = best >= np.partition(best, -k, axis=1)[:, -k][:, None] if k < best.shape[1] else np.ones_like(best, bool)
+                row, col = np.nonzero(keep)
+                at, top = starts[col], best[row, col]
+                for _ in range(int((ends - starts).max()) - 1):
+                    at = np.where(scores[row, at] == top, at, at + 1)
+                found.append((qids[lo + row], own[col], no[at], top))
+        qid, doc, part_no, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.float64))
+        return pa.table({"part": pa.array([key[0].as_py()] * len(qid), pa.string()), "qid": qid, "doc": doc, "part_no": part_no, "cosine": cosine})
 
     return run
 
@@ -67,27 +70,15 @@ def dense(parts: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     vector, all vectors usable. Cosines are rounded to 5 digits before they are ranked; among a document's
     vectors ties go to the smaller number, among documents to the smaller ``doc``.
 
-    Queries are sent to all tasks in blocks of at most ``BLOCK_NUMBERS`` numbers, one pass over the vectors a
-    block; what is shuffled are the best ``n`` of each batch. A document whose vectors lie in two batches is
-    settled after that.
+    Vectors are moved once to the tiles of their part, all of a document to the same; what is shuffled then
+    are the best ``n`` of each tile.
     """
-    held = parts.select("part", F.col("doc").cast("long").alias("doc"), F.col("part_no").cast("int").alias("part_no"), normalised(F.col("vector")).alias("vector"))
-    asked = durable(_asked(queries))
-    size = asked.agg(F.sum(F.size("vector"))).head()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_NUMBERS))
-    met = None
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow().to_pydict()
-        by_part: dict[str, list[int]] = {}
-        for j, part in enumerate(rows["part"]):
-            by_part.setdefault(part, []).append(j)
-        held_queries = {p: (np.array([rows["qid"][j] for j in js], np.int64), np.array([rows["vector"][j] for j in js])) for p, js in by_part.items()}
-        found = held.mapInArrow(_score(held_queries, n), "part string, qid long, doc long, part_no int, cosine double")
-        met = found if met is None else met.unionByName(found)
-    best = met.groupBy("part", "qid", "doc").agg(F.max(F.struct("cosine", (-F.col("part_no")).alias("no"))).alias("b"))
+    held = durable(parts.where("part is not null").select("part", F.col("doc").cast("long").alias("doc"), F.col("part_no").cast("int").alias("part_no"), "vector"))
+    asked = durable(queries.where("part is not null").select("part", F.col("qid").cast("long").alias("qid"), "vector"))
+    met = tiles(held, asked, held.groupBy("part").agg(F.count("*").alias("n")), asked.groupBy("part").agg(F.count("*").alias("n")), (TILE_VECTORS, TILE_QUERIES))
+    best = met.applyInArrow(_tile(n), "part string, qid long, doc long, part_no int, cosine double")
     order = Window.partitionBy("part", "qid").orderBy(F.desc("cosine"), "doc")
-    rows = best.select("part", "qid", "doc", (-F.col("b.no")).alias("part_no"), F.col("b.cosine").alias("cosine"))
-    return rows.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= n)
+    return best.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= n)
 
 
 def relevance(parts: DataFrame, queries: DataFrame, key: str = "qid") -> Callable[[DataFrame], DataFrame]:

@@ -9,28 +9,50 @@ RRF_K = 60
 PROTECTED, WINDOW, BUDGET = 3, 10, 3
 
 
-def fuse(lists: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
+def fuse(lists: DataFrame, keys: list[str], k: int = RRF_K, unique: bool = False, of: str = "") -> DataFrame:
     """``keys, item, score, best_rank, ranks, fused_rank`` of ranked ``lists`` (keys, source, item,
     item_rank, weight): the sum of weight / (k + rank). An item that comes twice in a list counts with its
-    best rank. Ties go to the better single rank, then to the smaller item. ``k`` may be a column of
-    ``keys`` by name."""
+    best rank; with ``unique`` none does. Ties go to the better single rank, then to the smaller item. ``k``
+    may be a column of ``keys`` by name. ``of`` is a source whose rank becomes the column ``of_rank``. Lists
+    that are partitioned by ``keys`` aren't shuffled."""
     base = F.col(k) if isinstance(k, str) else F.lit(k)
-    once = lists.groupBy(*keys, "source", "item").agg(F.min("item_rank").alias("item_rank"), F.first("weight").alias("weight"))
+    once = lists if unique else lists.groupBy(*keys, "source", "item").agg(F.min("item_rank").alias("item_rank"), F.first("weight").alias("weight"))
     scored = once.groupBy(*keys, "item").agg(
         F.round(F.sum(F.col("weight").cast("double") / (base + F.col("item_rank"))), 9).alias("score"),
         F.min("item_rank").alias("best_rank"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "item_rank")))).alias("ranks"),
+        *([F.min(F.when(F.col("source") == of, F.col("item_rank"))).alias("of_rank")] if of else []),
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "best_rank", "item")
     return scored.withColumn("fused_rank", F.row_number().over(order))
 
 
+def sweep(lists: DataFrame, key: str, configs: list[tuple[int, float]], of: str, also: list[str] = []) -> DataFrame:
+    """``config, key, item, score, fused_rank`` of ``fuse`` for each of ``configs`` (k, weight of the source
+    ``of``) by its number; the other source weighs 1. ``lists`` has key, source, item, item_rank, each item
+    once a list, and columns ``also`` of the item. An item's ranks are gathered once for all configurations."""
+    rank = lambda mine: F.min(F.when((F.col("source") == of) == mine, F.col("item_rank")))
+    both = lists.groupBy(key, "item").agg(rank(F.lit(True)).alias("a"), rank(F.lit(False)).alias("b"), *[F.max(c).alias(c) for c in also])
+    grid = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for i, (k, w) in enumerate(configs)])
+    each = both.withColumn("c", F.explode(grid))
+    term = lambda weight, r: F.coalesce(weight / (F.col("c.k") + F.col(r)), F.lit(0.0))
+    scored = each.select("c.config", key, "item", *also, F.least("a", "b").alias("best_rank"), F.round(term(F.col("c.w"), "a") + term(F.lit(1.0), "b"), 9).alias("score"))
+    order = Window.partitionBy("config", key).orderBy(F.desc("score"), "best_rank", "item")
+    return scored.withColumn("fused_rank", F.row_number().over(order))
+
+
 def apply_budget(base: DataFrame, expanded: DataFrame, keys: list[str], protected: int = PROTECTED, window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
     """``keys, item, final_rank``: the expanded order (keys, item, item_rank), except that the first
     ``protected`` items of ``base`` stay first and that at most ``budget`` items from outside its first
     ``window`` come into the window; the rest follows in expanded order and nothing is lost."""
     b = base.where(F.col("item_rank") <= window).select(*keys, "item", F.col("item_rank").alias("base_rank"))
-    rows = expanded.join(b, [*keys, "item"], "full").withColumn("kept", F.coalesce(F.col("base_rank") <= protected, F.lit(False)))
+    return budgeted(expanded.join(b, [*keys, "item"], "full"), keys, protected, window, budget)
+
+
+def budgeted(rows: DataFrame, keys: list[str], protected: int = PROTECTED, window: int = WINDOW, budget: int = BUDGET) -> DataFrame:
+    """``apply_budget`` of rows (keys, item, item_rank, base_rank) that have both ranks, null where the item is
+    not in the order or not in the first ``window`` of the base."""
+    rows = rows.withColumn("kept", F.coalesce(F.col("base_rank") <= protected, F.lit(False)))
     rows = rows.where(F.col("item_rank").isNotNull() | F.col("kept"))
     by_rank = Window.partitionBy(*keys, "kept").orderBy("item_rank", "item")
     so_far = by_rank.rowsBetween(Window.unboundedPreceding, 0)

@@ -10,11 +10,12 @@ returns the best documents of each query.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batch
@@ -22,12 +23,13 @@ from ..functions.stem import added_stems
 from ..functions.text import QUERY_STOPWORDS, identifier_parts, identifier_tokens, idf, looks_like_identifier, query_words
 from ..functions.words import ASCII_WORD, counted, found_words, word_tokens
 from ..session import durable
+from . import tiles as cut
 
 K1, B = 1.5, 0.75
 #: Tokens of queries that go to every task at once (about 20 MB); more take one pass over the documents a block.
 FEW_TOKENS = 500_000
 #: Documents and queries of a tile.
-TILE_DOCUMENTS, TILE_QUERIES = 65_536, 2_048
+TILE_DOCUMENTS, TILE_QUERIES = cut.DOCUMENTS, cut.QUERIES
 #: More than rounding to 6 digits can move a score.
 SLACK = 2e-6
 #: Words that a worker remembers.
@@ -54,7 +56,8 @@ def query_tokens(queries: DataFrame, symbols: DataFrame | None = None, stem: boo
 
 
 def _postings(wanted: dict[str, dict[str, int]], stem: bool):
-    """The wanted tokens of each document, as the numbers of its part with their counts."""
+    """The wanted tokens of each document, as the numbers of its part with their counts: packed, the numbers
+    as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
@@ -70,17 +73,26 @@ def _postings(wanted: dict[str, dict[str, int]], stem: bool):
                 else:
                     n, found = counted(ASCII_WORD.findall(text) if text is not None else words, own, wanted.get(part, {}), cut)
                 dl.append(n)
-                ids.append(np.fromiter(found.keys(), np.int32, len(found)).tobytes())
-                tfs.append(np.fromiter(found.values(), np.int32, len(found)).tobytes())
+                number = sorted(found)
+                ids.append(_packed(np.diff(number, prepend=0)))
+                tfs.append(_packed([found[i] for i in number]))
             yield batch(("part", "doc", "dl", "ids", "tfs"), (b.column(0), b.column(1), pa.array(dl, pa.int32()), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())))
 
     return run
 
 
-def _ints(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a binary column and how many each row has."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.int32), np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+def _packed(numbers) -> bytes:
+    return zlib.compress(np.asarray(numbers, np.int32).tobytes(), 1) if len(numbers) else b""
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(r) if r else b"", np.int32) for r in column.to_pylist()]
+
+
+def _ids(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The token numbers of all rows and how many each row has."""
+    rows = _numbers(column)
+    return np.concatenate([np.cumsum(r, dtype=np.int32) for r in rows] or [np.zeros(0, np.int32)]), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +101,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         names = b.column(0).dictionary_encode()
         parts, codes = names.dictionary, names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids, n = _ints(b.column(2))
+        ids, n = _ids(b.column(2))
         pairs, held = np.unique(np.repeat(codes, n) << 32 | ids, return_counts=True)
         first = b.column(3).to_numpy(zero_copy_only=False) == 0
         docs = np.bincount(codes[first], minlength=len(parts))
@@ -106,8 +118,8 @@ def _tile(n: int):
     def run(key: tuple, docs: pa.Table, queries: pa.Table) -> pa.Table:
         met = docs.column("doc").combine_chunks().dictionary_encode("encode")
         code, size = met.indices.to_numpy(zero_copy_only=False), len(met.dictionary)
-        ids, each = _ints(docs.column("ids"))
-        tf = _ints(docs.column("tfs"))[0].astype(np.float64)
+        ids, each = _ids(docs.column("ids"))
+        tf = np.concatenate(_numbers(docs.column("tfs")) or [np.zeros(0)]).astype(np.float64)
         at = np.repeat(code, each)
         if len(queries) and len(docs):
             length = K1 * ((1.0 - B) + B * docs.column("dl").to_numpy() / queries.column("avgdl")[0].as_py())
@@ -142,19 +154,6 @@ def _tile(n: int):
     return run
 
 
-def _pieces(many: dict[str, int]) -> Column:
-    """Pieces of a part by its name, where it has more than one."""
-    if not many:
-        return F.lit(1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("part")), F.lit(1))
-
-
-def _pieces(sizes: dict[str, int], most: int) -> Column:
-    """Pieces of a part by its name, of at most about ``most`` each."""
-    many = [F.lit(x) for part, n in sizes.items() if n > most for x in (part, math.ceil(n / most))]
-    return F.coalesce(F.element_at(F.create_map(*many), F.col("part")), F.lit(1)) if many else F.lit(1)
-
-
 def bm25(documents: DataFrame, queries: DataFrame, n: int, stem: bool = False) -> DataFrame:
     """``part, qid, doc, score, bm25_rank``: the ``n`` best documents of each query (part, qid, token, qtf), of
     those with a common token. ``documents`` has part (string), doc, and tokens, or a text that is cut into code
@@ -183,15 +182,9 @@ def bm25(documents: DataFrame, queries: DataFrame, n: int, stem: bool = False) -
     df = counts.where("id > 0").select("part", "id", F.col("n").alias("df"))
     weighted = queries.join(numbered, ["part", "token"]).join(df, ["part", "id"]).join(stats, "part")
     weighted = weighted.select("part", "qid", "id", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("w"), "avgdl")
-    slices = _pieces({r.part: r.docs for r in stats.where(F.col("docs") > TILE_DOCUMENTS).collect()}, TILE_DOCUMENTS)
-    asked = queries.groupBy("part").agg(F.count_distinct("qid").alias("n")).where(F.col("n") > TILE_QUERIES)
-    parcels = _pieces({r.part: r.n for r in asked.collect()}, TILE_QUERIES)
-    piece = lambda key, many: F.pmod(F.xxhash64(key), many)
-    each = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    left = held.where(F.length("ids") > 0).select("part", "doc", "dl", "ids", "tfs", piece("doc", slices).cast("int").alias("slice"), each(parcels).alias("parcel"))
-    right = weighted.select("part", "qid", "id", "w", "avgdl", piece("qid", parcels).cast("int").alias("parcel"), each(slices).alias("slice"))
-    tile = ["part", "slice", "parcel"]
-    scores = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_tile(n), f"part string, qid {qid}, doc {doc}, score double")
+    asked = queries.groupBy("part").agg(F.count_distinct("qid").alias("n"))
+    met = cut.tiles(held.where(F.length("ids") > 0).drop("block"), weighted, stats.select("part", F.col("docs").alias("n")), asked, (TILE_DOCUMENTS, TILE_QUERIES))
+    scores = met.applyInArrow(_tile(n), f"part string, qid {qid}, doc {doc}, score double")
     scores = scores.withColumn("score", F.round("score", 6)).where("score > 0")
     order = Window.partitionBy("part", "qid").orderBy(F.desc("score"), "doc")
     return scores.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= n)

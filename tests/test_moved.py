@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.stem import added_stems
-from lodestone.operators import lexical
+from lodestone.operators import dense, fusion, lexical
 from lodestone.operators.latest import newest
 
 
@@ -71,3 +71,40 @@ def test_newest(spark):
     rows = [(1, 1, "a"), (1, 3, "b"), (1, None, "c"), (2, None, "d"), (3, 2, "e"), (None, 1, "f"), (None, 2, "g"), (4, 5, "h"), (4, 5, "h")]
     got = newest(spark.createDataFrame(rows, "k int, at int, x string"), "k", "at").collect()
     assert sorted((r.k or 0, r.x) for r in got) == [(0, "g"), (1, "b"), (2, "d"), (3, "e"), (4, "h")]
+
+
+def test_dense_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    vector = lambda: [float(rng.randrange(-2, 3)) for _ in range(3)] + [1.0]
+    parts = spark.createDataFrame([(rng.choice("pq"), i // 3, i % 3, vector()) for i in range(150)], "part string, doc long, part_no int, vector array<double>")
+    asked = spark.createDataFrame([(rng.choice("pqr"), i, vector()) for i in range(40)], "part string, qid long, vector array<double>")
+    found = lambda: sorted(map(tuple, dense.dense(parts, asked, 4).collect()))
+    want = found()
+    monkeypatch.setattr(dense, "TILE_VECTORS", 11)
+    monkeypatch.setattr(dense, "TILE_QUERIES", 3)
+    assert want and found() == want
+
+
+def test_dense_moves_vectors_not_pairs(spark):
+    one = lambda n, key: spark.range(n, numPartitions=4).select(F.lit("p").alias("part"), F.col("id").alias(key), F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    parts = one(200, "doc").withColumn("part_no", F.lit(0))
+    assert shuffled(spark, lambda: dense.dense(parts, one(100, "qid"), 50).collect()) < 12_000  # of 20,000 pairs
+
+
+def test_sweep_is_fusion_of_each_configuration(spark):
+    rng = random.Random(8)
+    rows = [(q, s, i, r) for q in range(6) for s in ("bm25", "dense") for r, i in enumerate(rng.sample(range(15), 9), 1)]
+    lists = spark.createDataFrame(rows, "q int, source string, item long, item_rank int")
+    grid = [(5, 1.0), (60, 2.5)]
+    got = sorted((r.config, r.q, r.fused_rank, r.item, r.score) for r in fusion.sweep(lists, "q", grid, "dense").collect())
+    want = []
+    for i, (k, w) in enumerate(grid):
+        each = fusion.fuse(lists.withColumn("weight", F.when(F.col("source") == "dense", w).otherwise(1.0)), ["q"], k)
+        want += [(i, r.q, r.fused_rank, r.item, r.score) for r in each.collect()]
+    assert got == sorted(want)
+
+
+def test_fusing_moves_no_items(spark):
+    lists = spark.range(2000).select((F.col("id") % 10).alias("q"), F.lit("dense").alias("source"), F.col("id").alias("item"), F.col("id").cast("int").alias("item_rank"), F.lit(1.0).alias("weight"))
+    assert shuffled(spark, lambda: fusion.fuse(lists.repartition(4, "q"), ["q"], unique=True, of="dense").collect()) <= 2000
+    assert shuffled(spark, lambda: fusion.sweep(lists.repartition(4, "q"), "q", [(5, 1.0), (60, 2.0)], "dense").collect()) <= 2000
