@@ -11,7 +11,7 @@ from ..functions.stem import stems
 from ..operators import callgraph, context, dense, evaluation, evidence, extract, fusion, graph, lexical, packing, ranges
 from ..operators.latest import latest
 from ..operators.replies import loop_cut
-from ..session import durable
+from ..session import durable, shuffle_width
 from ..sources.tables import load
 from . import base
 
@@ -183,23 +183,32 @@ def _rrf_fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     return top.select(F.col("qid").alias("question_id"), "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
-def _lists(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
-    """question_id, source, item, item_rank: the engine's own lists, of 200 places, which configurations fuse."""
-    out = None
+def _lists(spark: SparkSession, sf_dir: str, *sources: str, depth: int | None = None, marked: DataFrame | None = None, finer: int = 1) -> DataFrame:
+    """question_id, source, item, item_rank: the engine's own lists, of 200 places, which configurations fuse.
+    They move as one row a list, all lists of a question to one partition, so that fusing moves no items; there
+    are ``finer`` times as many partitions as usual. With ``marked`` (question_id, item) a column ``marked``
+    tells whether the item is one of them."""
+    depth, out = depth or LIST_DEPTH, None
     for source in sources or ("bm25", "dense"):
         if source == "bm25":
-            found = lexical.bm25(base.text_table(spark, sf_dir), _asked(spark, sf_dir, False), LIST_DEPTH).withColumnRenamed("bm25_rank", "item_rank")
+            found = lexical.bm25(base.text_table(spark, sf_dir), _asked(spark, sf_dir, False), depth).withColumnRenamed("bm25_rank", "item_rank")
         else:
-            found = _dense(spark, sf_dir, LIST_DEPTH).withColumnRenamed("dense_rank", "item_rank")
-        one = found.select(F.col("qid").alias("question_id"), F.lit(source).alias("source"), F.col("doc").alias("item"), "item_rank")
+            found = _dense(spark, sf_dir, depth).withColumnRenamed("dense_rank", "item_rank")
+        items = F.transform(F.array_sort(F.collect_list(F.struct("item_rank", "doc"))), lambda r: r["doc"])
+        one = found.groupBy("part", "qid").agg(items.alias("items")).select(F.col("qid").alias("question_id"), F.lit(source).alias("source"), "items")
         out = one if out is None else out.unionByName(one)
-    return out
+    held = out
+    if marked is not None:
+        held = held.join(marked.groupBy("question_id").agg(F.collect_set("item").alias("of")), "question_id", "left")
+    rows = held.repartition(finer * shuffle_width(spark), "question_id")
+    rows = rows.select("question_id", "source", *["of"] * (marked is not None), F.posexplode("items").alias("place", "item")).withColumn("item_rank", F.col("place") + 1).drop("place")
+    return rows if marked is None else rows.withColumn("marked", F.coalesce(F.array_contains("of", F.col("item")), F.lit(False))).drop("of")
 
 
-def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, item, item_rank of the default configuration, both lists fused."""
-    fused = fusion.fuse(_lists(spark, sf_dir).withColumn("weight", F.lit(1.0)), ["question_id"])
-    return fused.select("question_id", "item", F.col("fused_rank").alias("item_rank"))
+def _own(lists: DataFrame) -> DataFrame:
+    """question_id, item, item_rank of the default configuration, both lists fused, and the rank in the dense list."""
+    fused = fusion.fuse(lists.withColumn("weight", F.lit(1.0)), ["question_id"], unique=True, of="dense")
+    return fused.select("question_id", "item", F.col("fused_rank").alias("item_rank"), "of_rank")
 
 
 #: Places of a list that configurations are fused from.
@@ -208,13 +217,10 @@ LIST_DEPTH = 200
 SWEEP = [(k, w) for k in (5, 10, 20, 60) for w in (1.0, 1.5, 2.0, 3.0)]
 
 
-def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _swept(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
     """The engine's lists, made once and fused by each configuration."""
-    configs = spark.createDataFrame([(i, k, w) for i, (k, w) in enumerate(SWEEP)], "config int, rrf_k int, dense_weight double")
-    lists = durable(_lists(spark, sf_dir))
-    each = lists.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(SWEEP))]))).join(F.broadcast(configs), "config")
-    weight = F.when(F.col("source") == "dense", F.col("dense_weight")).otherwise(1.0)
-    return fusion.fuse(each.withColumn("weight", weight), ["config", "rrf_k", "question_id"], "rrf_k")
+    lists = _lists(spark, sf_dir, marked=marked, finer=len(SWEEP))
+    return fusion.sweep(lists, "question_id", SWEEP, "dense", [] if marked is None else ["marked"])
 
 
 @query
@@ -234,8 +240,9 @@ def single_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused order, bounded by what the dense list allows."""
-    lists = _lists(spark, sf_dir, "dense").select("question_id", "item", "item_rank")
-    return fusion.apply_budget(lists, _own(spark, sf_dir), ["question_id"]).withColumnRenamed("item", "chunk_no")
+    # every item of the dense list is in the fused order
+    rows = _own(_lists(spark, sf_dir)).withColumn("base_rank", F.when(F.col("of_rank") <= fusion.WINDOW, F.col("of_rank"))).drop("of_rank")
+    return fusion.budgeted(rows, ["question_id"]).withColumnRenamed("item", "chunk_no")
 
 
 @query
@@ -489,7 +496,7 @@ def question_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.per_question(_own(spark, sf_dir), base.qrels(spark, sf_dir), ["question_id"])
+    return evaluation.per_question(_own(_lists(spark, sf_dir)), base.qrels(spark, sf_dir), ["question_id"])
 
 
 @query
@@ -516,7 +523,7 @@ def containment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _single(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    lists = _lists(spark, sf_dir, source)
+    lists = _lists(spark, sf_dir, source, depth=evaluation.DEPTH)
     rows = evaluation.per_question(lists, base.qrels(spark, sf_dir), ["question_id"])
     return rows.join(base.questions(spark, sf_dir, "qtype"), "question_id")
 
@@ -531,8 +538,10 @@ def paired_wlt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fusion of the grid against the dense list, and which one the rule selects."""
     reference = _single(spark, sf_dir, "dense").select("question_id", F.col("first_rank").alias("theirs"))
-    fused = _swept(spark, sf_dir).select("config", "question_id", "item", F.col("fused_rank").alias("item_rank"))
-    relevant = base.qrels(spark, sf_dir).withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(SWEEP))])))
+    wanted = durable(base.qrels(spark, sf_dir))
+    # only relevant items are looked up
+    fused = _swept(spark, sf_dir, wanted).where("marked").select("config", "question_id", "item", F.col("fused_rank").alias("item_rank"))
+    relevant = wanted.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(SWEEP))])))
     mine = evaluation.per_question(fused, relevant, ["config", "question_id"]).join(reference, "question_id")
     beats = evaluation.beats
     cells = mine.groupBy("config").agg(
@@ -580,7 +589,7 @@ def context_relative_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose first eight chunks differ between the lexical and the dense list."""
-    lists = _lists(spark, sf_dir).where("item_rank <= 8")
+    lists = _lists(spark, sf_dir, depth=8)
     side = lambda s: lists.where(F.col("source") == s).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_rank", "item"))), lambda r: r["item"].cast("string")), ",").alias(s))
     both = side("bm25").join(side("dense"), "question_id", "full")
     return both.where(~F.col("bm25").eqNullSafe(F.col("dense")))
