@@ -128,7 +128,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = load(spark, sf_dir, "index_vectors").where(dense.usable(F.col("embedding"), 64))
     newest = lambda key: vectors.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("embedding", F.struct("generation", "vec_id")).alias("vector"))
     chunk = base.chunks(spark, sf_dir, "corpus").select("chunk_no", F.col("corpus").alias("part"))
-    parts = load(spark, sf_dir, "embedding_parts", "part_id", "chunk_no", "part_no").join(newest("part_id"), "part_id").join(chunk, "chunk_no")
+    # ids meet before vectors, which move once less
+    parts = load(spark, sf_dir, "embedding_parts", "part_id", "chunk_no", "part_no").join(chunk, "chunk_no").join(newest("part_id"), "part_id")
     asked = base.questions(spark, sf_dir, "corpus").join(newest("question_id"), "question_id")
     return (
         parts.select("part", F.col("chunk_no").alias("doc"), "part_no", "vector"),
@@ -183,11 +184,9 @@ def _rrf_fused(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     return top.select(F.col("qid").alias("question_id"), "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
-def _lists(spark: SparkSession, sf_dir: str, *sources: str, depth: int | None = None, marked: DataFrame | None = None, finer: int = 1) -> DataFrame:
-    """question_id, source, item, item_rank: the engine's own lists, of 200 places, which configurations fuse.
-    They move as one row a list, all lists of a question to one partition, so that fusing moves no items; there
-    are ``finer`` times as many partitions as usual. With ``marked`` (question_id, item) a column ``marked``
-    tells whether the item is one of them."""
+def _packed(spark: SparkSession, sf_dir: str, *sources: str, depth: int | None = None) -> DataFrame:
+    """question_id, source, items: the engine's own lists, of 200 places, which configurations fuse. They move as
+    one row a list, all lists of a question to one partition, so that fusing moves no items."""
     depth, out = depth or LIST_DEPTH, None
     for source in sources or ("bm25", "dense"):
         if source == "bm25":
@@ -197,12 +196,13 @@ def _lists(spark: SparkSession, sf_dir: str, *sources: str, depth: int | None =
         items = F.transform(F.array_sort(F.collect_list(F.struct("item_rank", "doc"))), lambda r: r["doc"])
         one = found.groupBy("part", "qid").agg(items.alias("items")).select(F.col("qid").alias("question_id"), F.lit(source).alias("source"), "items")
         out = one if out is None else out.unionByName(one)
-    held = out
-    if marked is not None:
-        held = held.join(marked.groupBy("question_id").agg(F.collect_set("item").alias("of")), "question_id", "left")
-    rows = held.repartition(finer * shuffle_width(spark), "question_id")
-    rows = rows.select("question_id", "source", *["of"] * (marked is not None), F.posexplode("items").alias("place", "item")).withColumn("item_rank", F.col("place") + 1).drop("place")
-    return rows if marked is None else rows.withColumn("marked", F.coalesce(F.array_contains("of", F.col("item")), F.lit(False))).drop("of")
+    return out.repartition(shuffle_width(spark), "question_id")
+
+
+def _lists(spark: SparkSession, sf_dir: str, *sources: str, depth: int | None = None) -> DataFrame:
+    """question_id, source, item, item_rank of ``_packed``."""
+    rows = _packed(spark, sf_dir, *sources, depth=depth).select("question_id", "source", F.posexplode("items").alias("place", "item"))
+    return rows.withColumn("item_rank", F.col("place") + 1).drop("place")
 
 
 def _own(lists: DataFrame) -> DataFrame:
@@ -217,15 +217,16 @@ LIST_DEPTH = 200
 SWEEP = [(k, w) for k in (5, 10, 20, 60) for w in (1.0, 1.5, 2.0, 3.0)]
 
 
-def _swept(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
-    """The engine's lists, made once and fused by each configuration."""
-    lists = _lists(spark, sf_dir, marked=marked, finer=len(SWEEP))
-    return fusion.sweep(lists, "question_id", SWEEP, "dense", [] if marked is None else ["marked"])
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, a, b: the dense list and the lexical one of each question, made once for all configurations."""
+    ranked = F.transform("items", lambda x, i: F.struct(x.alias("item"), (i + 1).alias("item_rank")))
+    side = lambda source: F.first(F.when(F.col("source") == source, ranked), True)
+    return _packed(spark, sf_dir).groupBy("question_id").agg(side("dense").alias("a"), side("bm25").alias("b"))
 
 
 @query
 def rrf_weighted_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _swept(spark, sf_dir)
+    rows = fusion.sweep_rows(_both(spark, sf_dir), "question_id", SWEEP)
     return rows.select("config", "question_id", "fused_rank", F.col("item").alias("chunk_no"), "score")
 
 
@@ -537,12 +538,18 @@ def paired_wlt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decision_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fusion of the grid against the dense list, and which one the rule selects."""
-    reference = _single(spark, sf_dir, "dense").select("question_id", F.col("first_rank").alias("theirs"))
     wanted = durable(base.qrels(spark, sf_dir))
     # only relevant items are looked up
-    fused = _swept(spark, sf_dir, wanted).where("marked").select("config", "question_id", "item", F.col("fused_rank").alias("item_rank"))
-    relevant = wanted.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(SWEEP))])))
-    mine = evaluation.per_question(fused, relevant, ["config", "question_id"]).join(reference, "question_id")
+    held = _both(spark, sf_dir).join(wanted.groupBy("question_id").agg(F.collect_set("item").alias("wanted")), "question_id")
+    found = fusion.sweep_rows(held, "question_id", SWEEP)
+    # the dense list, whose ranks come with each configuration, takes part as number -1
+    rank = lambda config, r: F.struct(config.alias("config"), F.col(r).alias("item_rank"))
+    alone = F.when((F.col("config") == 0) & F.col("of_rank").isNotNull(), rank(F.lit(-1), "of_rank"))
+    ranks = found.select("question_id", "item", F.explode(F.array(rank(F.col("config"), "fused_rank"), alone)).alias("r")).where("r is not null")
+    relevant = wanted.withColumn("config", F.explode(F.sequence(F.lit(-1), F.lit(len(SWEEP) - 1))))
+    each = evaluation.per_question(ranks.select("r.config", "question_id", "item", "r.item_rank"), relevant, ["config", "question_id"])
+    theirs = F.max(F.when(F.col("config") == -1, F.col("first_rank"))).over(Window.partitionBy("question_id"))
+    mine = each.withColumn("theirs", theirs).where("config >= 0")
     beats = evaluation.beats
     cells = mine.groupBy("config").agg(
         F.count_if(beats(F.col("first_rank"), F.col("theirs"))).alias("wins"),

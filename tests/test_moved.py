@@ -1,5 +1,6 @@
 """How much the operators move, and that their results stay whole in tiles and blocks."""
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from lodestone.functions import text as T
 from lodestone.functions.stem import added_stems
 from lodestone.operators import dense, fusion, lexical
 from lodestone.operators.latest import newest
+from lodestone.plans import queries
 
 
 def shuffled(spark, run):
@@ -108,3 +110,25 @@ def test_fusing_moves_no_items(spark):
     lists = spark.range(2000).select((F.col("id") % 10).alias("q"), F.lit("dense").alias("source"), F.col("id").alias("item"), F.col("id").cast("int").alias("item_rank"), F.lit(1.0).alias("weight"))
     assert shuffled(spark, lambda: fusion.fuse(lists.repartition(4, "q"), ["q"], unique=True, of="dense").collect()) <= 2000
     assert shuffled(spark, lambda: fusion.sweep(lists.repartition(4, "q"), "q", [(5, 1.0), (60, 2.0)], "dense").collect()) <= 2000
+
+
+def test_sweep_of_wanted_items(spark):
+    rng = random.Random(9)
+    rows = [(q, s, i, r) for q in range(7) for s in ("bm25", "dense")[: 1 + q % 2] for r, i in enumerate(rng.sample(range(15), 9), 1)]
+    lists = spark.createDataFrame(rows, "q int, source string, item long, item_rank int")
+    grid = [(5, 1.0), (20, 3.0)]
+    every = {(r.config, r.q, r.item): (r.fused_rank, r.score) for r in fusion.sweep(lists, "q", grid, "dense").collect()}
+    dense_rank = {(q, i): r for q, s, i, r in rows if s == "dense"}
+    side = lambda s: F.collect_list(F.when(F.col("source") == s, F.struct("item", "item_rank")))
+    held = lists.groupBy("q").agg(side("dense").alias("a"), side("bm25").alias("b")).withColumn("wanted", F.expr("array(q, 3L, 99L)"))
+    got = {(r.config, r.q, r.item): (r.fused_rank, r.score, r.of_rank) for r in fusion.sweep_rows(held, "q", grid).collect()}
+    assert got == {(c, q, i): (*x, dense_rank.get((q, i))) for (c, q, i), x in every.items() if i in (q, 3)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_selection_takes_the_lists_once(spark, monkeypatch):
+    made = []
+    dense_of = queries._dense
+    monkeypatch.setattr(queries, "_dense", lambda *a: made.append(a) or dense_of(*a))
+    queries.QUERIES["decision_select"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
