@@ -13,22 +13,21 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .stem import stem_word
 from .text import identifier_words
 
 ASCII_WORD = re.compile("[A-Za-z_][A-Za-z0-9_]*|[0-9]+")
 _CAMEL = re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
-def word_tokens(word: str, stem: bool = False) -> list[str]:
-    """The tokens of one word, with the stems of its parts that differ from them."""
+def word_tokens(word: str, stem: Callable[[str], str] | None = None) -> list[str]:
+    """The tokens of one word, with the stems that ``stem`` makes of its parts where they differ from them."""
     marked = _CAMEL.sub("_", word)
     several = "_" in word or marked.find("_", 1) > 0
     low = word.lower()
     parts = [p for p in marked.lower().split("_") if p] if several else [low]
     tokens = [low, *parts] if several else [low]
     if stem:
-        tokens += [s for p in parts if (s := stem_word(p)) != p]
+        tokens += [s for p in parts if (s := stem(p)) != p]
     return tokens
 
 

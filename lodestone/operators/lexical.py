@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import batch
-from ..functions.stem import added_stems
+from ..functions.stem import added_stems, stem_word
 from ..functions.text import QUERY_STOPWORDS, identifier_parts, identifier_tokens, idf, looks_like_identifier, query_words
 from ..functions.words import ASCII_WORD, counted, found_words, word_tokens
 from ..session import durable
@@ -61,7 +62,9 @@ def _postings(wanted: dict[str, dict[str, int]], stem: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
-        cut = lambda w: word_tokens(w, stem)
+        # parts of words are few, and the same in all corpora
+        once = lru_cache(KNOWN_WORDS)(stem_word) if stem else None
+        cut = lambda w: word_tokens(w, once)
         for b in batches:
             if sum(map(len, known.values())) > KNOWN_WORDS:
                 known.clear()

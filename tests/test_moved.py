@@ -3,10 +3,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions import words
 from lodestone.functions.stem import added_stems
 from lodestone.operators import dense, fusion, lexical
 from lodestone.operators.latest import newest
@@ -132,3 +134,15 @@ def test_selection_takes_the_lists_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_dense", lambda *a: made.append(a) or dense_of(*a))
     queries.QUERIES["decision_select"](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_a_part_of_a_word_is_stemmed_once_a_task(monkeypatch):
+    asked, real = [], words.stem_word if hasattr(words, "stem_word") else lexical.stem_word
+    for module in (words, lexical):
+        monkeypatch.setattr(module, "stem_word", lambda w: asked.append(w) or real(w), raising=False)
+    columns = [["p", "q", "r"], [1, 2, 3], ["closing parsed_names", "parsedNames closing", "closing_names"], [None] * 3, [None] * 3]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "doc", "text", "words", "tokens"])
+    found = [b.to_pylist() for b in lexical._postings({"q": {"clos": 1, "close": 2, "closing": 3}}, True)([rows])][0]
+    assert [bool(r["ids"]) for r in found] == [False, True, False]
+    assert sorted(asked) == ["closing", "names", "parsed"]
